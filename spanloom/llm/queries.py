@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat_collapse, hash_tree, quality_rules
+from spanloom.llm import chat_collapse, cube_mix, hash_tree, packing, quality_rules, warc
 from spanloom.llm.common import table
 
 
@@ -76,13 +76,43 @@ WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k < p.n AND p.k = w.n AND p.rendered =
 """
 
 
+def op5_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = warc.fresh_root(spark)
+    warc.write(table(spark, sf_dir, "pages"), root)
+    return warc.read(spark, root, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT payload_digest, max(page_id) AS stored FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN stored <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN stored <> page_id THEN stored END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""
+
+
+def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op3_rule_ledger": op3_rule_ledger,
+        "op5_warc_writer": op5_warc_writer,
+        "op6_cube_mix": op6_cube_mix,
         "op8_hash_tree": op8_hash_tree,
+        "op9_best_fit_packing": op9_best_fit_packing,
         "op10_chat_collapse": op10_chat_collapse,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rule_ledger": OP3_SQL, "op10_chat_collapse": OP10_SQL}
+    return {"op3_rule_ledger": OP3_SQL, "op5_warc_writer": OP5_SQL, "op10_chat_collapse": OP10_SQL}
