@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat_collapse, cube_mix, hash_tree, packing, quality_rules, warc
+from spanloom.llm import chat_collapse, cube_mix, hash_tree, ngram_join, packing, quality_rules, warc
 from spanloom.llm.common import table
 
 
@@ -99,6 +99,31 @@ def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2)
+  JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)
+), r AS (
+  SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.c
+), m AS (
+  SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
@@ -108,6 +133,7 @@ def queries() -> dict:
         "op3_rule_ledger": op3_rule_ledger,
         "op5_warc_writer": op5_warc_writer,
         "op6_cube_mix": op6_cube_mix,
+        "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_hash_tree": op8_hash_tree,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_chat_collapse": op10_chat_collapse,
@@ -115,4 +141,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rule_ledger": OP3_SQL, "op5_warc_writer": OP5_SQL, "op10_chat_collapse": OP10_SQL}
+    return {"op3_rule_ledger": OP3_SQL, "op5_warc_writer": OP5_SQL, "op7_ngram_jaccard": OP7_SQL, "op10_chat_collapse": OP10_SQL}
