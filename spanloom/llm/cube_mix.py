@@ -173,3 +173,20 @@ def mix(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[
         blocks, depth = -(-blocks // shrink), depth + 1
         level = flown.where("taken is null").withColumn("block", F.floor(F.col("block") / F.lit(shrink)).cast("long"))
     return found.alias("f").join(goal.alias("g"), "src").select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def taken_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it: 0, 1 or 2 times.
+
+    Documents without words are taken no time. Rows that share an id and a source are alike for
+    the mix; what it takes of them is dealt to them in the order of their texts.
+    """
+    mixed = mix(docs, **options).where("size > 0").select("doc_id", "source", "size", (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    alike = W.partitionBy("doc_id", "source", "size")
+    dealt = mixed.withColumn("i", F.row_number().over(alike.orderBy("times"))).where("times > 0").alias("m")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("_size", size).where("_size > 0")
+    rows = rows.withColumn("_i", F.row_number().over(W.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text")))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d._size") == F.col("m.size")) & (F.col("d._i") == F.col("m.i"))
+    both = rows.join(dealt, same)
+    return both.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("m.times"))).alias("_copy")).drop("_copy")

@@ -83,18 +83,22 @@ def repeat_words(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: the measurements all rules share."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
+    """One row a document: the measurements all rules share; ``carry`` comes along as ``_row``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"))
+    extra = [] if carry is None else [carry.alias("_row")]
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"), *extra)
+    along = [F.col("_row")] if extra else []
     split = base.select(
         "doc_id",
+        *along,
         "_t",
         words_of(F.col("_t")).alias("_w"),
         F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"),
     )
     return split.select(
         "doc_id",
+        *along,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", WS, "")).cast("long").alias("word_chars"),
         (F.size(F.split("_t", r"[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
@@ -105,12 +109,12 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
     """Measurements and ``bits``: bit k is set when rule k fails."""
     bits = F.lit(0).cast("long")
     for k, r in enumerate(rules()):
         bits = bits + F.when(r.fails, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-    return measure(docs, id_col, text_col).withColumn("bits", bits)
+    return measure(docs, id_col, text_col, carry).withColumn("bits", bits)
 
 
 def apply_policy(book: DataFrame, policy: str = "2025.1") -> DataFrame:
@@ -121,6 +125,12 @@ def apply_policy(book: DataFrame, policy: str = "2025.1") -> DataFrame:
     )
 
 
+def kept_rows(docs: DataFrame, policy: str = "2025.1") -> DataFrame:
+    """The whole rows of ``docs`` that a policy keeps, in one pass and without a join."""
+    book = ledger(docs, carry=F.struct(*[F.col(c) for c in docs.columns]))
+    return apply_policy(book, policy).where("kept").select("_row.*")
+
+
 def ablation(book: DataFrame, policy: str = "2025.1") -> DataFrame:
     """What each rule of a policy costs: documents failing it, failing only it, and kept without it.
 

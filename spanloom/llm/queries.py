@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import chat_collapse, cube_mix, hash_tree, ngram_join, packing, quality_rules, warc
+from spanloom.llm import audio, chat_collapse, cube_mix, hash_tree, ngram_join, packing, quality_rules, toxicity, url_graph, warc
 from spanloom.llm.common import table
 
 
+def op1_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge(table(spark, sf_dir, "pages"))
+
+
+def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(audio.features(audio.encode_texts(table(spark, sf_dir, "documents"))))
+
+
+def op4_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents"))
     return quality_rules.apply_policy(book).select(
@@ -105,7 +118,8 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM w WHERE len(w) > 0)
@@ -130,7 +144,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_url_link_graph": op1_url_link_graph,
+        "op2_audio_features": op2_audio_features,
         "op3_rule_ledger": op3_rule_ledger,
+        "op4_toxicity_ordinal": op4_toxicity_ordinal,
         "op5_warc_writer": op5_warc_writer,
         "op6_cube_mix": op6_cube_mix,
         "op7_ngram_jaccard": op7_ngram_jaccard,
