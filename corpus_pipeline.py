@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import cube_mix, ngram_join, packing, quality_rules, toxicity
 from spanloom.llm.common import materialize, table
+from spanloom.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,22 +23,26 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose predicted severity grade is above 0."""
+    ship(spark)
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.clean_rows(docs.select(*COLUMNS), model)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near duplicates (five words, similarity 0.8)."""
+    ship(spark)
     return ngram_join.representatives(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix takes it."""
+    ship(spark)
     return cube_mix.taken_rows(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences."""
+    ship(spark)
     return packing.best_fit(docs)
 
 

@@ -1,4 +1,5 @@
-"""Cumulative-link ordinal regression on sparse text features.
+"""Cumulative-link ordinal regression on sparse text features: words and
+beginnings of words.
 
 Grades 0 (clean), 1, 2, 3 (by rising density of words that mark toxic texts) are predicted by
 one weight vector and three ordered thresholds: P(grade > k) = sigmoid(w.x - theta_k). The
@@ -37,10 +38,19 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
+#: Lengths in bytes of the word beginnings that are features beside the words: stems take endings.
+STEMS = (4, 5, 6)
+
+
+def terms(found: list[bytes]) -> list[bytes]:
+    """Words and their beginnings; a beginning is marked by a sign that no word has."""
+    return found + [b"^" + w[:k] for k in STEMS for w in found if len(w) >= k]
+
+
 @dataclass
 class Model:
     vocabulary: dict[bytes, int]
-    weights: np.ndarray  # a word's presence, then its density
+    weights: np.ndarray  # a word's log count, then log density
     thresholds: np.ndarray
 
     def tail(self, scores: np.ndarray) -> np.ndarray:
@@ -49,13 +59,13 @@ class Model:
 
 
 def features(hits: Counter, n_words: int, size: int) -> tuple[list[int], list[float]]:
-    """Sparse features of the vocabulary words in one text: presence, and log density."""
+    """Sparse features of the vocabulary words in one text: log count, and log density."""
     at = [i for i in sorted(hits)]
     dense = [float(np.log1p(100.0 * hits[i] / n_words)) for i in at]
-    return at + [size + i for i in at], [1.0] * len(at) + dense
+    return at + [size + i for i in at], [float(np.log1p(hits[i])) for i in at] + dense
 
 
-def fit_thresholds(rows: list[tuple[list[int], list[float]]], grades: np.ndarray, size: int, steps: int = 400, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit_thresholds(rows: list[tuple[list[int], list[float]]], grades: np.ndarray, size: int, steps: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood of the cumulative-link model by Adam, all rows in each step."""
     where = np.concatenate([np.full(len(a), r) for r, (a, _) in enumerate(rows)] + [np.empty(0)]).astype(np.int64)
     cols = np.concatenate([np.asarray(a) for a, _ in rows] + [np.empty(0)]).astype(np.int64)
@@ -91,7 +101,7 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for b in batches:
         out: list[tuple[bytes, int]] = []
         for text, toxic in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
-            out += [(w, toxic) for w in set(words(text.as_py()))]
+            out += [(w, toxic) for w in set(terms(words(text.as_py())))]
         w, t = zip(*out, strict=True) if out else ((), ())
         yield pa.record_batch([pa.array(w, pa.binary()), pa.array(t, pa.int64())], names=["word", "toxic"])
 
@@ -102,7 +112,7 @@ def _hits(vocabulary: dict[bytes, int]):
             n, at, times = [], [], []
             for text in b.column("text"):
                 found = words(text.as_py())
-                hits = Counter(vocabulary[w] for w in found if w in vocabulary)
+                hits = Counter(vocabulary[w] for w in terms(found) if w in vocabulary)
                 n.append(len(found))
                 at.append(list(hits))
                 times.append(list(hits.values()))
@@ -140,11 +150,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, vocabulary: in
 
 def _sums(model: Model, texts: pa.Array) -> tuple[list[int], list[int], np.ndarray]:
     """Words, vocabulary hits and w.x of every text."""
-    index, size, w = model.vocabulary, len(model.vocabulary), model.weights
+    size, w = len(model.vocabulary), model.weights
+    index = {k: i for k, i in model.vocabulary.items() if k[:1] != b"^"}
+    stems = {k: {x[1:]: i for x, i in model.vocabulary.items() if x[:1] == b"^" and len(x) == k + 1} for k in STEMS}
     n, marks, sums = [], [], []
     for text in texts:
         found = words(text.as_py())
         hits = Counter([index[x] for x in found if x in index])
+        for k, known in stems.items():
+            if known:
+                hits.update([known[x[:k]] for x in found if x[:k] in known])
         at, val = features(hits, max(1, len(found)), size)
         n.append(len(found))
         marks.append(sum(hits.values()))
