@@ -17,8 +17,10 @@ documents without ever spelling out the pairs of a class.
    linked sets can differ in, so linked sets agree on all tokens of some group. Each group is one
    key, a combination of k tokens with k about 1 / (2 - 2 * similarity); taking all k-subsets of
    a prefix instead would grow with its k-th power.
-   A bucket's sets are compared with its member that has the fewest shingles of its own, and only
-   where that leaves sets of different classes in one bucket, with each other.
+   Pairs that share a rare token have met by it already; all others share frequent tokens only,
+   which bounds what they can share. A bucket's sets are compared with its member that has the
+   fewest other tokens, and only where that leaves sets of different classes in one bucket, and
+   the bound allows a link, with each other.
 6. *Verification* counts shared shingles exactly; classes are the components of the links.
 
 Edge cases: texts without words (null, empty, white space) have no set and link with nothing;
@@ -154,6 +156,7 @@ def _signatures(percent: int, rare: int):
                 single = head[:few]
                 emit(1, single, own + np.arange(len(single)), sid, n, own)
                 if len(head) > few:
+                    # pairs that share a rare token meet by it, so here rare tokens count as unshared too
                     frequent = tok[few:].view(np.uint64)
                     with np.errstate(over="ignore"):
                         spread = _mix(frequent * M2)
@@ -167,7 +170,7 @@ def _signatures(percent: int, rare: int):
                             # more groups agree than are empty, so empty ones need no key, but in tiny sets
                             if g - differ(c) > g - filled.sum():
                                 keys = keys[filled]
-                            emit(2, keys.view(np.int64), np.zeros(len(keys)), sid, n, own)
+                            emit(2, keys.view(np.int64), np.zeros(len(keys)), sid, n, own + few)
             flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
             yield pa.record_batch([pa.array(c) for c in flat], names=["kind", "key", "pos", "sid", "n", "own"])
 
@@ -226,7 +229,7 @@ def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(5), F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
 
 
-def _join(docs: DataFrame, width: int, percent: int, rare: int, id_col: str, text_col: str) -> DataFrame:
+def _join(docs: DataFrame, width: int, percent: int, rare: int, id_col: str, text_col: str, lookup: int = 1_000_000) -> DataFrame:
     """doc_id, rk, n, comp (null for rows without a set), component_id."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("rk"))
     keep = min(1.0, 2.5 * (1 - percent / 100))
@@ -248,7 +251,9 @@ def _join(docs: DataFrame, width: int, percent: int, rare: int, id_col: str, tex
     )
 
     # 3: all shingles of the sets left
-    again = base.join(left, "rk").select(F.col("want").alias("k"), "text")
+    # few sets are looked up in memory; beyond ``lookup`` rows (16 bytes each) both sides are exchanged
+    few = left.count() <= lookup
+    again = base.join(F.broadcast(left) if few else left, "rk").select(F.col("want").alias("k"), "text")
     full = materialize(sets_of(again, "k", "text", width).select(F.col("k").alias("sid"), "n", "toks"), "ngram-full")
     long = full.select("sid", F.explode("toks").alias("tok"))
     common = long.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.min("sid").alias("l"), F.max("sid").alias("h")).where("l <> h").select("tok", "df")
