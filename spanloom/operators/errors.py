@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,28 +46,45 @@ def diff_durations(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
 _VERDICT = {(True, True): "both_correct", (True, False): "regression", (False, True): "improvement", (False, False): "both_incorrect"}
 
 
-def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Old and new errors of one piece, matched by how alike they are (2, 1 or 0)."""
-    old, new = pdf[pdf["side"] == "old"].reset_index(drop=True), pdf[pdf["side"] == "new"].reset_index(drop=True)
+def _match(old: list[tuple], new: list[tuple]) -> list[tuple[str, str]]:
+    """(verdict, reference label) of one piece; rows are (kind, ref, hyp), matched by how alike
+    they are: 2 if the outcome is the same for the same reference, 1 if half of it, else 0."""
     out, used_old, used_new = [], set(), set()
-    if len(old) and len(new):
-        alike = ((old["ref"].to_numpy(dtype=object)[:, None] == new["ref"].to_numpy(dtype=object)[None, :]).astype(float)) * (
-            (old["kind"].to_numpy()[:, None] == new["kind"].to_numpy()[None, :]).astype(float) + (old["hyp"].to_numpy(dtype=object)[:, None] == new["hyp"].to_numpy(dtype=object)[None, :])
-        )
+    if old and new:
+        alike = np.array([[(o[1] == n[1]) * ((o[0] == n[0]) + (o[2] == n[2])) for n in new] for o in old], dtype=float)
         for i, j in assign(alike + 1e-3):
             used_old.add(i)
             used_new.add(j)
-            out.append((_VERDICT[(old["kind"][i] == "correct", new["kind"][j] == "correct")], old["ref"][i] or new["ref"][j]))
-    out += [("improvement", old["ref"][i]) for i in range(len(old)) if i not in used_old and old["kind"][i] != "correct"]
-    out += [("regression", new["ref"][j]) for j in range(len(new)) if j not in used_new and new["kind"][j] != "correct"]
-    head = pdf[["uri", "start", "end"]].iloc[0].tolist()
-    return pd.DataFrame([[*head, v, r] for v, r in out], columns=["uri", "start", "end", "label", "ref"])
+            out.append((_VERDICT[(old[i][0] == "correct", new[j][0] == "correct")], old[i][1] or new[j][1]))
+    out += [("improvement", o[1]) for i, o in enumerate(old) if i not in used_old and o[0] != "correct"]
+    out += [("regression", n[1]) for j, n in enumerate(new) if j not in used_new and n[0] != "correct"]
+    return out
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of pieces -> verdicts; one piece is in memory at a time."""
+    names, piece, sides = ["uri", "start", "end", "label", "ref"], None, {"old": [], "new": []}
+    kinds = [pa.string(), pa.float64(), pa.float64(), pa.string(), pa.string()]
+    rows: list[tuple] = []
+    for b in batches:
+        for uri, start, end, kind, ref, hyp, side in zip(*(b.column(c).to_pylist() for c in ("uri", "start", "end", "kind", "ref", "hyp", "side")), strict=True):
+            if piece != (uri, start, end):
+                if piece is not None:
+                    rows += [(*piece, *x) for x in _match(sides["old"], sides["new"])]
+                piece, sides = (uri, start, end), {"old": [], "new": []}
+            sides[side].append((kind, ref, hyp))
+        yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+        rows = []
+    if piece is not None:
+        rows = [(*piece, *x) for x in _match(sides["old"], sides["new"])]
+        yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def regression(reference: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """regression / improvement / both_correct / both_incorrect over time, smoothed.
 
-    Each group handed to Python is one elementary piece: as many rows as labels run at once.
+    Pieces are dealt by (uri, bounds) and streamed in sorted order; a piece has as many rows as
+    labels run at once.
     """
     sides = []
     for name, hyp in (("old", old), ("new", new)):
@@ -72,8 +92,8 @@ def regression(reference: DataFrame, old: DataFrame, new: DataFrame) -> DataFram
     both = sides[0].unionByName(sides[1])
     pieces = tl.cells(both)
     met = tl.overlap_join(pieces, both).select("uri", F.col("a_start").alias("start"), F.col("a_end").alias("end"), *[F.col(f"b_{c}").alias(c) for c in ("kind", "ref", "hyp", "side")])
-    found = met.groupBy(*CELL).applyInPandas(_compare, "uri string, start double, end double, label string, ref string")
-    return an.smooth(found)
+    dealt = met.repartition(*CELL).sortWithinPartitions(*CELL, "side", "kind", "ref", "hyp")
+    return an.smooth(dealt.mapInArrow(_compare, "uri string, start double, end double, label string, ref string"))
 
 
 def segmentation_errors(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def _probes(reference: DataFrame, hypothesis: DataFrame, step: float) -> DataFra
     k = tl.duration(hyp).join(hyp.groupBy("uri").agg(F.count(F.lit(1)).alias("n")), "uri").select("uri", (F.col("duration") / F.col("n") / 2).alias("k"))
     ends = tl.extent(ref).join(k, "uri").where(F.col("start") < F.col("end") - F.col("k"))
     n = F.ceil((F.col("end") - F.col("k") - F.col("start")) / step).cast("long")
-    points = ends.select("uri", "k", (F.col("start") + F.explode(F.sequence(F.lit(0).cast("long"), n - 1)) * step).alias("i"))
+    points = ends.select("uri", "k", "start", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("j")).select("uri", "k", (F.col("start") + F.col("j") * step).alias("i"))
     for side, df in (("r", ref), ("h", hyp)):
         order = tl.ranked(df)
         for at, t in (("0", F.col("p.i")), ("1", F.col("p.i") + F.col("p.k"))):
