@@ -124,7 +124,7 @@ WIN = SlidingWindow(duration=3600.0, step=1800.0)
 @query(
     "b_window_frames",
     """SELECT track, first, n, CASE WHEN first = 0 THEN 0.0 ELSE (first - 0.5) * 1800 + 1800 END::DOUBLE AS "start",
-    (CASE WHEN first = 0 THEN 0.0 ELSE (first - 0.5) * 1800 + 1800 END + n * 1800)::DOUBLE AS "end" FROM (SELECT track, greatest(0, fs) AS first, fe - greatest(0, fs) AS n FROM
+    ((first - 0.5) * 1800 + 1800 + n * 1800)::DOUBLE AS "end" FROM (SELECT track, greatest(0, fs) AS first, fe - greatest(0, fs) AS n FROM
     (SELECT track, round_even((s - 1800) / 1800, 0)::BIGINT AS fs, round_even((e - 1800) / 1800, 0)::BIGINT AS fe FROM ref))""",
 )
 def _(spark, d):
