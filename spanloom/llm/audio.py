@@ -34,6 +34,9 @@ MEDIA = "doc_id long, n_bytes long, media binary"
 FEATURES = "doc_id long, n_bytes long, media binary, n_frames long, segments array<struct<start_s:double,end_s:double>>, patches binary"
 
 
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 @dataclass(frozen=True)
 class Params:
     rate: int = 16_000  # of the stored samples
@@ -84,7 +87,7 @@ def _encode(unit: int, fill: int, rate: int):
                 ids.append((doc_id.as_py(), len(raw)))
                 out.append(to_wav(raw.ljust(whole, bytes([fill])), rate))
                 held += whole
-                if held > 8 << 20:
+                if held > 2 << 20:
                     yield _media(ids, out)
                     ids, out, held = [], [], 0
             yield _media(ids, out)
@@ -237,6 +240,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(rows: DataFrame) -> DataFrame:
     """Read stored media and patches back and reduce them to checksums and a feature string."""
-    return rows.mapInArrow(
-        _digests, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    return rows.mapInArrow(_digests, DIGESTS)
+
+
+def digest_texts(docs: DataFrame, unit: int = 576, fill: int = 255, p: Params | None = None) -> DataFrame:
+    """encode_texts, features and digests in one Python pass: one worker a task, one small batch
+    in memory at each step."""
+    p = p or Params()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _digests(_features(p)(_encode(unit, fill, p.rate)(batches)))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS)

@@ -14,7 +14,7 @@ def op1_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digests(audio.features(audio.encode_texts(table(spark, sf_dir, "documents"))))
+    return audio.digest_texts(table(spark, sf_dir, "documents"))
 
 
 def op4_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:

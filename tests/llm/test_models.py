@@ -79,7 +79,8 @@ def test_audio_round_trip(spark, odd_docs, no_docs):
             shas[hashlib.sha256(p).hexdigest()] = (len(t), size, zlib.crc32(p[-32:]))
         assert all(shas[r.payload_sha256] == (r.n_bytes, r.payload_bytes, r.tail_crc32) for r in rows)
         assert len({(r.payload_sha256, r.feature, r.media_sha256) for r in rows}) == len({r.payload_sha256 for r in rows})
-    assert audio.features(audio.encode_texts(no_docs)).count() == 0
+        assert sorted(map(tuple, audio.digest_texts(d).collect()), key=repr) == sorted(map(tuple, rows), key=repr)
+    assert audio.features(audio.encode_texts(no_docs)).count() == 0 and audio.digest_texts(no_docs).count() == 0
 
 
 def test_audio_signal():
