@@ -39,12 +39,10 @@ def _islands(delay: float):
                 merged[-1][1] = max(merged[-1][1], e)
             else:
                 merged.append([s, e])
-        late = state.hasTimedOut
-        done = [m for m in merged if late or m[1] < latest - delay - EPS]
-        left = [] if late else [m for m in merged if not m[1] < latest - delay - EPS]
+        done = [m for m in merged if m[1] < latest - delay - EPS]
+        left = [m for m in merged if not m[1] < latest - delay - EPS]
         if left:
             state.update(([x for m in left for x in m], latest))
-            state.setTimeoutDuration(600_000)
         elif state.exists:
             state.remove()
         if done:
@@ -60,7 +58,7 @@ def islands(segments: DataFrame, delay: float) -> DataFrame:
     islands.
     """
     return segments.groupBy("uri", "label").applyInPandasWithState(
-        _islands(delay), "uri string, label string, start double, end double", "open array<double>, latest double", "append", GroupStateTimeout.ProcessingTimeTimeout
+        _islands(delay), "uri string, label string, start double, end double", "open array<double>, latest double", "append", GroupStateTimeout.NoTimeout
     )
 
 
