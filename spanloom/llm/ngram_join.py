@@ -16,7 +16,8 @@ documents without ever spelling out the pairs of a class.
    indexed by combinations of them: its frequent tokens are dealt by hash to more groups than two
    linked sets can differ in, so linked sets agree on all tokens of some group. Each group is one
    key, a combination of k tokens with k about 1 / (2 - 2 * similarity); taking all k-subsets of
-   a prefix instead would grow with its k-th power.
+   a prefix instead would grow with its k-th power. Of a set's keys only the rarest are kept, as
+   many as it may differ in, and one more.
    Pairs that share a rare token have met by it already; all others share frequent tokens only,
    which bounds what they can share. A bucket's sets are compared with its member that has the
    fewest other tokens, and only where that leaves sets of different classes in one bucket, and
@@ -38,6 +39,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from spanloom.llm.common import materialize
 
@@ -168,9 +170,10 @@ def _signatures(percent: int, rare: int):
                             filled[part.astype(np.int64)] = True
                             keys = _mix(_mix(sums + np.uint64(c) * M3) + np.arange(g, dtype=np.uint64) * M1)
                             # more groups agree than are empty, so empty ones need no key, but in tiny sets
+                            most = g
                             if g - differ(c) > g - filled.sum():
-                                keys = keys[filled]
-                            emit(2, keys.view(np.int64), np.zeros(len(keys)), sid, n, own + few)
+                                keys, most = keys[filled], differ(c) + 1
+                            emit(2 + c, keys.view(np.int64), np.full(len(keys), most), sid, n, own + few)
             flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
             yield pa.record_batch([pa.array(c) for c in flat], names=["kind", "key", "pos", "sid", "n", "own"])
 
@@ -268,7 +271,12 @@ def _join(docs: DataFrame, width: int, percent: int, rare: int, id_col: str, tex
     a, b = single.alias("a"), single.alias("b")
     rare_pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & _may_link("a", "b", percent))
     # 5: frequent combinations, every set of a bucket with its pivot
-    combos = keys.where("kind = 2").select("key", "sid", "n", "own")
+    # linked sets differ in few groups, so they meet within the first keys of either, rarest first
+    combos = keys.where("kind > 1")
+    seen = combos.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    nth = F.row_number().over(W.partitionBy("sid", "kind").orderBy("c", "key"))
+    combos = combos.join(seen, "key").withColumn("nth", nth).where("nth <= pos AND c > 1").select("key", "sid", "n", "own")
+    combos = materialize(combos, "ngram-combos")
     pivots = combos.groupBy("key").agg(F.min(F.struct("own", "sid", "n")).alias("p"), F.max("sid").alias("h"), F.min("sid").alias("l")).where("l <> h")
     pivots = pivots.select("key", "p.sid", "p.n", "p.own")
     stars = combos.alias("a").join(pivots.alias("b"), "key").where((F.col("a.sid") != F.col("b.sid")) & _may_link("a", "b", percent))
