@@ -109,7 +109,7 @@ class Mixture:
             k = min(len(g.weight), components - len(g.weight))
             order = np.argsort(-g.weight, kind="stable")
             split, keep = order[:k], order[k:]
-            shift = 0.2 * np.sqrt(g.var[split])
+            shift = 0.8 * np.sqrt(g.var[split])
             g = cls(
                 np.concatenate([g.weight[keep], g.weight[split] / 2, g.weight[split] / 2]),
                 np.concatenate([g.mean[keep], g.mean[split] - shift, g.mean[split] + shift]),
