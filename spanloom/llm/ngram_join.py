@@ -20,8 +20,8 @@ documents without ever spelling out the pairs of a class.
    many as it may differ in, and one more.
    Pairs that share a rare token have met by it already; all others share frequent tokens only,
    which bounds what they can share. A bucket's sets are compared with its member that has the
-   fewest other tokens, and only where that leaves sets of different classes in one bucket, and
-   the bound allows a link, with each other.
+   fewest other tokens; where that leaves several classes in one bucket, the sets outside its
+   largest class are compared with the sets of other classes, if the bound allows a link.
 6. *Verification* counts shared shingles exactly; classes are the components of the links.
 
 Edge cases: texts without words (null, empty, white space) have no set and link with nothing;
@@ -228,6 +228,25 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
 
 
+#: Keys of a set that its rows carry; a pair that meets in more than these may come up again.
+LEAD = 64
+
+
+def _open_buckets(tagged: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several classes, with ``probe`` and ``lead``.
+
+    Members of a bucket's largest class need no comparison with each other, so only the others
+    probe: the work of a bucket is its size times its members outside that class. ``lead`` holds
+    the smallest ``LEAD`` open keys of the set; every pair has its first shared key in common, so
+    taking it there only loses nothing.
+    """
+    held = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = held.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    rows = materialize(tagged.join(mixed.select("key", F.col("top.comp").alias("top")), "key").withColumn("probe", F.col("comp") != F.col("top")).drop("top"), "ngram-open")
+    lead = rows.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAD).alias("lead"))
+    return materialize(rows.join(lead, "sid"), "ngram-lead")
+
+
 def _row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.lit(5), F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
 
@@ -287,11 +306,12 @@ def _join(docs: DataFrame, width: int, percent: int, rare: int, id_col: str, tex
 
     # buckets that still hold several classes: their sets of different classes are compared
     if not combos.isEmpty():
-        tagged = _labelled(combos, comps)
-        mixed = tagged.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l <> h").select("key")
-        open_rows = materialize(tagged.join(mixed, "key", "left_semi"), "ngram-open")
-        x, y = open_rows.alias("a"), open_rows.alias("b")
-        cross = x.join(y, (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & (F.col("a.comp") != F.col("b.comp")) & _may_link("a", "b", percent))
+        open_rows = _open_buckets(_labelled(combos, comps))
+        x, y = open_rows.where("probe").alias("a"), open_rows.alias("b")
+        # of two probes the smaller sid asks; a pair is taken at the first key that both sets lead with
+        once = ~F.col("b.probe") | (F.col("a.sid") < F.col("b.sid"))
+        met = F.array_min(F.array_intersect("a.lead", "b.lead"))
+        cross = x.join(y, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & _may_link("a", "b", percent) & (met.isNull() | (met == F.col("a.key"))))
         more = pick(cross).distinct().join(tried, ["a", "b"], "left_anti")
         links2 = materialize(_verify(more, shingled, percent), "ngram-links2")
         if not links2.isEmpty():
