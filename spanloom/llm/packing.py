@@ -5,12 +5,12 @@ most ``limit`` rows whatever the size of the corpus, is all the packing has to s
 
 1. large lengths are sorted and cut into groups of equal cardinality; each length is rounded up
    to its group's longest;
-2. patterns of the few rounded sizes are chosen by column generation: a price for every group, a
-   knapsack for the pattern worth most, its use, new prices, as long as patterns fill a sequence;
+2. patterns of the few rounded sizes that cover all large pieces are chosen by column generation:
+   a price for every group, a knapsack for the pattern worth most, until none is worth a sequence;
 3. the actual lengths take the places of the rounded ones, longest first, and what they leave
    over counts;
-4. small lengths, and large ones that no well-filled pattern covers, go best-fit, longest first,
-   whole runs of equal sequences at a time.
+4. small lengths, and the large ones left when the uses of patterns are rounded down, go best-fit,
+   longest first, whole runs of equal sequences at a time.
 
 The result is a list of runs: "the n pieces of length l from rank r on go to n sequences from s
 on, at offset o". Pieces find their run by their rank among the pieces of their length.
@@ -189,56 +189,61 @@ def _groups(hist: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
 
 
 def _best_pattern(sizes: np.ndarray, price: np.ndarray, room: int) -> dict[int, int]:
-    """The multiset of groups that fits ``room`` and is worth most: an unbounded knapsack over room."""
-    value, choice = np.zeros(room + 1), np.full(room + 1, -1)
-    for cap in range(1, room + 1):
-        value[cap] = value[cap - 1]
-        fit = int(np.searchsorted(-sizes, -cap))  # sizes fall, so those from ``fit`` on fit in
-        if fit < len(sizes):
-            with_it = value[cap - sizes[fit:]] + price[fit:]
-            g = int(np.argmax(with_it))
-            if with_it[g] > value[cap] + 1e-12:
-                value[cap], choice[cap] = with_it[g], fit + g
+    """The multiset of groups that fits ``room`` and is worth most: a knapsack, one more piece at a time."""
+    caps = np.arange(room + 1)
+    rest = caps[:, None] - sizes
+    value, choices = np.zeros(room + 1), []
+    for _ in range(room // int(sizes.min())):
+        worth = np.where(rest >= 0, value[np.maximum(rest, 0)] + price, -1.0)
+        g = worth.argmax(axis=1)
+        better = worth[caps, g] > value + 1e-12
+        if not better.any():
+            break
+        value = np.where(better, worth[caps, g], value)
+        choices.append(np.where(better, g, -1))
     found: dict[int, int] = defaultdict(int)
     cap = room
-    while cap > 0:
-        g = int(choice[cap])
-        if g < 0:
-            cap -= 1
-        else:
+    for choice in reversed(choices):
+        if (g := int(choice[cap])) >= 0:
             found[g] += 1
             cap -= int(sizes[g])
     return dict(found)
 
 
-def configurations(sizes: list[int], counts: list[int], limit: int, fill: float = 0.998, keep: float = 0.75, rounds: int = 400) -> tuple[list[tuple[dict[int, int], int]], list[int]]:
+def configurations(sizes: list[int], counts: list[int], limit: int, rounds: int = 5000) -> tuple[list[tuple[dict[int, int], int]], list[int]]:
     """Patterns of the rounded sizes, how often each is used, and the counts left uncovered.
 
-    Column generation by multiplicative weights: a group's price is its size, dearer the larger
-    the share of it that is still to be placed. Each round takes the pattern worth most as long
-    as it fills ``fill`` of a sequence, for a part of what its scarcest group has left.
+    The configuration program by column generation: the simplex method starts with sequences of
+    one size each; the basis prices the groups, the pattern worth most enters, until none is worth
+    more than a sequence. Every basis covers all counts. Uses are rounded down, so what is left is
+    less than one sequence of each basic pattern, at most as many patterns as groups.
     """
     size, left = np.array(sizes), np.array(counts, dtype=np.int64)
-    start, aside, used = left.copy(), np.zeros_like(left), defaultdict(int)
+    basis = [{g: limit // int(n)} for g, n in enumerate(size)]
+    inverse = np.diag([1.0 / p[g] for g, p in enumerate(basis)])
+    uses = inverse @ left
     for _ in range(rounds):
-        alive = np.flatnonzero(left)
-        if left.sum() + aside.sum() <= keep * start.sum() or len(alive) == 0:
-            break
-        price = size[alive] * (1.0 + 0.05 * left[alive] / start[alive])
-        best = {int(alive[g]): k for g, k in _best_pattern(size[alive], price, limit).items()}
-        if sum(sizes[g] * k for g, k in best.items()) < fill * limit:
+        price = np.maximum(inverse.sum(axis=0), 0.0)
+        best = _best_pattern(size, price, limit)
+        if sum(price[g] * k for g, k in best.items()) <= 1 + 1e-6:
             break
-        most = min(int(left[g]) // k for g, k in best.items())
-        if most == 0:  # more of a group than there is: it is set aside
-            for g, k in best.items():
-                if left[g] < k:
-                    aside[g], left[g] = left[g], 0
-            continue
-        times = max(1, most // 2) if most > 8 else most
-        used[tuple(sorted(best.items()))] += times
-        for g, k in best.items():
-            left[g] -= k * times
-    return [(dict(p), n) for p, n in used.items()], [int(x) for x in left + aside]
+        column = inverse[:, list(best)] @ np.array(list(best.values()), float)
+        up = column > 1e-9
+        ratio = np.where(up, uses / np.where(up, column, 1.0), np.inf)
+        out = int(ratio.argmin())
+        uses, most = np.maximum(uses - ratio[out] * column, 0.0), ratio[out]
+        uses[out], basis[out] = most, best
+        inverse[out] /= column[out]
+        column[out] = 0.0
+        inverse -= np.outer(column, inverse[out])
+    used = []
+    for pattern, n in zip(basis, np.floor(uses + 1e-6).astype(np.int64), strict=True):
+        times = min([int(n), *(int(left[g]) // k for g, k in pattern.items())])
+        if times > 0:
+            used.append((pattern, times))
+            for g, k in pattern.items():
+                left[g] -= k * times
+    return used, [int(x) for x in left]
 
 
 def _substitute(groups: list[list[tuple[int, int]]], used: list[tuple[dict[int, int], int]]) -> tuple[list[list], list[tuple[int, int]]]:
@@ -271,7 +276,7 @@ def _substitute(groups: list[list[tuple[int, int]]], used: list[tuple[dict[int,
     return runs, [(length, n) for g in supply for length, n in g if n]
 
 
-def pack(hist: dict[int, int], limit: int = 1024, groups: int = 512, small: float = 1 / 8) -> list[list]:
+def pack(hist: dict[int, int], limit: int = 1024, groups: int = 64, small: float = 1 / 8) -> list[list]:
     """Runs [lengths of one sequence, number of such sequences] that hold the whole histogram."""
     hist = {int(k): int(n) for k, n in hist.items() if n}
     runs: list[list] = [[[limit], hist.pop(limit)]] if limit in hist else []

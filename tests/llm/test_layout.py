@@ -130,3 +130,20 @@ def test_pack_near_bound():
             got[x] += n
     assert got == hist
     assert sum(n for _, n in runs) <= 1.01 * sum(k * n for k, n in hist.items()) / 1024 + 1
+
+
+def test_patterns_cover_large_pieces():
+    import random
+
+    r = random.Random(5)
+    for n in (6000, 60_000):
+        hist = defaultdict(int)
+        for _ in range(n):
+            hist[min(1024, max(1, int(r.lognormvariate(5.5, 0.9))))] += 1
+        large = {k: c for k, c in hist.items() if 128 < k < 1024}
+        groups = packing._groups(large, 64)
+        counts = [sum(c for _, c in g) for g in groups]
+        used, left = packing.configurations([g[0][0] for g in groups], counts, 1024)
+        assert all(sum(groups[g][0][0] * k for g, k in p.items()) <= 1024 for p, _ in used)
+        assert [sum(p.get(g, 0) * t for p, t in used) + x for g, x in enumerate(left)] == counts
+        assert sum(left) <= 64 * 7 and sum(left) <= 0.05 * sum(counts)
