@@ -23,6 +23,8 @@ gives no pieces; other columns are not read.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import sys
 import zlib
 from array import array
@@ -62,7 +64,7 @@ class _Coder(dict):
     The vocabulary's pre-split never joins across the start of a space that follows another
     character, so a text without double spaces can be cut before every space. Arrow splits a
     batch and numbers its distinct words; only those are looked up or encoded, and NumPy strings
-    the ids together.
+    the ids together. A text that holds an added token of the vocabulary is split there first.
     """
 
     def __init__(self, path: str, most: int = 200_000):
@@ -71,10 +73,14 @@ class _Coder(dict):
 
         with open(path) as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(str.split, f)}
-        encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = added_tokens(path)
+        encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
+        self.encode_added = encoding.encode
         self.encode, self.piece, self.most = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece, most
 
     def raw(self, text: str) -> bytes:
+        if any(mark in text for mark in self.added):
+            return _packed(self.encode_added(text, allowed_special="all"))
         return _packed(self.encode(text))
 
     def __missing__(self, word: str) -> bytes:
@@ -93,6 +99,8 @@ class _Coder(dict):
         """The ids of all texts, each with the end token, in a row; where each text ends."""
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring(texts, "  ")
+        for mark in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
         lists = pc.split_pattern(pc.if_else(odd, "", texts), pattern=" ")
         flat, ends = lists.flatten().dictionary_encode(), np.asarray(lists.value_lengths()).cumsum()
         words = flat.dictionary.to_pylist()
@@ -113,6 +121,15 @@ class _Coder(dict):
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens beside the ranks: those of the tokenizer file of the same name, none without one."""
+    full = path.removesuffix(".tiktoken") + ".json"
+    if not os.path.exists(full):
+        return {}
+    with open(full) as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def coder(path: str) -> _Coder:
     """One coder a process."""
     if path not in _coders:

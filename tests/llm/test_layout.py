@@ -147,3 +147,20 @@ def test_patterns_cover_large_pieces():
         assert all(sum(groups[g][0][0] * k for g, k in p.items()) <= 1024 for p, _ in used)
         assert [sum(p.get(g, 0) * t for p, t in used) + x for g, x in enumerate(left)] == counts
         assert sum(left) <= 64 * 7 and sum(left) <= 0.05 * sum(counts)
+
+
+def test_added_token_has_its_id(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"foo {mark} bar", mark, f"{mark}{mark} x", f"a  b{mark}", "no mark <|endoftext| here", f"one{mark}two \n{mark}  ", "plain words", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for i, t in enumerate(texts):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (50256 in ids) == (mark in (t or ""))
+        want.append((i, 0, 0, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
+    assert sorted(map(tuple, packing.pieces(docs).collect())) == want
