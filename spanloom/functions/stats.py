@@ -85,36 +85,52 @@ class Mixture:
     def score(self, x: np.ndarray) -> np.ndarray:
         return logsumexp(self.log_parts(x), axis=1)
 
+    def moments(self, x: np.ndarray, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of r, r x and r x x over the rows for each component; sums of parts add up."""
+        n, first, second = np.zeros(len(self.weight)), np.zeros_like(self.mean), np.zeros_like(self.mean)
+        for i in range(0, len(x), chunk):
+            y = x[i : i + chunk]
+            parts = self.log_parts(y)
+            r = np.exp(parts - logsumexp(parts, axis=1)[:, None])
+            n, first, second = n + r.sum(axis=0), first + r.T @ y, second + r.T @ (y * y)
+        return n, first, second
+
+    def moved(self, n: np.ndarray, first: np.ndarray, second: np.ndarray, origin: np.ndarray, floor: float = 1e-4, adapt: str = "wmv", relevance: float = 0.0) -> Mixture:
+        """The model after one step from its moments; ``relevance`` holds means back at ``origin``."""
+        n = n + 1e-10
+        mean = first / n[:, None]
+        if "m" in adapt:
+            a = (n / (n + relevance))[:, None]
+            new = a * mean + (1 - a) * origin
+        else:
+            new = self.mean
+        var = np.maximum(floor, second / n[:, None] - 2 * new * mean + new * new) if "v" in adapt else self.var
+        return Mixture(n / n.sum() if "w" in adapt else self.weight, new, var)
+
     def em(self, x: np.ndarray, steps: int = 10, floor: float = 1e-4, adapt: str = "wmv", relevance: float = 0.0) -> Mixture:
         """EM steps; ``adapt`` names the parameters that move, ``relevance`` holds means back."""
         g = Mixture(self.weight.copy(), self.mean.copy(), self.var.copy())
         for _ in range(steps):
-            parts = g.log_parts(x)
-            r = np.exp(parts - logsumexp(parts, axis=1)[:, None])
-            n = r.sum(axis=0) + 1e-10
-            mean = r.T @ x / n[:, None]
-            if "m" in adapt:
-                a = (n / (n + relevance))[:, None]
-                new = a * mean + (1 - a) * self.mean
-            else:
-                new = g.mean
-            var = np.maximum(floor, r.T @ (x * x) / n[:, None] - 2 * new * mean + new * new) if "v" in adapt else g.var
-            g = Mixture(n / n.sum() if "w" in adapt else g.weight, new, var)
+            g = g.moved(*g.moments(x), self.mean, floor, adapt, relevance)
         return g
 
+    def split(self, components: int) -> Mixture:
+        """The heaviest components in two each, up to ``components`` in all."""
+        k = min(len(self.weight), components - len(self.weight))
+        order = np.argsort(-self.weight, kind="stable")
+        split, keep = order[:k], order[k:]
+        shift = 0.8 * np.sqrt(self.var[split])
+        return Mixture(
+            np.concatenate([self.weight[keep], self.weight[split] / 2, self.weight[split] / 2]),
+            np.concatenate([self.mean[keep], self.mean[split] - shift, self.mean[split] + shift]),
+            np.concatenate([self.var[keep], self.var[split], self.var[split]]),
+        )
+
     @classmethod
     def grow(cls, x: np.ndarray, components: int, steps: int = 10) -> Mixture:
         g = cls(np.ones(1), x.mean(axis=0)[None], np.maximum(x.var(axis=0), 1e-4)[None])
         while len(g.weight) < components:
-            k = min(len(g.weight), components - len(g.weight))
-            order = np.argsort(-g.weight, kind="stable")
-            split, keep = order[:k], order[k:]
-            shift = 0.8 * np.sqrt(g.var[split])
-            g = cls(
-                np.concatenate([g.weight[keep], g.weight[split] / 2, g.weight[split] / 2]),
-                np.concatenate([g.mean[keep], g.mean[split] - shift, g.mean[split] + shift]),
-                np.concatenate([g.var[keep], g.var[split], g.var[split]]),
-            ).em(x, steps)
+            g = g.split(components).em(x, steps)
         return g
 
 

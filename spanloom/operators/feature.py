@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -114,28 +114,53 @@ def gaussians(features: DataFrame, by: list[str]) -> DataFrame:
     return flat.groupBy(*by, "dim").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
 
 
-def train_mixtures(features: DataFrame, components: int = 4, rows: int = 5000, seed: int = 7) -> DataFrame:
-    """A mixture for each label, from at most ``rows`` frames of it (the first in hash order)."""
-    n = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), "uri", "frame"), "uri", "frame"))
-    sample = features.withColumn("_n", n).where(F.col("_n") <= rows)
+MODELS = "label string, weight array<double>, mean array<double>, var array<double>"
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = Mixture.grow(np.stack(pdf["vec"].to_numpy()).astype(float), components)
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "weight": [g.weight], "mean": [g.mean.ravel()], "var": [g.var.ravel()]})
 
-    return sample.select("label", "vec").groupBy("label").applyInPandas(fit, "label string, weight array<double>, mean array<double>, var array<double>")
+def _models(spark: SparkSession, models: dict[str | None, Mixture]) -> DataFrame:
+    rows = [(k, g.weight.tolist(), g.mean.ravel().tolist(), g.var.ravel().tolist()) for k, g in models.items()]
+    return spark.createDataFrame(rows, MODELS)
 
 
-def adapt_mixtures(features: DataFrame, background: Mixture, adapt: str = "m", relevance: float = 16.0, rows: int = 5000) -> DataFrame:
-    """A mixture for each label, moved from a background model by one EM step."""
-    n = F.row_number().over(W.partitionBy("label").orderBy(F.xxhash64("uri", "frame")))
-    sample = features.withColumn("_n", n).where(F.col("_n") <= rows)
+def _em_step(features: DataFrame, model: Callable[[str | None], Mixture], **how) -> dict[str | None, Mixture]:
+    """Each label's model after one EM step over all its frames: partial moments, added up by Spark."""
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = background.em(np.stack(pdf["vec"].to_numpy()).astype(float), 1, adapt=adapt, relevance=relevance)
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "weight": [g.weight], "mean": [g.mean.ravel()], "var": [g.var.ravel()]})
-
-    return sample.select("label", "vec").groupBy("label").applyInPandas(fit, "label string, weight array<double>, mean array<double>, var array<double>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby("label", dropna=False):
+                label = key if isinstance(key, str) else None
+                found = np.concatenate([m.ravel() for m in model(label).moments(np.stack(part["vec"].to_numpy()).astype(float))])
+                sums[label] = sums[label] + found if label in sums else found
+        if sums:
+            yield pd.DataFrame({"label": list(sums), "m": list(sums.values())})
+
+    parts = features.where("size(vec) > 0").select(F.col("label").cast("string").alias("label"), "vec").mapInPandas(run, "label string, m array<double>")
+    added = parts.select("label", F.posexplode("m").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"))
+    out = {}
+    for row in added.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("m")).collect():
+        g, m = model(row["label"]), np.array([e["x"] for e in row["m"]])
+        k, size = len(g.weight), g.mean.size
+        out[row["label"]] = g.moved(m[:k], m[k : k + size].reshape(g.mean.shape), m[k + size :].reshape(g.mean.shape), g.mean, **how)
+    return out
+
+
+def train_mixtures(features: DataFrame, components: int = 4, steps: int = 10) -> DataFrame:
+    """A mixture for each label from all its frames, grown by splitting; each EM step is a pass over the frames."""
+    stats = gaussians(features, ["label"]).groupBy(F.col("label").cast("string").alias("label")).agg(F.sort_array(F.collect_list(F.struct("dim", "mean", "var"))).alias("g"))
+    models = {r["label"]: Mixture(np.ones(1), np.array([[e["mean"] for e in r["g"]]]), np.maximum([[e["var"] for e in r["g"]]], 1e-4)) for r in stats.collect()}
+    size = 1
+    while models and size < components:
+        models = {k: g.split(components) for k, g in models.items()}
+        size = min(components, 2 * size)
+        for _ in range(steps):
+            models = _em_step(features, models.__getitem__)
+    return _models(features.sparkSession, models)
+
+
+def adapt_mixtures(features: DataFrame, background: Mixture, adapt: str = "m", relevance: float = 16.0) -> DataFrame:
+    """A mixture for each label, moved from a background model by one EM step over all its frames."""
+    return _models(features.sparkSession, _em_step(features, lambda _: background, adapt=adapt, relevance=relevance))
 
 
 def collect_mixtures(models: DataFrame) -> dict[str, Mixture]:

@@ -16,6 +16,7 @@ from spanloom.functions.stats import Gaussian, Mixture, isotonic, normal_quantil
 from spanloom.operators import annotation as an
 from spanloom.operators import clustering as cl
 from spanloom.operators import errors as er
+from spanloom.operators import feature as fe
 from spanloom.operators import mapping as mp
 from spanloom.operators import metrics as me
 from spanloom.operators import scores as sc
@@ -163,6 +164,22 @@ def test_metric_identities(spark):
     assert total == pytest.approx(me.identification(r, h).where("uri = '/all'").first().total)
 
 
+def test_mixtures_use_every_frame(spark):
+    r = np.random.default_rng(2)
+    data = {"a": np.concatenate([r.normal(-3, 1, (4000, 2)), r.normal(3, 2, (3000, 2))]), "b": r.normal(1, 1, (50, 2)), None: r.normal(0, 1, (20, 2))}
+    rows = [("u", i, x.tolist(), k) for k, xs in data.items() for i, x in enumerate(xs)]
+    frames = spark.createDataFrame(rows, "uri string, frame long, vec array<double>, label string").repartition(5)
+    for n in (1, 3):
+        got = fe.collect_mixtures(fe.train_mixtures(frames, n))
+        assert set(got) == set(data)
+        for k, xs in data.items():
+            want = Mixture.grow(xs, n)
+            assert all(np.allclose(a, b, atol=1e-6) for a, b in ((got[k].weight, want.weight), (got[k].mean, want.mean), (got[k].var, want.var)))
+    base = Mixture.grow(np.concatenate(list(data.values())), 2)
+    moved = fe.collect_mixtures(fe.adapt_mixtures(frames, base))
+    assert all(np.allclose(moved[k].mean, base.em(xs, 1, adapt="m", relevance=16.0).mean, atol=1e-9) for k, xs in data.items())
+
+
 def test_statistics():
     r = np.random.default_rng(0)
     x, y = r.normal(size=(50, 3)), r.normal(1, 2, size=(70, 3))
