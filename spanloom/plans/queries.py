@@ -526,6 +526,16 @@ def _(spark, d):
     return me.windowdiff(T(spark, d), TH(spark, d), 50.0)
 
 
+@query("k_pk_step1")
+def _(spark, d):
+    return me.pk(T(spark, d), TH(spark, d))
+
+
+@query("k_windowdiff_step1")
+def _(spark, d):
+    return me.windowdiff(T(spark, d), TH(spark, d))
+
+
 @query("k_global_error")
 def _(spark, d):
     return me.global_error(R(spark, d), H(spark, d), tl.timeline(U(spark, d)))

@@ -149,6 +149,29 @@ def test_segmentation_metrics(spark):
     assert me.pk(ref, segs(spark, (0, 3), (3, 4))).first().rate == pytest.approx(1 / 3)
 
 
+def test_every_probe_is_made(spark):
+    def probes(ref, hyp):
+        first = lambda side, t: next((n for n, (s, e) in enumerate(side) if s <= t <= e), None)
+        k, lo, hi = sum(e - s for s, e in hyp) / len(hyp) / 2, ref[0][0], max(e for _, e in ref)
+        for i in itertools.takewhile(lambda i: i < hi - k, itertools.count(lo)):
+            yield [first(side, t) for side in (ref, hyp) for t in (i, i + k)]
+
+    def turns(df):
+        out = {}
+        for r in df.select("uri", "start", "end").where("end > start").distinct().collect():
+            out.setdefault(r.uri, []).append((r.start, r.end))
+        return {u: sorted(x) for u, x in out.items()}
+
+    cross = lambda a, b: (-1 if b is None else b) - (-1 if a is None else a)
+    same = {"k_pk_step1": lambda a, b, c, d: (a == b) == (c == d), "k_windowdiff_step1": lambda a, b, c, d: cross(a, b) == cross(c, d)}
+    ref, hyp = turns(plans.T(spark, SF)), turns(plans.TH(spark, SF))
+    for name, f in same.items():
+        got = {r.uri: r.rate for r in plans.queries()[name](spark, SF).collect()}
+        hits = {u: [f(*x) for x in probes(ref[u], hyp[u])] for u in ref if u in hyp}
+        want = {u: sum(x) / len(x) for u, x in hits.items() if x}
+        assert len(got) > 5 and got == pytest.approx(want)
+
+
 def test_metric_identities(spark):
     from spanloom.plans import views as v
 
