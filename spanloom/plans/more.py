@@ -222,7 +222,7 @@ def _(spark, d):
 @query("p_mine")
 def _(spark, d):
     r = v.ann_unk(spark, d)
-    return pr.mine(r, scores=v.scores(spark, d), names=r, nbest=1, alpha=0.7)
+    return pr.mine(r, scores=v.scores(spark, d), names=r, alpha=0.7)
 
 
 # --- L, R: formats and programs ------------------------------------------------------------------

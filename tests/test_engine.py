@@ -172,6 +172,14 @@ def test_every_probe_is_made(spark):
         assert len(got) > 5 and got == pytest.approx(want)
 
 
+def test_mining_sees_every_score(spark):
+    from spanloom.plans import views as v
+
+    r = v.ann_unk(spark, SF)
+    rows = lambda df: sorted(map(tuple, df.select("uri", "start", "end", "track", "label", "is_unknown").collect()))
+    assert rows(plans.queries()["p_mine"](spark, SF)) == rows(pr.mine(r, scores=v.scores(spark, SF), names=r, alpha=0.7))
+
+
 def test_metric_identities(spark):
     from spanloom.plans import views as v
 
