@@ -122,15 +122,24 @@ def log_costs(edges: DataFrame) -> DataFrame:
     return edges.where("probability > 0").withColumn("probability", -F.log("probability"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 8) -> DataFrame:
-    """(uri, source, item, probability): likeliest path of at most ``rounds`` edges from each source
-    (uri, item), by relaxation over -log probabilities."""
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(uri, source, item, probability): likeliest path from each source (uri, item), by relaxation
+    over -log probabilities until no path gets better; lineage is cut by checkpoints each round."""
+    spark = edges.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     cost = log_costs(edges)
-    both = cost.select("uri", "src", "dst", F.col("probability").alias("c")).unionByName(cost.select("uri", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("probability").alias("c")))
-    now = sources.select("uri", F.col("item").alias("source"), "item", F.lit(0.0).alias("c"))
-    for _ in range(rounds):
-        step = now.withColumnRenamed("item", "src").withColumnRenamed("c", "d").join(both, ["uri", "src"]).select("uri", "source", F.col("dst").alias("item"), (F.col("d") + F.col("c")).alias("c"))
-        now = now.unionByName(step).groupBy("uri", "source", "item").agg(F.min("c").alias("c"))
+    both = cost.select("uri", "src", "dst", F.col("probability").alias("c")).unionByName(cost.select("uri", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("probability").alias("c"))).checkpoint()
+    if not both.where("c < 0").isEmpty():
+        raise ValueError("probabilities above 1 have no likeliest path")
+    now = sources.select("uri", F.col("item").alias("source"), "item", F.lit(0.0).alias("c"), F.lit(True).alias("new")).distinct().checkpoint()
+    while not now.where("new").isEmpty():
+        step = now.where("new").select("uri", "source", F.col("item").alias("src"), F.col("c").alias("d")).join(both, ["uri", "src"])
+        found = step.select("uri", "source", F.col("dst").alias("item"), (F.col("d") + F.col("c")).alias("c"), F.lit(None).cast("double").alias("was"))
+        best = now.select("uri", "source", "item", "c", F.col("c").alias("was")).unionByName(found).groupBy("uri", "source", "item").agg(F.min("c").alias("c"), F.min("was").alias("was"))
+        now = best.select("uri", "source", "item", "c", (F.col("was").isNull() | (F.col("c") < F.col("was"))).alias("new")).checkpoint()
     return now.select("uri", "source", "item", F.exp(-F.col("c")).alias("probability"))
 
 

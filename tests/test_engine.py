@@ -180,6 +180,14 @@ def test_mining_sees_every_score(spark):
     assert rows(plans.queries()["p_mine"](spark, SF)) == rows(pr.mine(r, scores=v.scores(spark, SF), names=r, alpha=0.7))
 
 
+def test_shortest_paths_reach_the_end_of_a_chain(spark):
+    from spanloom.operators import graph as gr
+
+    rows = [("u", f"n{i:02}", f"n{i + 1:02}", 0.99) for i in range(12)] + [("u", "n00", "n12", 0.5), ("u", "x", "y", 0.9)]
+    got = gr.shortest_paths(spark.createDataFrame(rows, "uri string, src string, dst string, probability double"), spark.createDataFrame([("u", "n00")], "uri string, item string"))
+    assert {r["item"]: r.probability for r in got.collect()} == pytest.approx({f"n{i:02}": 0.99**i for i in range(13)})
+
+
 def test_metric_identities(spark):
     from spanloom.plans import views as v
 
