@@ -7,10 +7,12 @@ most ``limit`` rows whatever the size of the corpus, is all the packing has to s
    to its group's longest;
 2. patterns of the few rounded sizes that cover all large pieces are chosen by column generation:
    a price for every group, a knapsack for the pattern worth most, until none is worth a sequence;
-3. the actual lengths take the places of the rounded ones, longest first, and what they leave
-   over counts;
+3. the actual lengths take the places of the rounded ones, longest first; the last place of a
+   pattern takes the longest that fits, which gives back what rounding up has cost;
 4. small lengths, and the large ones left when the uses of patterns are rounded down, go best-fit,
-   longest first, whole runs of equal sequences at a time.
+   longest first, whole runs of equal sequences at a time;
+5. a few choices of the number of groups and of where large lengths begin are tried, the one with
+   the fewest sequences is taken.
 
 The result is a list of runs: "the n pieces of length l from rank r on go to n sequences from s
 on, at offset o". Pieces find their run by their rank among the pieces of their length.
@@ -28,7 +30,7 @@ import os
 import sys
 import zlib
 from array import array
-from bisect import insort
+from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -263,50 +265,46 @@ def configurations(sizes: list[int], counts: list[int], limit: int, rounds: int
     return used, [int(x) for x in left]
 
 
-def _substitute(groups: list[list[tuple[int, int]]], used: list[tuple[dict[int, int], int]]) -> tuple[list[list], list[tuple[int, int]]]:
-    """Runs [lengths, count] of sequences with actual lengths in the places of rounded ones, and what has none."""
-    supply = [[list(x) for x in g] for g in groups]  # (length, n) still to place, longest first
+def _substitute(grouped: list[list[tuple[int, int]]], used: list[tuple[dict[int, int], int]], limit: int) -> tuple[list[list], list[tuple[int, int]]]:
+    """Runs [lengths, count] of sequences with actual lengths in the places of rounded ones, and what has none.
+
+    Each place takes the longest length left that is not above its rounded size; the last one
+    takes the longest that fits, so it gets back what rounding up has cost the others.
+    """
+    left: dict[int, int] = defaultdict(int)
+    for g in grouped:
+        for length, n in g:
+            left[length] += n
+    lengths = sorted(left)
     runs: list[list] = []
     for pattern, times in used:
-        slots = [g for g, k in sorted(pattern.items()) for _ in range(k)]
-        while times:
-            heads = {}
-            for g in slots:
-                while supply[g] and supply[g][0][1] == 0:
-                    supply[g].pop(0)
-                heads[g] = supply[g][0]
-            n = min([times, *(heads[g][1] // slots.count(g) for g in heads)])
-            if n == 0:  # a length ends within a sequence: build one from what comes next
-                lengths = []
-                for g in slots:
-                    while supply[g][0][1] == 0:
-                        supply[g].pop(0)
-                    lengths.append(supply[g][0][0])
-                    supply[g][0][1] -= 1
-                runs.append([lengths, 1])
-                times -= 1
-                continue
-            runs.append([[heads[g][0] for g in slots], n])
-            for g in slots:
-                heads[g][1] -= n
+        places = [grouped[g][0][0] for g in sorted(pattern) for _ in range(pattern[g])]
+        while times and lengths:
+            chosen: dict[int, int] = defaultdict(int)
+            got: list[int] = []
+            for i, size in enumerate(places):
+                room = limit - sum(got)
+                at = bisect_right(lengths, room if i == len(places) - 1 else min(room, size))
+                while at and left[lengths[at - 1]] <= chosen[lengths[at - 1]]:
+                    at -= 1
+                if not at:
+                    break
+                got.append(lengths[at - 1])
+                chosen[got[-1]] += 1
+            if not got:
+                break
+            n = min([times, *(left[x] // k for x, k in chosen.items() if k)])
+            for x, k in chosen.items():
+                left[x] -= n * k
+                if not left[x]:
+                    lengths.remove(x)
+            runs.append([got, n])
             times -= n
-    return runs, [(length, n) for g in supply for length, n in g if n]
+    return runs, [(x, left[x]) for x in lengths]
 
 
-def pack(hist: dict[int, int], limit: int = 1024, groups: int = 64, small: float = 1 / 8) -> list[list]:
-    """Runs [lengths of one sequence, number of such sequences] that hold the whole histogram."""
-    hist = {int(k): int(n) for k, n in hist.items() if n}
-    runs: list[list] = [[[limit], hist.pop(limit)]] if limit in hist else []
-    large = {k: n for k, n in hist.items() if k > small * limit}
-    fine = {k: n for k, n in hist.items() if k <= small * limit}
-    grouped = _groups(large, groups) if large else []
-    sizes, counts = [g[0][0] for g in grouped], [sum(n for _, n in g) for g in grouped]
-    open_runs: list[list] = []
-    if grouped:
-        open_runs, rest = _substitute(grouped, configurations(sizes, counts, limit)[0])
-        for length, n in rest:
-            fine[length] = fine.get(length, 0) + n
-
+def _best_fit(runs: list[list], rest: dict[int, int], limit: int) -> list[list]:
+    """Add lengths to runs, longest first, each to the fullest sequences it fits; new ones where it fits none."""
     by_room: dict[int, list] = defaultdict(list)  # room -> runs with that much left
     rooms: list[int] = []
 
@@ -316,19 +314,19 @@ def pack(hist: dict[int, int], limit: int = 1024, groups: int = 64, small: float
             insort(rooms, room)
         by_room[room].append(run)
 
-    for r in open_runs:
+    for r in runs:
         put(r)
-    for length in sorted(fine, reverse=True):
-        n = fine[length]
+    for length in sorted(rest, reverse=True):
+        n = rest[length]
         while n:
             room = next((r for r in rooms if r >= length), None)
             if room is None:
                 fit = limit // length
-                full, rest = divmod(n, fit)
+                full, part = divmod(n, fit)
                 if full:
                     put([[length] * fit, full])
-                if rest:
-                    put([[length] * rest, 1])
+                if part:
+                    put([[length] * part, 1])
                 n = 0
                 continue
             run = by_room[room].pop()
@@ -346,7 +344,37 @@ def pack(hist: dict[int, int], limit: int = 1024, groups: int = 64, small: float
                 n = 0
             if run[1]:
                 put(run)
-    return runs + [r for room in rooms for r in by_room[room]]
+    return [r for room in rooms for r in by_room[room]]
+
+
+def scheme(hist: dict[int, int], limit: int, groups: int, small: float, crowded: bool) -> list[list]:
+    """One run of the grouping scheme: patterns for lengths above ``small * limit``, best fit for the
+    others and for what the patterns leave. ``crowded`` uses patterns of many pieces first, else
+    those of the longest."""
+    hist = {int(k): int(n) for k, n in hist.items() if n}
+    runs: list[list] = [[[limit], hist.pop(limit)]] if limit in hist else []
+    rest = {k: n for k, n in hist.items() if k <= small * limit}
+    filled: list[list] = []
+    if len(rest) < len(hist):
+        grouped = _groups({k: n for k, n in hist.items() if k > small * limit}, groups)
+        used, _ = configurations([g[0][0] for g in grouped], [sum(n for _, n in g) for g in grouped], limit)
+        used.sort(key=lambda u: (-sum(u[0].values()) if crowded else 0, sorted(u[0])))
+        filled, bare = _substitute(grouped, used, limit)
+        for length, n in bare:
+            rest[length] = rest.get(length, 0) + n
+    return runs + _best_fit(filled, rest, limit)
+
+
+#: (groups, share of a sequence above which a length is large). With one half, patterns hold one
+#: large piece each and all pairing is left to best fit, so no choice packs worse than best fit alone.
+SETTINGS = ((64, 1 / 3), (64, 1 / 4), (32, 1 / 3), (64, 1 / 2))
+
+
+def pack(hist: dict[int, int], limit: int = 1024, settings: tuple[tuple[int, float], ...] = SETTINGS) -> list[list]:
+    """Runs [lengths of one sequence, number of such sequences] that hold the whole histogram: of
+    all settings the one with the fewest sequences, the first of those that tie."""
+    tried = [scheme(hist, limit, g, small, crowded) for g, small in settings for crowded in (True, False)]
+    return min(tried, key=lambda runs: sum(n for _, n in runs))
 
 
 def place_runs(runs: list[list]) -> dict[int, list[tuple[int, int, int, int, int]]]:
@@ -364,13 +392,13 @@ def place_runs(runs: list[list]) -> dict[int, list[tuple[int, int, int, int, int
     return out
 
 
-def assign(made: DataFrame, limit: int = 1024, rows_per_bucket: int = 50_000) -> DataFrame:
+def assign(made: DataFrame, limit: int = 1024, rows_per_bucket: int = 25_000) -> DataFrame:
     """Add sequence_id and offset to (materialized) pieces."""
     spark = made.sparkSession
     hist = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = place_runs(pack(hist, limit))
     # ranks within a length: buckets by hash, their counts added up; a length's buckets follow its count
-    buckets = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(hist.items()) for x in (k, max(1, n // rows_per_bucket))]), F.col("length")) if hist else F.lit(1)
+    buckets = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(hist.items()) for x in (k, -(-n // rows_per_bucket))]), F.col("length")) if hist else F.lit(1)
     rows = made.withColumn("_h", F.xxhash64("doc_id", "piece", "start", "ids_crc32")).withColumn("_b", F.pmod(F.col("_h"), buckets.cast("long")).cast("long"))
     counts = rows.groupBy("length", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)

@@ -88,7 +88,6 @@ def check_packing(docs, rows, limit):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = []
     for r in docs.select("doc_id", "text").collect():
         ids = tok.encode(r.text or "", add_special_tokens=False).ids + [2]
@@ -110,11 +109,35 @@ def check_packing(docs, rows, limit):
 def test_packing(spark, odd_docs, no_docs):
     docs = table(spark, SF, "documents")
     used, tokens = check_packing(docs, packing.best_fit(docs).collect(), 1024)
-    assert used <= 1.04 * tokens / 1024 + 1
+    assert used <= plain_best_fit([r.length for r in packing.pieces(docs).collect()], 1024) and used <= 1.02 * tokens / 1024 + 1
     check_packing(odd_docs, packing.best_fit(odd_docs, limit=64).collect(), 64)
     assert packing.best_fit(no_docs).count() == 0
 
 
+def plain_best_fit(lengths, limit):
+    """Sequences that best-fit decreasing needs, one piece at a time."""
+    from bisect import bisect_left, insort
+
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else limit
+        if room > n:
+            insort(rooms, room - n)
+        else:
+            rooms.insert(0, 0)
+    return len(rooms)
+
+
+def test_no_more_sequences_than_best_fit(spark):
+    lengths = [r.length for r in packing.pieces(table(spark, "/root/testdata/sf0.01", "documents")).collect()]
+    hist = defaultdict(int)
+    for n in lengths:
+        hist[n] += 1
+    used = sum(n for _, n in packing.pack(hist))
+    assert used <= plain_best_fit(lengths, 1024) and used <= sum(lengths) / 1024 + 3
+
+
 def test_pack_near_bound():
     import random
 
