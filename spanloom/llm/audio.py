@@ -6,13 +6,15 @@ samples give ``up`` outputs, each by its own phase of a windowed-sinc filter. Ov
 of the result go through a Hann window, a real FFT and triangular mel filters; the logarithms are
 cut into fixed-shape patches. Segments are runs of frames above a lower energy threshold that
 touch a higher one. Patches with their time spans are an Arrow record batch with a fixed-shape
-tensor column, kept as IPC bytes in a binary column; segments are an array of spans.
+tensor column (half floats), kept as IPC bytes in a binary column; segments are an array of spans.
+Media are written to the shared folder first; features and checksums come from what is read back,
+and are a stored table of their own.
 
 All work is done for one row at a time, in blocks of fixed size, so that equal media give equal
 features whatever else a batch holds.
 
 Edge cases: a null text is an empty one and an empty payload is filled up to one unit; null
-media give null features; media shorter than a frame give one zero-padded frame; repeated rows
+media give null checksums, features and digests; media shorter than a frame give one zero-padded frame; repeated rows
 give repeated rows; an empty table gives an empty result; other columns are not read.
 """
 
@@ -27,14 +29,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEDIA = "doc_id long, n_bytes long, media binary"
-FEATURES = "doc_id long, n_bytes long, media binary, n_frames long, segments array<struct<start_s:double,end_s:double>>, patches binary"
-
+from spanloom.llm.common import delete, materialize
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MEDIA = "doc_id long, n_bytes long, media binary"
+CHECKS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+FEATURES = f"doc_id long, n_bytes long, {CHECKS}, n_frames long, segments array<struct<start_s:double,end_s:double>>, patches binary"
+DIGESTS = f"doc_id long, n_bytes long, {CHECKS}, feature string"
 
 
 @dataclass(frozen=True)
@@ -170,7 +174,7 @@ def segments(mel: np.ndarray, p: Params) -> list[tuple[float, float]]:
 def pack_patches(mel: np.ndarray, p: Params) -> bytes:
     """Fixed-shape tensors with their time spans as an Arrow IPC stream."""
     n = max(1, -(-len(mel) // p.patch))
-    full = np.zeros((n * p.patch, p.mels), np.float32)
+    full = np.zeros((n * p.patch, p.mels), np.float16)
     full[: len(mel)] = mel
     tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, p.patch, p.mels))
     at = np.arange(n) * p.patch
@@ -190,65 +194,72 @@ def unpack_patches(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("log_mel").to_numpy_ndarray(), spans
 
 
-def analyse(media: bytes, p: Params) -> tuple[int, list[tuple[float, float]], bytes]:
+def analyse(media: bytes, p: Params) -> tuple:
+    """Checksums, number of frames, segments and patches of one medium."""
     rate, payload = from_wav(media)
     if rate != p.rate:
         raise ValueError(f"rate {rate}, expected {p.rate}")
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128.0) / 128.0
     mel = log_mel(resample(x, p), p)
-    return len(mel), segments(mel, p), pack_patches(mel, p)
+    checks = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())
+    return *checks, len(mel), segments(mel, p), pack_patches(mel, p)
 
 
 def _features(p: Params):
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), span, pa.binary()]
+    names = ["doc_id", "n_bytes", *(f.split()[0] for f in CHECKS.split(", ")), "n_frames", "segments", "patches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, found, packed = [], [], []
-            for m in b.column("media"):
-                row = (None, None, None) if m.as_py() is None else analyse(m.as_py(), p)
-                n.append(row[0])
-                found.append(None if row[1] is None else [{"start_s": s, "end_s": e} for s, e in row[1]])
-                packed.append(row[2])
-            yield pa.record_batch([*b.columns, pa.array(n, pa.int64()), pa.array(found, span), pa.array(packed, pa.binary())], names=[*b.schema.names, "n_frames", "segments", "patches"])
+            media = b.column("media")
+            size = np.asarray(pc.fill_null(pc.binary_length(media), 0)).cumsum()
+            lo = 0
+            while lo < b.num_rows:  # some megabytes of media at a time, one row at least
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + (2 << 20), "right")))
+                rows = [(None,) * len(kinds) if m.as_py() is None else analyse(m.as_py(), p) for m in media.slice(lo, hi - lo)]
+                cols = list(zip(*rows, strict=True))
+                cols[6] = [None if s is None else [{"start_s": a, "end_s": e} for a, e in s] for s in cols[6]]
+                yield pa.record_batch([b.column(c).slice(lo, hi - lo) for c in ("doc_id", "n_bytes")] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                lo = hi
 
     return run
 
 
 def features(media: DataFrame, p: Params | None = None) -> DataFrame:
-    """Add n_frames, segments and patches to rows of doc_id, n_bytes, media."""
+    """Checksums, n_frames, segments and patches of rows of doc_id, n_bytes, media."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_features(p or Params()), FEATURES)
 
 
+def _feature(frames: int | None, segs: list[dict] | None, packed: bytes | None) -> str | None:
+    if packed is None:
+        return None
+    coarse = np.rint(unpack_patches(packed)[0].astype(np.float32) * 4).astype("<i2").tobytes()
+    voiced = sum(s["end_s"] - s["start_s"] for s in segs)
+    return f"frames={frames};segments={len(segs)};voiced_s={voiced:.3f};mel={hashlib.sha1(coarse).hexdigest()[:20]}"
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = [f.split()[0] for f in DIGESTS.split(", ")]
     for b in batches:
-        out: list[list] = [[] for _ in names]
-        for doc_id, n, media, frames, segs, packed in zip(*(b.column(c) for c in ("doc_id", "n_bytes", "media", "n_frames", "segments", "patches")), strict=True):
-            media, packed = media.as_py(), packed.as_py()
-            _, payload = from_wav(media)
-            mel, _ = unpack_patches(packed)
-            coarse = np.rint(mel * 4).astype("<i2").tobytes()
-            voiced = sum(s["end_s"] - s["start_s"] for s in segs.as_py())
-            feature = f"frames={frames.as_py()};segments={len(segs)};voiced_s={voiced:.3f};mel={hashlib.sha1(coarse).hexdigest()[:20]}"
-            row = (doc_id.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-            for c, x in zip(out, row, strict=True):
-                c.append(x)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+        found = [_feature(n.as_py(), s.as_py(), x.as_py()) for n, s, x in zip(*(b.column(c) for c in ("n_frames", "segments", "patches")), strict=True)]
+        yield pa.record_batch([*(b.column(c) for c in names[:-1]), pa.array(found, pa.string())], names=names)
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """Read stored media and patches back and reduce them to checksums and a feature string."""
+    """Read stored features back and reduce the tensors and segments to a string."""
     return rows.mapInArrow(_digests, DIGESTS)
 
 
-def digest_texts(docs: DataFrame, unit: int = 576, fill: int = 255, p: Params | None = None) -> DataFrame:
-    """encode_texts, features and digests in one Python pass: one worker a task, one small batch
-    in memory at each step."""
+def store(docs: DataFrame, unit: int = 576, fill: int = 255, p: Params | None = None) -> tuple[DataFrame, DataFrame]:
+    """The stored media table, and the stored features of what is read back from it."""
     p = p or Params()
+    media = materialize(encode_texts(docs, unit, fill, p.rate), "audio-media", "zstd")
+    return media, materialize(features(media, p), "audio-features", "zstd")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _digests(_features(p)(_encode(unit, fill, p.rate)(batches)))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS)
+def digest_texts(docs: DataFrame, unit: int = 576, fill: int = 255, p: Params | None = None) -> DataFrame:
+    """Checksums and a feature string of each text's stored medium."""
+    media, found = store(docs, unit, fill, p)
+    delete(docs.sparkSession, media._stored_at)  # all that is asked for here has been read from it
+    return digests(found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,21 +17,58 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else one of our own (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Unset, a temporary folder serves
+    where driver and executors are one process; on a cluster that would lose rows, so it is an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    own = os.environ.get("SPANLOOM_SHARED_DIR") or os.path.join(tempfile.gettempdir(), "checkpoints")
-    return "file://" + own
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: it cuts lineage, survives lost
     executors, and gives the optimizer real sizes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+class Scratch:
+    """Tables of one run: called like ``materialize``; ``drop`` deletes all but those it is given."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+        self.made.append(materialize(df, name, codec))
+        return self.made[-1]
+
+    def drop(self, *keep: DataFrame) -> None:
+        kept = {k._stored_at for k in keep}
+        for df in self.made:
+            if df._stored_at not in kept:
+                delete(df.sparkSession, df._stored_at)
+        self.made = [df for df in self.made if df._stored_at in kept]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _hadoop(spark, path)
+    fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _hadoop(spark, path)
+    return fs.exists(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
