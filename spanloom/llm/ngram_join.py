@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct word shingles. Document
 Jaccard similarity of their sets reaches ``similarity``; the join returns classes of linked
 documents without ever spelling out the pairs of a class.
 
-1. *Equal sets* are one representative from here on, whatever their number.
+1. *Equal sets* (by two 64-bit hashes) are one representative from here on, whatever their number.
 2. *Sampling cut.* Shingles whose hash is in a fixed part of the hash range are counted exactly.
    A set with more shingles of its own there than a link may leave unshared links with nothing.
 3. *Classes of tokens.* Among the sets left, all shingles are counted. Those of one set alone
@@ -21,7 +21,10 @@ documents without ever spelling out the pairs of a class.
    Pairs that share a rare token have met by it already; all others share frequent tokens only,
    which bounds what they can share. A bucket's sets are compared with its member that has the
    fewest other tokens; where that leaves several classes in one bucket, the sets outside its
-   largest class are compared with the sets of other classes, if the bound allows a link.
+   largest class are compared with the sets of other classes, if the bound allows a link. The
+   bound says how large a partner a set can reach, so a bucket's sets are dealt to bands of size
+   and reach, and only bands that can hold partners are joined: pages that share a template and
+   differ too much to link cost no pairs.
 6. *Verification* counts shared shingles exactly; classes are the components of the links.
 
 Edge cases: texts without words (null, empty, white space) have no set and link with nothing;
@@ -41,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanloom.llm.common import materialize
+from spanloom.llm.common import Scratch, materialize
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -195,13 +198,13 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "na", "nb", shared.alias("c")).where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, rounds: int = 40, keep=materialize) -> DataFrame:
     """(sid, comp) for all ends of links: the smallest sid of the component.
 
     Alternating large and small stars: each round points every vertex's neighbours at its
     smallest one; the number of rounds grows with the logarithm of the longest path.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars0")
+    edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars0")
     seen = None
     for i in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -210,7 +213,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         down = large.where("u <> v").distinct()
         low2 = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), f"stars{i + 1}")
+        new = keep(small.select("e.u", "e.v").where("u <> v").distinct(), f"stars{i + 1}")
         now = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         edges = new
         if now == seen:
@@ -232,19 +235,45 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
 LEAD = 64
 
 
-def _open_buckets(tagged: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several classes, with ``probe`` and ``lead``.
+def _open_buckets(tagged: DataFrame, percent: int, keep) -> DataFrame:
+    """The rows of buckets that hold several classes, with ``probe``, ``lead``, ``reach`` and bands.
 
     Members of a bucket's largest class need no comparison with each other, so only the others
-    probe: the work of a bucket is its size times its members outside that class. ``lead`` holds
-    the smallest ``LEAD`` open keys of the set; every pair has its first shared key in common, so
-    taking it there only loses nothing.
+    probe. ``lead`` holds the smallest ``LEAD`` open keys of the set; every pair has its first
+    shared key in common, so taking it there only loses nothing. ``reach`` restates the bound of
+    ``_may_link``: a and b may link only if reach(a) >= percent * n(b) and reach(b) >= percent * n(a).
+    Sets that reach no size at all go; ``nb`` and ``rb`` are bands of half a percent.
     """
     held = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = held.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    rows = materialize(tagged.join(mixed.select("key", F.col("top.comp").alias("top")), "key").withColumn("probe", F.col("comp") != F.col("top")).drop("top"), "ngram-open")
+    rows = tagged.join(mixed.select("key", F.col("top.comp").alias("top")), "key").withColumn("probe", F.col("comp") != F.col("top")).drop("top")
+    rows = rows.withColumn("reach", (100 + percent) * (F.col("n") - F.col("own")) - percent * F.col("n")).where(F.col("reach") >= percent)
+    band = lambda c: F.floor(F.log(c) * 200).cast("int")
+    rows = keep(rows.withColumns({"nb": band("n"), "rb": band("reach")}), "ngram-open")
     lead = rows.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAD).alias("lead"))
-    return materialize(rows.join(lead, "sid"), "ngram-lead")
+    return keep(rows.join(lead, "sid"), "ngram-lead")
+
+
+def _meeting_bands(rows: DataFrame, percent: int) -> DataFrame:
+    """(key, nb, rb, to_nb, to_rb): bands of probes and bands that can hold partners of theirs.
+
+    Bands are counted first: a bucket has a bounded number of them, whatever its size.
+    """
+    bands = rows.groupBy("key", "nb", "rb").agg(F.min("n").alias("n"), F.max("reach").alias("reach"), F.max("probe").alias("probe"))
+    a, b = bands.where("probe").alias("a"), bands.alias("b")
+    can = (F.col("a.reach") >= percent * F.col("b.n")) & (F.col("b.reach") >= percent * F.col("a.n"))
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & can).select("a.key", "a.nb", "a.rb", F.col("b.nb").alias("to_nb"), F.col("b.rb").alias("to_rb"))
+
+
+def _cross(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of open rows of different classes that may link, each taken at one key."""
+    asks = rows.where("probe").join(_meeting_bands(rows, percent), ["key", "nb", "rb"])
+    x, y = asks.alias("a"), rows.alias("b")
+    # of two probes the smaller sid asks; a pair is taken at the first key that both sets lead with
+    once = ~F.col("b.probe") | (F.col("a.sid") < F.col("b.sid"))
+    met = F.array_min(F.array_intersect("a.lead", "b.lead"))
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.to_nb") == F.col("b.nb")) & (F.col("a.to_rb") == F.col("b.rb"))
+    return x.join(y, same & (F.col("a.comp") != F.col("b.comp")) & once & _may_link("a", "b", percent) & (met.isNull() | (met == F.col("a.key"))))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -253,19 +282,25 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 def _join(docs: DataFrame, width: int, percent: int, rare: int, id_col: str, text_col: str, lookup: int = 1_000_000) -> DataFrame:
     """doc_id, rk, n, comp (null for rows without a set), component_id."""
+    tables = Scratch()
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("rk"))
     keep = min(1.0, 2.5 * (1 - percent / 100))
     head = base.select(F.struct("doc_id", "rk").alias("k"), "text")
-    first = materialize(
-        sets_of(head, "k", "text", width, keep).select("k.doc_id", "k.rk", "n", F.col("s1").alias("sid"), "s2", "toks"), "ngram-sets"
-    )
+    first = tables(sets_of(head, "k", "text", width, keep).select("k.doc_id", "k.rk", "n", "s1", "s2", "toks"), "ngram-sets")
     filled = first.where("n > 0")
 
     # 1, 2: distinct sets, and how many sampled shingles each has alone
-    distinct = filled.groupBy("sid").agg(F.min("rk").alias("rk"), F.max("n").alias("n"))
+    distinct = tables(filled.groupBy("s1", "s2").agg(F.min("rk").alias("rk"), F.max("n").alias("n")), "ngram-distinct")
+    # the first hash names a set, unless different sets share it: then a hash of both does
+    clash = distinct.groupBy("s1").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s1", F.lit(True).alias("clash"))
+    if clash.isEmpty():
+        named = lambda df: df.withColumn("sid", F.col("s1"))
+    else:
+        named = lambda df: df.join(clash, "s1", "left").withColumn("sid", F.when(F.col("clash"), F.xxhash64("s1", "s2")).otherwise(F.col("s1")))
+    filled, distinct = named(filled), named(distinct)
     per_token = filled.select("sid", F.explode("toks").alias("tok")).groupBy("tok").agg(F.min("sid").alias("sid"), F.max("sid").alias("other"))
     alone = per_token.where("sid = other").groupBy("sid").agg(F.count(F.lit(1)).alias("own"))
-    left = materialize(
+    left = tables(
         distinct.join(alone, "sid", "left")
         .where(F.coalesce("own", F.lit(0)) <= F.col("n") - _least_shared(F.col("n"), percent))
         .select("rk", F.col("sid").alias("want")),
@@ -276,14 +311,14 @@ def _join(docs: DataFrame, width: int, percent: int, rare: int, id_col: str, tex
     # few sets are looked up in memory; beyond ``lookup`` rows (16 bytes each) both sides are exchanged
     few = left.count() <= lookup
     again = base.join(F.broadcast(left) if few else left, "rk").select(F.col("want").alias("k"), "text")
-    full = materialize(sets_of(again, "k", "text", width).select(F.col("k").alias("sid"), "n", "toks"), "ngram-full")
+    full = tables(sets_of(again, "k", "text", width).select(F.col("k").alias("sid"), "n", "toks"), "ngram-full")
     long = full.select("sid", F.explode("toks").alias("tok"))
     common = long.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.min("sid").alias("l"), F.max("sid").alias("h")).where("l <> h").select("tok", "df")
     shared = long.join(common, "tok").groupBy("sid").agg(F.collect_set(F.struct("df", "tok")).alias("shared"))
     sizes = full.groupBy("sid").agg(F.max("n").alias("n"))
-    sets = materialize(sizes.join(shared, "sid"), "ngram-shared")
+    sets = tables(sizes.join(shared, "sid"), "ngram-shared")
     shingled = sets.select("sid", "n", F.transform("shared", lambda x: x["tok"]).alias("toks"))
-    keys = materialize(sets.mapInArrow(_signatures(percent, rare), "kind long, key long, pos long, sid long, n long, own long"), "ngram-keys")
+    keys = tables(sets.mapInArrow(_signatures(percent, rare), "kind long, key long, pos long, sid long, n long, own long"), "ngram-keys")
 
     # 4: rare tokens, every pair of a bucket of at most ``rare`` sets
     single = keys.where("kind = 1")
@@ -295,37 +330,33 @@ def _join(docs: DataFrame, width: int, percent: int, rare: int, id_col: str, tex
     seen = combos.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     nth = F.row_number().over(W.partitionBy("sid", "kind").orderBy("c", "key"))
     combos = combos.join(seen, "key").withColumn("nth", nth).where("nth <= pos AND c > 1").select("key", "sid", "n", "own")
-    combos = materialize(combos, "ngram-combos")
+    combos = tables(combos, "ngram-combos")
     pivots = combos.groupBy("key").agg(F.min(F.struct("own", "sid", "n")).alias("p"), F.max("sid").alias("h"), F.min("sid").alias("l")).where("l <> h")
     pivots = pivots.select("key", "p.sid", "p.n", "p.own")
     stars = combos.alias("a").join(pivots.alias("b"), "key").where((F.col("a.sid") != F.col("b.sid")) & _may_link("a", "b", percent))
     pick = lambda df: df.select(F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b"))
-    tried = materialize(pick(rare_pairs).unionByName(pick(stars)).distinct(), "ngram-pairs")
-    links = materialize(_verify(tried, shingled, percent), "ngram-links")
-    comps = None if links.isEmpty() else materialize(components(links), "ngram-comps")
+    tried = tables(pick(rare_pairs).unionByName(pick(stars)).distinct(), "ngram-pairs")
+    links = tables(_verify(tried, shingled, percent), "ngram-links")
+    comps = None if links.isEmpty() else tables(components(links, keep=tables), "ngram-comps")
 
     # buckets that still hold several classes: their sets of different classes are compared
     if not combos.isEmpty():
-        open_rows = _open_buckets(_labelled(combos, comps))
-        x, y = open_rows.where("probe").alias("a"), open_rows.alias("b")
-        # of two probes the smaller sid asks; a pair is taken at the first key that both sets lead with
-        once = ~F.col("b.probe") | (F.col("a.sid") < F.col("b.sid"))
-        met = F.array_min(F.array_intersect("a.lead", "b.lead"))
-        cross = x.join(y, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & _may_link("a", "b", percent) & (met.isNull() | (met == F.col("a.key"))))
-        more = pick(cross).distinct().join(tried, ["a", "b"], "left_anti")
-        links2 = materialize(_verify(more, shingled, percent), "ngram-links2")
+        more = pick(_cross(_open_buckets(_labelled(combos, comps), percent, tables), percent)).distinct().join(tried, ["a", "b"], "left_anti")
+        links2 = tables(_verify(more, shingled, percent), "ngram-links2")
         if not links2.isEmpty():
             links = links.unionByName(links2)
-            comps = materialize(components(links), "ngram-comps2")
+            comps = tables(components(links, keep=tables), "ngram-comps2")
 
     # 6: ids
     by_set = filled.groupBy("sid").agg(F.min("doc_id").alias("low"))
     labelled = _labelled(by_set, comps)
     ids = labelled.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = labelled.select("sid", "comp").join(ids, "comp")
-    done = filled.select("doc_id", "rk", "n", "sid").join(named, "sid").select("doc_id", "rk", "n", "comp", "component_id")
+    with_ids = labelled.select("sid", "comp").join(ids, "comp")
+    done = filled.select("doc_id", "rk", "n", "sid").join(with_ids, "sid").select("doc_id", "rk", "n", "comp", "component_id")
     bare = first.where("n = 0").select("doc_id", "rk", "n", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
-    return done.unionByName(bare)
+    found = tables(done.unionByName(bare), "ngram-found")
+    tables.drop(found)
+    return found
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, rare: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,6 +371,6 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80, rare: in
     joined = _join(docs, width, percent, rare, "doc_id", "text")
     heads = joined.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "rk")).alias("h")).select("h.rk")
     keep = materialize(heads.unionByName(joined.where("comp is null").select("rk").distinct()), "ngram-heads")
-    keyed = docs.withColumn("_rk", _row_key("doc_id", "text"))
-    kept = keyed.join(keep.select(F.col("rk").alias("_rk")), "_rk", "left_semi")
-    return kept.dropDuplicates(["_rk"]).select(*docs.columns)
+    # whole rows travel as one column, so that no name of theirs can clash
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), _row_key("doc_id", "text").alias("rk"))
+    return keyed.join(keep, "rk", "left_semi").dropDuplicates(["rk"]).select("row.*")
