@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import WS, let, words_of
+from spanloom.llm.common import WS, let, materialize, words_of
 
 
 @dataclass(frozen=True)
@@ -117,6 +117,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     return measure(docs, id_col, text_col, carry).withColumn("bits", bits)
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger, written once to the shared folder: policies and ablations read it, not the texts."""
+    return materialize(ledger(docs, id_col, text_col), "rule-ledger")
+
+
 def apply_policy(book: DataFrame, policy: str = "2025.1") -> DataFrame:
     """Add ``base_failed`` and ``kept``; both come from the stored bits alone."""
     failed = F.col("bits").bitwiseAND(F.lit(mask("base"))) != 0

@@ -23,12 +23,21 @@ def op4_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    book = quality_rules.stored_ledger(table(spark, sf_dir, "documents"))
     return quality_rules.apply_policy(book).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits"
     )
 
 
+def rule_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from the stored ledger."""
+    book = quality_rules.stored_ledger(table(spark, sf_dir, "documents"))
+    first, *others = (quality_rules.ablation(book, p) for p in quality_rules.POLICIES)
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents
@@ -65,6 +74,15 @@ FROM b
 """
 
 
+ABLATION_SQL = f"""
+WITH k AS (SELECT bits FROM ({OP3_SQL})), r AS (SELECT * FROM (VALUES ('base', 'few_words', 1, 3), ('base', 'repeated_windows', 2, 3),
+  ('2025.1', 'few_words', 1, 63), ('2025.1', 'repeated_windows', 2, 63), ('2025.1', 'symbols', 4, 63), ('2025.1', 'duplicate_lines', 8, 63),
+  ('2025.1', 'word_length', 16, 63), ('2025.1', 'upper_case', 32, 63)) AS v(policy, rule, bit, mask))
+SELECT policy, rule, count(*) FILTER (bits & bit <> 0) AS failing, count(*) FILTER (bits & mask = bit) AS failing_only,
+  count(*) FILTER (bits & mask & ~bit = 0) AS kept_without FROM r, k GROUP BY 1, 2
+"""
+
+
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.place(table(spark, sf_dir, "documents"))
 
@@ -147,6 +165,7 @@ def queries() -> dict:
         "op1_url_link_graph": op1_url_link_graph,
         "op2_audio_features": op2_audio_features,
         "op3_rule_ledger": op3_rule_ledger,
+        "rule_ablation": rule_ablation,
         "op4_toxicity_ordinal": op4_toxicity_ordinal,
         "op5_warc_writer": op5_warc_writer,
         "op6_cube_mix": op6_cube_mix,
@@ -158,4 +177,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rule_ledger": OP3_SQL, "op5_warc_writer": OP5_SQL, "op7_ngram_jaccard": OP7_SQL, "op10_chat_collapse": OP10_SQL}
+    return {"op3_rule_ledger": OP3_SQL, "rule_ablation": ABLATION_SQL, "op5_warc_writer": OP5_SQL, "op7_ngram_jaccard": OP7_SQL, "op10_chat_collapse": OP10_SQL}
