@@ -149,12 +149,12 @@ def _block_of(docs: Column, size: int, h: Column) -> Column:
 def mix(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[float, ...] = (3.0, 1.0, 2.0), block: int = 4096, seed: int = 7) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for every document."""
     sizes = materialize(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes"
+        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("t")), "mix-sizes"
     )
     goal = materialize(targets(sizes, share, limit, weights), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = sizes.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
-    h = F.xxhash64(F.lit(seed), "d.doc_id", "d.size")
+    h = F.xxhash64(F.lit(seed), "d.doc_id", "d.size", "d.t")  # null or repeated ids still spread over blocks
     level = rows.select(
         "src", _block_of(F.col("docs"), block // 2, h).alias("block"), h.alias("h"), F.col("d.doc_id").cast("long").alias("doc_id"), "size",
         (ratio - F.floor(ratio)).alias("p"), F.floor(ratio).cast("long").alias("base"), F.lit(None).cast("long").alias("taken"),
@@ -184,9 +184,10 @@ def taken_rows(docs: DataFrame, **options) -> DataFrame:
     mixed = mix(docs, **options).where("size > 0").select("doc_id", "source", "size", (F.col("taken") / F.col("size")).cast("int").alias("times"))
     alike = W.partitionBy("doc_id", "source", "size")
     dealt = mixed.withColumn("i", F.row_number().over(alike.orderBy("times"))).where("times > 0").alias("m")
+    # whole rows travel as one column, so that no name of theirs can clash
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_size", size).where("_size > 0")
-    rows = rows.withColumn("_i", F.row_number().over(W.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text")))).alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d._size") == F.col("m.size")) & (F.col("d._i") == F.col("m.i"))
-    both = rows.join(dealt, same)
-    return both.select(*[F.col(f"d.{c}") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("m.times"))).alias("_copy")).drop("_copy")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", size.alias("size"), F.xxhash64("text").alias("h")).where("size > 0")
+    rows = rows.withColumn("i", F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy("h"))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size") == F.col("m.size")) & (F.col("d.i") == F.col("m.i"))
+    taken = rows.join(dealt, same).select("d.row", F.explode(F.sequence(F.lit(1), F.col("m.times"))).alias("copy"))
+    return taken.select("row.*")

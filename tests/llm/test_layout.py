@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import cube_mix, packing, warc
 from spanloom.llm.common import table
@@ -23,6 +24,8 @@ def test_warc_round_trip(spark, tmp_path):
     big = "x" * 1500
     rows = [(1, "http://a/", big), (2, "http://b/\n%", big), (3, None, "é" * 600), (4, "http://c/", None), (5, "u", "tiny"), (6, "u", "tiny"), (None, "n", big), (7, "r", "y" * 1000), (7, "r", "y" * 1000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS kind", "2 AS shard")
+    rows += [(8, "http://a/b%20c", "z"), (9, " urn:null", "z"), (10, "urn:null", "z" * 5000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS kind", "2 AS shard")
     roots = [f"file://{tmp_path}/{i}" for i in range(2)]
     for i, root in enumerate(roots):
         warc.write(pages.repartition(1 + 3 * i), root, shard_bytes=4000, file_bytes=300)
@@ -36,10 +39,34 @@ def test_warc_round_trip(spark, tmp_path):
         want.append((p, u, "revisit" if ref else "response", len(h.encode()), sha(h), ref, None if ref else bytearray(h.encode())))
     assert got == sorted(want, key=repr)
     assert all(gzip.decompress(b).startswith(b"WARC/1.1\r\n") for b in files(roots[0]).values())
+    heads = [dict(x.split(": ", 1) for x in m.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for b in files(roots[0]).values() for m in warc.members(__import__("io").BytesIO(b))]
+    pages_only = [h for h in heads if h["WARC-Type"] != "warcinfo"]
+    assert len(heads) - len(pages_only) == len(files(roots[0])) and len(pages_only) == len(rows)
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) and any(h["WARC-Target-URI"] == "http://a/b%20c" for h in pages_only)
+    for h in pages_only:
+        if h["WARC-Type"] == "revisit":
+            first = ids[h["WARC-Refers-To"]]
+            assert first["WARC-Type"] == "response" and first["X-Page-ID"] == h["X-Refers-To-Page-ID"] and first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+    with pytest.raises(FileNotFoundError):
+        warc.read(spark, f"file://{tmp_path}/nothing")
     empty = f"file://{tmp_path}/none"
     assert warc.write(pages.limit(0), empty).count() == 0 and warc.read(spark, empty).count() == 0
 
 
+def test_shards_hold_equal_bytes(spark):
+    """No cap on their number; a third of the rows without an id is cut too; both look-ups agree."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) AS page_id", "id", "concat('page ', id, repeat('x', cast(id % 90 AS int))) AS html")
+    pid = F.coalesce("page_id", F.lit(warc.NULL_ID))
+    keyed = rows.select(warc.sort_key(pid, F.sha1("html")).alias("key"), F.length("html").cast("long").alias("n"), "id")
+    starts = warc.shard_starts(keyed, 400, rows_per_range=500)
+    one, n = warc.with_shard(keyed, starts)
+    two, m = warc.with_shard(keyed, starts, lookup=5)
+    assert n == m > 300 and {(r.id, r.shard) for r in one.collect()} == {(r.id, r.shard) for r in two.collect()}
+    held = one.groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    assert len(held) == n and max(r.n for r in held) < 400 + 110
+
+
 def test_cube_mix_totals(spark):
     docs = table(spark, SF, "documents")
     rows = cube_mix.mix(docs, block=16).collect()

@@ -50,6 +50,25 @@ def test_most_prose_is_kept(spark):
     assert kept.where("kept or n_words < 50").count() >= 0.97 * kept.count()
 
 
+def test_hash_tree_equals_plain_python(spark):
+    """Every shard drawn again without Spark."""
+    import hashlib
+    import math
+
+    def straw(key, node, weight):
+        bits = int(hashlib.md5(f"{key}/{node}".encode()).hexdigest()[:13], 16)
+        return -math.log((bits + 0.5) / 2.0**52) / weight
+
+    def descend(key, tree):
+        region = min(tree, key=lambda g: straw(key, g, sum(sum(s.values()) for s in tree[g].values())))
+        rack = min(tree[region], key=lambda k: straw(key, k, sum(tree[region][k].values())))
+        return min(tree[region][rack], key=lambda s: straw(key, f"s{s}", tree[region][rack][s]))
+
+    tree = hash_tree.even_tree()
+    for r in hash_tree.place(table(spark, SF, "documents")).collect():
+        assert (r.shard, r.grown_shard) == (descend(r.doc_id, tree), descend(r.doc_id, hash_tree.grow(tree)))
+
+
 def test_hash_tree_placement(spark, odd_docs, no_docs):
     docs = table(spark, SF, "documents")
     got = hash_tree.place(docs, rows_per_bucket=20).collect()

@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import ngram_join
 from spanloom.llm.common import table
@@ -71,6 +72,46 @@ def test_join_equals_all_pairs(spark, width, percent, rare):
     assert got == brute(rows, width, percent)
 
 
+def templates(spark, n):
+    """Pages of one long template with words of their own: none links with another."""
+    import random
+
+    r = random.Random(9)
+    frame = [f"t{i}" for i in range(400)]
+    rows = [(i, " ".join([*frame[:200], *[f"o{i}_{j}" for j in range(30 if i % 2 else 31)], *frame[200:]])) for i in range(n)]
+    rows += [(n + i, " ".join([*frame[:200], *[f"f{j}" for j in range(30)], *frame[200:], f"v{i % 3}"])) for i in range(9)]  # a class that links
+    r.shuffle(rows)
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_templates_cost_no_pairs(spark, monkeypatch):
+    seen = []
+    cross = ngram_join._cross
+
+    def counted(rows, percent):
+        asks = rows.where("probe").join(ngram_join._meeting_bands(rows, percent), ["key", "nb", "rb"])
+        held = rows.groupBy("key", F.col("nb").alias("to_nb"), F.col("rb").alias("to_rb")).agg(F.count(F.lit(1)).alias("c"))
+        seen.append(asks.join(held, ["key", "to_nb", "to_rb"]).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+        return cross(rows, percent)
+
+    monkeypatch.setattr(ngram_join, "_cross", counted)
+    for n in (300, 1200):
+        df = templates(spark, n)
+        got = {r.doc_id: r.component_id for r in ngram_join.classes(df, 3, 90).collect()}
+        assert got == {i: i if i < n else n for i in range(n + 9)}
+    assert seen[1] <= 4 * max(seen[0], 300), seen
+
+
+def test_equal_first_hash_of_different_sets(spark, monkeypatch):
+    """Sets whose first hashes collide stay apart."""
+    plain = ngram_join.sets_of
+    same = lambda *a, **k: plain(*a, **k).withColumn("s1", F.when(F.col("n") == 2, F.lit(7).cast("long")).otherwise(F.col("s1")))
+    monkeypatch.setattr(ngram_join, "sets_of", lambda docs, key, *a: (same if key == "k" and "rk" in str(docs.schema) else plain)(docs, key, *a))
+    rows = [(1, "a b c d"), (2, "a b c d"), (3, "e f g h"), (4, "e f g h"), (5, "x y z"), (6, None)]
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
 def test_join_on_documents(spark, odd_docs, no_docs):
     docs = table(spark, SF, "documents").select("doc_id", "text")
     want = brute([tuple(r) for r in docs.collect()], 3, 90)
