@@ -31,7 +31,8 @@ def describe(features: DataFrame, window: SlidingWindow) -> DataFrame:
 def violations(features: DataFrame) -> DataFrame:
     """Rows with a value that is not finite or a dimension unlike the uri's."""
     bad = F.exists("vec", lambda x: F.isnan(x) | x.isNull() | (F.abs(x) == float("inf")))
-    return features.where(bad | (F.size("vec") != F.max(F.size("vec")).over(W.partitionBy("uri"))))
+    sized = features.withColumn("_most", F.max(F.size("vec")).over(W.partitionBy("uri")))
+    return sized.where(bad | (F.size("vec") != F.col("_most"))).drop("_most")
 
 
 def crop(features: DataFrame, focus: DataFrame, window: SlidingWindow) -> DataFrame:

@@ -165,32 +165,56 @@ def segmentation_purity(reference: DataFrame, hypothesis: DataFrame) -> DataFram
     return segmentation_coverage(hypothesis, reference)
 
 
-def _probes(reference: DataFrame, hypothesis: DataFrame, step: float) -> DataFrame:
-    """(uri, k, i, ranks of the first segments at i and i + k on both sides)."""
+def _probe_runs(reference: DataFrame, hypothesis: DataFrame, step: float) -> DataFrame:
+    """(uri, n, r0, r1, h0, h1): runs of n probes on which the ranks of the first segments at i and
+    at i + k stay the same on both sides; -1 stands for no segment.
+
+    A probe's first segment is the one of lowest rank that holds it, so what a segment holds beyond
+    the ends of all before it is one run of probes. Runs come from bounds, by windows: the work
+    follows the number of segments, whatever the step.
+    """
     ref, hyp = tl.timeline(reference), tl.timeline(hypothesis)
-    k = tl.duration(hyp).join(hyp.groupBy("uri").agg(F.count(F.lit(1)).alias("n")), "uri").select("uri", (F.col("duration") / F.col("n") / 2).alias("k"))
+    k = tl.duration(hyp).join(hyp.groupBy("uri").agg(F.count(F.lit(1)).alias("c")), "uri").select("uri", (F.col("duration") / F.col("c") / 2).alias("k"))
     ends = tl.extent(ref).join(k, "uri").where(F.col("start") < F.col("end") - F.col("k"))
-    n = F.ceil((F.col("end") - F.col("k") - F.col("start")) / step).cast("long")
-    points = ends.select("uri", "k", "start", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("j")).select("uri", "k", (F.col("start") + F.col("j") * step).alias("i"))
+    ends = ends.select("uri", "k", F.col("start").alias("t0"), F.ceil((F.col("end") - F.col("k") - F.col("start")) / step).cast("long").alias("m"))
+    events = []
     for side, df in (("r", ref), ("h", hyp)):
-        order = tl.ranked(df)
-        for at, t in (("0", F.col("p.i")), ("1", F.col("p.i") + F.col("p.k"))):
-            hit = (F.col("p.uri") == F.col("s.uri")) & t.between(F.col("s.start"), F.col("s.end"))
-            found = points.alias("p").join(order.alias("s"), hit, "left").groupBy(*[F.col(f"p.{c}") for c in points.columns]).agg(F.min("s.rank").alias(side + at))
-            points = found
-    return points
+        for at, shift in (("0", F.lit(0.0)), ("1", F.col("k"))):
+            time = lambda j, shift=shift: F.col("t0") + j * step + shift
+            lo, hi = F.ceil((F.col("start") - shift - F.col("t0")) / step).cast("long"), F.floor((F.col("end") - shift - F.col("t0")) / step).cast("long")
+            rows = tl.ranked(df).join(ends, "uri").withColumns({"lo": lo, "hi": hi})
+            # a quotient may be off by one: the bounds are set by the times themselves
+            lo = F.when(time(F.col("lo") - 1) >= F.col("start"), F.col("lo") - 1).when(time(F.col("lo")) < F.col("start"), F.col("lo") + 1).otherwise(F.col("lo"))
+            hi = F.when(time(F.col("hi") + 1) <= F.col("end"), F.col("hi") + 1).when(time(F.col("hi")) > F.col("end"), F.col("hi") - 1).otherwise(F.col("hi"))
+            rows = rows.withColumns({"lo": F.greatest(lo, F.lit(0)), "hi": F.least(hi, F.col("m") - 1)})
+            before = F.max("hi").over(W.partitionBy("uri").orderBy("rank").rowsBetween(W.unboundedPreceding, -1))
+            own = rows.withColumn("lo", F.greatest("lo", F.coalesce(before, F.lit(-1)) + 1)).where("lo <= hi")
+            both = F.array(F.struct(F.col("lo").alias("j"), F.col("rank").cast("long").alias("v")), F.struct((F.col("hi") + 1).alias("j"), F.lit(-1).cast("long").alias("v")))
+            events.append(own.select("uri", F.explode(both).alias("e")).select("uri", "e.j", F.lit(side + at).alias("f"), "e.v"))
+    marks = ends.select("uri", F.explode(F.array(F.lit(0).cast("long"), F.col("m"))).alias("j"), F.lit("").alias("f"), F.lit(-1).cast("long").alias("v"))
+    for e in events:
+        marks = marks.unionByName(e)
+    names = ("r0", "r1", "h0", "h1")
+    # where one run ends and the next begins, the rank beats the end
+    cuts = marks.groupBy("uri", "j").agg(*[F.max(F.when(F.col("f") == n, F.col("v"))).alias(n) for n in names])
+    order = W.partitionBy("uri").orderBy("j")
+    held = lambda n: F.coalesce(F.last(n, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(-1))
+    return cuts.select("uri", (F.lead("j").over(order) - F.col("j")).alias("n"), *[held(n).alias(n) for n in names]).where("n IS NOT NULL")
+
+
+def _share(runs: DataFrame, agree: Column) -> DataFrame:
+    return runs.groupBy("uri").agg((F.sum(F.when(agree, F.col("n")).otherwise(0)) / F.sum("n")).alias("rate"))
 
 
 def pk(reference: DataFrame, hypothesis: DataFrame, step: float = 1.0) -> DataFrame:
     """Share of probes on which both sides agree whether i and i + k are in one segment."""
-    same = lambda s: F.col(f"{s}0").eqNullSafe(F.col(f"{s}1"))
-    return _probes(reference, hypothesis, step).groupBy("uri").agg(F.avg((same("r") == same("h")).cast("double")).alias("rate"))
+    same = lambda s: F.col(f"{s}0") == F.col(f"{s}1")
+    return _share(_probe_runs(reference, hypothesis, step), same("r") == same("h"))
 
 
 def windowdiff(reference: DataFrame, hypothesis: DataFrame, step: float = 1.0) -> DataFrame:
     """Share of probes on which both sides cross as many boundaries."""
-    crossed = lambda s: F.coalesce(F.col(f"{s}1"), F.lit(-1)) - F.coalesce(F.col(f"{s}0"), F.lit(-1))
-    return _probes(reference, hypothesis, step).groupBy("uri").agg(F.avg((crossed("r") == crossed("h")).cast("double")).alias("rate"))
+    return _share(_probe_runs(reference, hypothesis, step), F.col("r1") - F.col("r0") == F.col("h1") - F.col("h0"))
 
 
 def is_anonymous(label: Column, unknown: Column | None = None) -> Column:

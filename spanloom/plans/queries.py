@@ -511,27 +511,17 @@ def s_probes(value: str) -> str:
     return f"""rr AS (SELECT uri, s, e, row_number() OVER (PARTITION BY uri ORDER BY s, e) - 1 AS n FROM (SELECT DISTINCT uri, s, e FROM turns WHERE e > s)),
     hh AS (SELECT uri, s, e, row_number() OVER (PARTITION BY uri ORDER BY s, e) - 1 AS n FROM (SELECT DISTINCT uri, s, e FROM tjoin WHERE e > s)),
     kk AS (SELECT uri, dur / n / 2 AS k FROM (SELECT uri, sum(e - s) AS dur FROM {s_islands('hh')} GROUP BY 1) JOIN (SELECT uri, count(*) AS n FROM hh GROUP BY 1) USING (uri)),
-    p AS (SELECT uri, k, s + unnest(range(0, ceil((e - k - s) / 50)::BIGINT)) * 50 AS i FROM (SELECT uri, min(s) AS s, max(e) AS e FROM rr GROUP BY 1) JOIN kk USING (uri) WHERE s < e - k),
+    p AS (SELECT uri, k, s + unnest(range(0, ceil(e - k - s)::BIGINT)) AS i FROM (SELECT uri, min(s) AS s, max(e) AS e FROM rr GROUP BY 1) JOIN kk USING (uri) WHERE s < e - k),
     x AS (SELECT uri, {first('rr', 'p.i')} AS r0, {first('rr', 'p.i + p.k')} AS r1, {first('hh', 'p.i')} AS h0, {first('hh', 'p.i + p.k')} AS h1 FROM p)
     SELECT uri, avg(({value})::INT::DOUBLE) AS rate FROM x GROUP BY 1"""
 
 
 @query("k_pk", s_probes("(r0 IS NOT DISTINCT FROM r1) = (h0 IS NOT DISTINCT FROM h1)"))
-def _(spark, d):
-    return me.pk(T(spark, d), TH(spark, d), 50.0)
-
-
-@query("k_windowdiff", s_probes("coalesce(r1, -1) - coalesce(r0, -1) = coalesce(h1, -1) - coalesce(h0, -1)"))
-def _(spark, d):
-    return me.windowdiff(T(spark, d), TH(spark, d), 50.0)
-
-
-@query("k_pk_step1")
 def _(spark, d):
     return me.pk(T(spark, d), TH(spark, d))
 
 
-@query("k_windowdiff_step1")
+@query("k_windowdiff", s_probes("coalesce(r1, -1) - coalesce(r0, -1) = coalesce(h1, -1) - coalesce(h0, -1)"))
 def _(spark, d):
     return me.windowdiff(T(spark, d), TH(spark, d))
 
@@ -586,13 +576,13 @@ Q["flagship_error_rates"] = error_rates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from spanloom.plans import more
+    from spanloom.plans import checked, extra, more
 
-    return {**Q, **more.Q}
+    return {**Q, **more.Q, **extra.Q, **checked.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    from spanloom.plans import more
+    from spanloom.plans import checked, extra, more
 
-    return {**SQL, **more.SQL}
+    return {**SQL, **more.SQL, **extra.SQL, **checked.SQL}
 

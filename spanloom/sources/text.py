@@ -106,6 +106,16 @@ def select(df: DataFrame, uri: str | None = None, modality: str | None = None) -
     return df if modality is None else df.where(F.col("modality") == modality)
 
 
+def select_one(df: DataFrame, uri: str | None = None, modality: str | None = None) -> DataFrame:
+    """As ``select``, but the rows must be of one uri and one modality: several are an error, none are
+    an empty result. At most two distinct pairs are looked at."""
+    rows = select(df, uri, modality)
+    keys = [c for c in ("uri", "modality") if c in rows.columns]
+    if len(rows.select(*keys).distinct().limit(2).collect()) > 1:
+        raise ValueError(f"several {' and '.join(keys)} match; name one")
+    return rows
+
+
 def lines(df: DataFrame, fmt: TextFormat) -> DataFrame:
     """The ``value`` column that a file of this format holds."""
     if "score" in fmt.fields and "_flag" in fmt.fields:
@@ -149,11 +159,16 @@ def matrix_of(tvt: DataFrame) -> DataFrame:
 
 
 def frame_times(idx: DataFrame) -> DataFrame:
-    """(frame, start, end): non-decreasing frame times, half a median step around each."""
-    order = W.orderBy("frame")
-    mono = idx.select(F.col("frame").cast("long").alias("frame"), F.max("seconds").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("t"))
-    step = mono.select((F.lead("t").over(order) - F.col("t")).alias("d")).agg(F.median("d")).first()[0] or 0.0
-    return mono.select("frame", (F.col("t") - step / 2).alias("start"), (F.col("t") + step / 2).alias("end"))
+    """([uri,] frame, start, end): non-decreasing frame times, half a median step around each.
+
+    Files of several uris carry a uri column; each is one sequence of its own.
+    """
+    keys = [c for c in ("uri",) if c in idx.columns]
+    order = W.partitionBy(*keys, F.lit(0)).orderBy("frame")
+    mono = idx.select(*keys, F.col("frame").cast("long").alias("frame"), F.max("seconds").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("t"))
+    half = F.coalesce(F.median("d").over(W.partitionBy(*keys, F.lit(0))), F.lit(0.0)) / 2
+    timed = mono.withColumn("d", F.lead("t").over(order) - F.col("t")).withColumn("h", half)
+    return timed.select(*keys, "frame", (F.col("t") - F.col("h")).alias("start"), (F.col("t") + F.col("h")).alias("end"))
 
 
 def read_srt(spark: SparkSession, path: str, uri: str) -> DataFrame:
