@@ -8,29 +8,70 @@ import numpy as np
 
 from spanloom.functions.stats import Gaussian
 
-LINKAGE = {"complete": np.min, "average": np.mean, "single": np.max}
+#: How the similarity of a merged cluster to the others follows from those of its two parts.
+LINKAGE = {
+    "complete": lambda x, y, n, m: np.minimum(x, y),
+    "single": lambda x, y, n, m: np.maximum(x, y),
+    "average": lambda x, y, n, m: (n * x + m * y) / (n + m),
+}
+
+#: A stop looks at the merges so far, the similarity of the next one and the number of clusters.
+Stop = Callable[[list, float, int], bool]
+
+
+def below(threshold: float) -> Stop:
+    return lambda history, similarity, clusters: similarity < threshold
+
+
+def above(threshold: float) -> Stop:
+    return lambda history, similarity, clusters: similarity > threshold
+
+
+def negative(history: list, similarity: float, clusters: int) -> bool:
+    return similarity < 0
+
+
+def at_most(wanted: int) -> Stop:
+    return lambda history, similarity, clusters: clusters <= wanted
+
+
+def past_maximum(history: list, similarity: float, clusters: int) -> bool:
+    """The next merge is worse than the one before: similarities have had their maximum."""
+    return bool(history) and similarity < history[-1][1]
 
 
 def agglomerate(
-    similarity: np.ndarray, linkage: str = "average", threshold: float = -np.inf, clusters: int = 1, allowed: Callable[[list[int], list[int]], bool] | None = None
+    similarity: np.ndarray, linkage: str = "average", threshold: float = -np.inf, clusters: int = 1, allowed: Callable[[list[int], list[int]], bool] | None = None,
+    stops: tuple[Stop, ...] = (),
 ) -> list[tuple[list[int], float]]:
     """History of merges (members of both clusters, similarity), best pair first.
 
-    It ends before a merge below the threshold, at ``clusters`` clusters, or when ``allowed``
-    forbids every pair.
+    It ends before a merge that a stop refuses or that is below the threshold, at ``clusters``
+    clusters, or when ``allowed`` forbids every pair. The matrix of clusters is updated at each
+    merge, never computed anew.
     """
-    groups = [[i] for i in range(len(similarity))]
-    join, history = LINKAGE[linkage], []
+    n = len(similarity)
+    between = np.array(similarity, dtype=float)
+    between[np.tril_indices(n)] = -np.inf
+    between = np.maximum(between, between.T)
+    np.fill_diagonal(between, -np.inf)
+    barred = np.zeros((n, n), bool)
+    groups, history = {i: [i] for i in range(n)}, []
     while len(groups) > max(1, clusters):
-        best, pair = -np.inf, None
-        for i in range(len(groups)):
-            for j in range(i + 1, len(groups)):
-                s = float(join(similarity[np.ix_(groups[i], groups[j])]))
-                if s > best and (allowed is None or allowed(groups[i], groups[j])):
-                    best, pair = s, (i, j)
-        if pair is None or best < threshold:
+        open_ = np.where(barred, -np.inf, np.triu(between, 1) + np.tril(np.full((n, n), -np.inf)))
+        i, j = divmod(int(open_.argmax()), n)
+        best = float(open_[i, j])
+        if best == -np.inf:
+            break
+        if allowed is not None and not allowed(groups[i], groups[j]):
+            barred[i, j] = True
+            continue
+        if best < threshold or any(stop(history, best, len(groups)) for stop in stops):
             break
-        i, j = pair
+        row = LINKAGE[linkage](between[i], between[j], len(groups[i]), len(groups[j]))
+        between[i], between[:, i] = row, row
+        between[j], between[:, j], between[i, i] = -np.inf, -np.inf, -np.inf
+        barred[i], barred[:, i] = False, False
         groups[i] = sorted(groups[i] + groups.pop(j))
         history.append((groups[i], best))
     return history

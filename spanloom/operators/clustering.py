@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanloom.functions import clustering as cl
+from spanloom.functions.segment import EPS
+from spanloom.operators import matrix as mx
+from spanloom.operators import timeline as tl
+from spanloom.session import checkpoint_dir
 
 FOUND = "uri string, item string, cluster string"
 
@@ -65,6 +69,21 @@ def constrained(similarity: DataFrame, forbidden: DataFrame, linkage: str = "ave
     return marked.groupBy("uri").applyInPandas(run, FOUND)
 
 
+def apart(a: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(uri, row, col): labels that run at the same time for more than ``tolerance`` seconds, which no
+    cluster may hold together. Both orders are listed."""
+    return mx.cooccurrence(a, a).where((F.col("row") != F.col("col")) & (F.col("value") > tolerance)).select("uri", "row", "col")
+
+
+def not_contiguous(a: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """(uri, row, col): pairs of labels that never come within ``tolerance`` seconds of each other."""
+    wide = a.select("uri", "label", (F.col("start") - tolerance / 2 - EPS).alias("start"), (F.col("end") + tolerance / 2 + EPS).alias("end"))
+    near = tl.overlap_join(wide, wide).select("uri", F.col("a_label").alias("row"), F.col("b_label").alias("col")).distinct()
+    names = a.select("uri", F.col("label").alias("row")).distinct()
+    every = names.join(names.withColumnRenamed("row", "col"), "uri").where("row <> col")
+    return every.join(near, ["uri", "row", "col"], "left_anti")
+
+
 def bic(features: DataFrame, penalty: float = 3.5, diagonal: bool = True) -> DataFrame:
     """Cluster the labels of (uri, label, vec) rows by their Gaussians."""
 
@@ -84,10 +103,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     of the longest path; lineage is cut by checkpoints each round.
     """
     spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    checkpoint_dir(spark)
     both = edges.select("uri", F.col("row").alias("a"), F.col("col").alias("b"))
     both = both.unionByName(both.select("uri", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     now = both.groupBy("uri", "a").agg(F.least(F.min("b"), F.first("a")).alias("c")).checkpoint()

@@ -19,12 +19,12 @@ from spanloom.operators import timeline as tl
 CELL = ("uri", "start", "end")
 
 
-def diff(reference: DataFrame, hypothesis: DataFrame, correct: bool = True) -> DataFrame:
+def diff(reference: DataFrame, hypothesis: DataFrame, correct: bool = True, bins: float | None = None) -> DataFrame:
     """One row for each pair of labels in a piece: kind, ref, hyp.
 
     Equal labels pair up by occurrence; what is left on both sides is aligned in label order.
     """
-    counts = me.cell_labels(reference, hypothesis)
+    counts = me.cell_labels(reference, hypothesis, bins)
     same = counts.where(F.least("r", "h") > 0).select(*CELL, F.explode(F.sequence(F.lit(1).cast("long"), F.least("r", "h"))).alias("_k"), "label")
     rows = same.select(*CELL, F.lit("correct").alias("kind"), F.col("label").alias("ref"), F.col("label").alias("hyp"))
 
@@ -39,8 +39,8 @@ def diff(reference: DataFrame, hypothesis: DataFrame, correct: bool = True) -> D
     return rows.unionByName(wrong) if correct else wrong
 
 
-def diff_durations(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    return diff(reference, hypothesis).groupBy("uri", "kind").agg(F.sum(F.col("end") - F.col("start")).alias("duration"))
+def diff_durations(reference: DataFrame, hypothesis: DataFrame, bins: float | None = None) -> DataFrame:
+    return diff(reference, hypothesis, bins=bins).groupBy("uri", "kind").agg(F.sum(F.col("end") - F.col("start")).alias("duration"))
 
 
 _VERDICT = {(True, True): "both_correct", (True, False): "regression", (False, True): "improvement", (False, False): "both_incorrect"}

@@ -208,22 +208,110 @@ def posteriors(track_llr: DataFrame, priors: DataFrame | None = None, open_set:
     return rows.withColumn("score", F.exp(F.col("_log") - F.col("_top")) / total).drop("_log", "_top", "prior")
 
 
-def decode(frame_llr: DataFrame, stay: float = 0.99, min_frames: int = 1) -> DataFrame:
+def _wide(pdf: pd.DataFrame, states: list[str]) -> pd.DataFrame:
+    return pdf.pivot(index="frame", columns="label", values="score").sort_index().reindex(columns=states, fill_value=-1e6)
+
+
+def fit_transitions(frame_llr: DataFrame, rounds: int = 10) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """States, log starts and log moves by expectation maximisation over all uris.
+
+    Each uri gives its expected moves (forward and backward passes over its frames); Spark adds them
+    up, one row for each pair of states reaches the driver.
+    """
+    states = sorted(r["label"] for r in frame_llr.select("label").distinct().collect())
+    k = len(states)
+    start, move = np.full(k, 1 / k), np.full((k, k), 0.1 / max(1, k - 1)) if k > 1 else np.ones((1, 1))
+    np.fill_diagonal(move, 0.9 if k > 1 else 1.0)
+    def expected(start: np.ndarray, move: np.ndarray):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = _wide(pdf, states).to_numpy()
+            e = np.exp(x - x.max(axis=1, keepdims=True))
+            n = len(e)
+            fwd, bwd = np.empty((n, k)), np.ones((n, k))
+            fwd[0] = start * e[0] / (start * e[0]).sum()
+            for t in range(1, n):
+                step = (fwd[t - 1] @ move) * e[t]
+                fwd[t] = step / step.sum()
+            for t in range(n - 2, -1, -1):
+                step = move @ (e[t + 1] * bwd[t + 1])
+                bwd[t] = step / step.sum()
+            pairs = fwd[:-1, :, None] * move[None] * (e[1:] * bwd[1:])[:, None, :]
+            moves = (pairs / np.maximum(pairs.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
+            first = fwd[0] * bwd[0] / (fwd[0] * bwd[0]).sum()
+            rows = [(-1, j, float(first[j])) for j in range(k)] + [(i, j, float(moves[i, j])) for i in range(k) for j in range(k)]
+            return pd.DataFrame(rows, columns=["i", "j", "x"])
+
+        return run
+
+    for _ in range(rounds):
+        sums = frame_llr.groupBy("uri").applyInPandas(expected(start, move), "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+        start, move = np.zeros(k), np.zeros((k, k))
+        for r in sums:
+            if r["i"] < 0:
+                start[r["j"]] = r["x"]
+            else:
+                move[r["i"], r["j"]] = r["x"]
+        start = (start + 1e-9) / (start + 1e-9).sum()
+        move = (move + 1e-9) / (move + 1e-9).sum(axis=1, keepdims=True)
+    return states, np.log(start), np.log(move)
+
+
+def majority(path: np.ndarray, reach: int) -> np.ndarray:
+    """Median of a two-state path over ``2 * reach + 1`` frames, mirrored at both ends."""
+    if not reach or not len(path):
+        return path
+    padded = np.pad(path, reach, mode="symmetric")
+    sums = np.concatenate([[0], padded.cumsum()])
+    return (sums[2 * reach + 1 :] - sums[: -2 * reach - 1] > reach).astype(path.dtype)
+
+
+def decode(frame_llr: DataFrame, stay: float = 0.99, smooth: int = 0, model: tuple[list[str], np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """Viterbi path over the labels of each uri, as runs of frames of one state.
 
-    A uri's frames are one sequence and are decoded together.
+    ``model`` is what ``fit_transitions`` found; else states are kept with probability ``stay``.
+    ``smooth`` removes short runs by a running median over that many frames on both sides, for two
+    states; no frame is left out. A uri's frames are one sequence and are decoded together.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="frame", columns="label", values="score").sort_index()
-        k = wide.shape[1]
-        move = np.full((k, k), np.log((1 - stay) / max(1, k - 1)) if k > 1 else 0.0)
-        np.fill_diagonal(move, np.log(stay))
-        path = viterbi(wide.to_numpy(), move, np.full(k, -np.log(k)))
+        states = model[0] if model else sorted(pdf["label"].unique())
+        wide = _wide(pdf, states)
+        k = len(states)
+        if model:
+            start, move = model[1], model[2]
+        else:
+            start, move = np.full(k, -np.log(k)), np.full((k, k), np.log((1 - stay) / max(1, k - 1)) if k > 1 else 0.0)
+            np.fill_diagonal(move, np.log(stay))
+        path = viterbi(wide.to_numpy(), move, start)
+        if smooth and k > 2:
+            raise ValueError("paths of more than two states have no median")
+        path = majority(path, smooth)
         cut = np.flatnonzero(np.diff(path)) + 1
         first, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(path)]])
-        keep = (stop - first) >= min_frames
         at = wide.index.to_numpy()
-        return pd.DataFrame({"uri": pdf["uri"].iloc[0], "first": at[first[keep]], "stop": at[stop[keep] - 1] + 1, "label": wide.columns.to_numpy()[path[first[keep]]]})
+        return pd.DataFrame({"uri": pdf["uri"].iloc[0], "first": at[first], "stop": at[stop - 1] + 1, "label": np.array(states, dtype=object)[path[first]]})
 
     return frame_llr.groupBy("uri").applyInPandas(run, "uri string, first long, stop long, label string")
+
+
+def activity(features: DataFrame, trained_on: DataFrame, window: SlidingWindow, components: int = 4, shortest: float = 0.0) -> DataFrame:
+    """(uri, start, end, label) of activity against the rest: a mixture for each label of
+    ``trained_on`` frames, trained transitions, a decoded and smoothed path."""
+    scored = frame_scores(features, collect_mixtures(train_mixtures(trained_on, components)))
+    reach = int(round(shortest / window.step))
+    runs = decode(scored, smooth=reach, model=fit_transitions(scored))
+    seg = window.to_segment(F.col("first"), F.col("stop") - F.col("first"))
+    return runs.select("uri", seg.start.alias("start"), seg.end.alias("end"), "label")
+
+
+def turns_within(features: DataFrame, focus: DataFrame, window: SlidingWindow, width: int = 50, threshold: float = 0.0) -> DataFrame:
+    """(uri, start, end): the focus, cut at the change points of the features."""
+    cuts = change_points(features, width, threshold=threshold)
+    seg = window.to_segment(F.col("first"), F.col("stop") - F.col("first"))
+    return tl.crop(cuts.select("uri", seg.start.alias("start"), seg.end.alias("end")), focus)
+
+
+def identify(features: DataFrame, tracks: DataFrame, window: SlidingWindow, trained_on: DataFrame, components: int = 4, priors: DataFrame | None = None, open_set: bool = True) -> DataFrame:
+    """Posteriors of every track's labels: mixtures, frame scores, track means, Bayes."""
+    scored = frame_scores(features, collect_mixtures(train_mixtures(trained_on, components)))
+    return posteriors(track_scores(scored, tracks, window), priors, open_set)

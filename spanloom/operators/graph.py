@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanloom.functions.segment import Seg
+from spanloom.functions.stats import ScoreRatio
+from spanloom.operators import calibration as ca
 from spanloom.operators import clustering as cl
 from spanloom.operators import metrics as me
 from spanloom.operators import timeline as tl
+from spanloom.session import checkpoint_dir
 
 EDGE = ("uri", "src", "dst", "probability")
 
@@ -126,10 +129,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(uri, source, item, probability): likeliest path from each source (uri, item), by relaxation
     over -log probabilities until no path gets better; lineage is cut by checkpoints each round."""
     spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    checkpoint_dir(spark)
     cost = log_costs(edges)
     both = cost.select("uri", "src", "dst", F.col("probability").alias("c")).unionByName(cost.select("uri", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("probability").alias("c"))).checkpoint()
     if not both.where("c < 0").isEmpty():
@@ -175,6 +175,34 @@ def lag_fit(a: DataFrame, b: DataFrame, neighbourhood: float, resolution: float)
     return pairs.groupBy("lag").agg((F.sum(same) / F.sum(F.size("la") * F.size("lb"))).alias("probability"))
 
 
+def lag_edges(a: DataFrame, b: DataFrame, model: DataFrame, neighbourhood: float, resolution: float, future: bool = False) -> DataFrame:
+    """(uri, a_track, b_track, probability): for tracks within reach of each other, the largest
+    probability of any lag between a bin of one and a bin of the other; ``future`` looks ahead only."""
+    grid = lambda df, name: df.select("uri", F.col("track").alias(name), F.explode(F.sequence(F.floor(F.col("start") / resolution), F.ceil(F.col("end") / resolution) - 1)).alias("t")).distinct()
+    k = int(neighbourhood / resolution)
+    lags = model.where(F.abs("lag") <= k).select(F.col("lag").cast("int").alias("lag"), "probability").dropDuplicates(["lag"])  # at most 2 k + 1 rows
+    near = grid(a, "a_track").withColumn("lag", F.explode(F.sequence(F.lit(0 if future else -k), F.lit(k)))).join(F.broadcast(lags), "lag")
+    near = near.select("uri", "a_track", (F.col("t") + F.col("lag")).alias("t"), "probability")
+    met = near.groupBy("uri", "a_track", "t").agg(F.max("probability").alias("probability")).join(grid(b, "b_track"), ["uri", "t"])
+    return met.groupBy("uri", "a_track", "b_track").agg(F.max("probability").alias("probability"))
+
+
+def intra_edges(similarity: DataFrame, tracks: DataFrame, model: ScoreRatio, modality: str = "speaker") -> DataFrame:
+    """Calibrated edges between tracks that the annotation has; ``similarity`` holds track names."""
+    known = tracks.select("uri", "track", track_id(modality).alias("id"))
+    side = lambda c: known.select("uri", F.col("track").alias(c), F.col("id").alias(c + "_id"))
+    rows = ca.apply(similarity.where("row <> col AND value IS NOT NULL").withColumn("score", F.col("value")), model)
+    rows = rows.join(side("row"), ["uri", "row"]).join(side("col"), ["uri", "col"])
+    return edge(rows.select("uri", F.col("row_id").alias("src"), F.col("col_id").alias("dst"), F.col("posterior").alias("probability")))
+
+
+def identification_edges(scores: DataFrame, tracks: DataFrame, model: ScoreRatio, n: int | None = None, modality: str = "speaker") -> DataFrame:
+    """Calibrated edges from tracks that the annotation has to identities, all or the n likeliest."""
+    rows = scores.join(tracks.select("uri", "start", "end", "track").distinct(), ["uri", "start", "end", "track"], "left_semi")
+    edges = from_scores(ca.apply(rows, model).withColumn("score", F.col("posterior")).drop("llr", "posterior"), modality)
+    return prune_identities(edges, n) if n else edges
+
+
 def crop(edges: DataFrame, vertices: DataFrame, focus: DataFrame) -> DataFrame:
     """Edges whose tracks intersect the focus; identities left without edges go with them."""
     keep = tl.crop(vertices.select("uri", "start", "end", "id"), focus, "loose").select("uri", "id").distinct()

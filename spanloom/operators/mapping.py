@@ -59,6 +59,28 @@ def hungarian_mapper(a: DataFrame, b: DataFrame) -> DataFrame:
     return assignment_of(mx.cooccurrence(a, b).where("value > 0"))
 
 
+def louvain_mapper(a: DataFrame, b: DataFrame, normalize: bool = False, overlap: bool = False) -> DataFrame:
+    """(uri, left, right) with arrays of labels: communities of the graph of shared time.
+
+    ``normalize`` divides by the left label's total; ``overlap`` adds the time that labels of one
+    side share with each other. Labels that meet nothing are communities of their own.
+    """
+    from spanloom.operators import clustering as cl
+
+    k = mx.cooccurrence(a, b)
+    if normalize:
+        k = k.withColumn("value", F.col("value") / F.greatest(F.lit(1e-6), F.sum("value").over(W.partitionBy("uri", "row"))))
+    name = lambda side, c: F.concat(F.lit(side + "|"), F.col(c))
+    edges = k.select("uri", name("l", "row").alias("row"), name("r", "col").alias("col"), "value")
+    if overlap:
+        for side, df in (("l", a), ("r", b)):
+            own = mx.cooccurrence(df, df).where("row < col")
+            edges = edges.unionByName(own.select("uri", name(side, "row").alias("row"), name(side, "col").alias("col"), "value"))
+    found = cl.louvain(edges).select("uri", "cluster", F.substring("item", 1, 1).alias("side"), F.substring_index("item", "|", -1).alias("label"))
+    pick = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("label"))))
+    return found.groupBy("uri", "cluster").agg(pick("l").alias("left"), pick("r").alias("right")).drop("cluster")
+
+
 def within_blocks(a: DataFrame, b: DataFrame, init: DataFrame, mapper=hungarian_mapper) -> DataFrame:
     """Map inside the blocks of an initial mapping (uri, block, side, label)."""
     pick = lambda df, side: df.join(init.where(F.col("side") == side).select("uri", "block", "label"), ["uri", "label"]).withColumn("uri", F.concat_ws("\u0001", "uri", "block"))

@@ -53,9 +53,9 @@ def cell_labels(reference: DataFrame, hypothesis: DataFrame, bins: float | None
     )
 
 
-def detection(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
+def detection(reference: DataFrame, hypothesis: DataFrame, bins: float | None = None) -> DataFrame:
     """uri, miss, false_alarm, total, rate: by numbers of distinct labels."""
-    per = cell_labels(reference, hypothesis).groupBy(*CELL).agg(F.count_if(F.col("r") > 0).alias("nr"), F.count_if(F.col("h") > 0).alias("nh"))
+    per = cell_labels(reference, hypothesis, bins).groupBy(*CELL).agg(F.count_if(F.col("r") > 0).alias("nr"), F.count_if(F.col("h") > 0).alias("nh"))
     d = F.col("end") - F.col("start")
     parts = per.groupBy("uri").agg(
         F.sum(d * F.greatest(F.lit(0), F.col("nr") - F.col("nh"))).alias("miss"),
@@ -69,8 +69,8 @@ def detection(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
 IDENTIFICATION = ["correct", "confusion", "miss", "false_alarm", "total", "retrieved"]
 
 
-def identification_parts(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    per = cell_labels(reference, hypothesis).groupBy(*CELL).agg(
+def identification_parts(reference: DataFrame, hypothesis: DataFrame, bins: float | None = None) -> DataFrame:
+    per = cell_labels(reference, hypothesis, bins).groupBy(*CELL).agg(
         F.sum(F.least("r", "h")).alias("c"), F.sum("r").alias("nr"), F.sum("h").alias("nh")
     )
     d = F.col("end") - F.col("start")
@@ -85,12 +85,12 @@ def identification_parts(reference: DataFrame, hypothesis: DataFrame) -> DataFra
 
 
 def identification(
-    reference: DataFrame, hypothesis: DataFrame, unknown: bool = True, confusion: float = 1.0, miss: float = 1.0, false_alarm: float = 1.0
+    reference: DataFrame, hypothesis: DataFrame, unknown: bool = True, confusion: float = 1.0, miss: float = 1.0, false_alarm: float = 1.0, bins: float | None = None
 ) -> DataFrame:
     """Components and the weighted error rate; ``unknown=False`` leaves anonymous rows out."""
     if not unknown:
         reference, hypothesis = _known(reference), _known(hypothesis)
-    out = totals(identification_parts(reference, hypothesis), IDENTIFICATION)
+    out = totals(identification_parts(reference, hypothesis, bins), IDENTIFICATION)
     errors = confusion * F.col("confusion") + miss * F.col("miss") + false_alarm * F.col("false_alarm")
     return out.withColumn("rate", ratio(errors, F.col("total"), 0.0, 1.0))
 
@@ -177,23 +177,20 @@ def _probe_runs(reference: DataFrame, hypothesis: DataFrame, step: float) -> Dat
     k = tl.duration(hyp).join(hyp.groupBy("uri").agg(F.count(F.lit(1)).alias("c")), "uri").select("uri", (F.col("duration") / F.col("c") / 2).alias("k"))
     ends = tl.extent(ref).join(k, "uri").where(F.col("start") < F.col("end") - F.col("k"))
     ends = ends.select("uri", "k", F.col("start").alias("t0"), F.ceil((F.col("end") - F.col("k") - F.col("start")) / step).cast("long").alias("m"))
-    events = []
-    for side, df in (("r", ref), ("h", hyp)):
-        for at, shift in (("0", F.lit(0.0)), ("1", F.col("k"))):
-            time = lambda j, shift=shift: F.col("t0") + j * step + shift
-            lo, hi = F.ceil((F.col("start") - shift - F.col("t0")) / step).cast("long"), F.floor((F.col("end") - shift - F.col("t0")) / step).cast("long")
-            rows = tl.ranked(df).join(ends, "uri").withColumns({"lo": lo, "hi": hi})
-            # a quotient may be off by one: the bounds are set by the times themselves
-            lo = F.when(time(F.col("lo") - 1) >= F.col("start"), F.col("lo") - 1).when(time(F.col("lo")) < F.col("start"), F.col("lo") + 1).otherwise(F.col("lo"))
-            hi = F.when(time(F.col("hi") + 1) <= F.col("end"), F.col("hi") + 1).when(time(F.col("hi")) > F.col("end"), F.col("hi") - 1).otherwise(F.col("hi"))
-            rows = rows.withColumns({"lo": F.greatest(lo, F.lit(0)), "hi": F.least(hi, F.col("m") - 1)})
-            before = F.max("hi").over(W.partitionBy("uri").orderBy("rank").rowsBetween(W.unboundedPreceding, -1))
-            own = rows.withColumn("lo", F.greatest("lo", F.coalesce(before, F.lit(-1)) + 1)).where("lo <= hi")
-            both = F.array(F.struct(F.col("lo").alias("j"), F.col("rank").cast("long").alias("v")), F.struct((F.col("hi") + 1).alias("j"), F.lit(-1).cast("long").alias("v")))
-            events.append(own.select("uri", F.explode(both).alias("e")).select("uri", "e.j", F.lit(side + at).alias("f"), "e.v"))
-    marks = ends.select("uri", F.explode(F.array(F.lit(0).cast("long"), F.col("m"))).alias("j"), F.lit("").alias("f"), F.lit(-1).cast("long").alias("v"))
-    for e in events:
-        marks = marks.unionByName(e)
+    sides = tl.ranked(ref).withColumn("f", F.lit("r")).unionByName(tl.ranked(hyp).withColumn("f", F.lit("h")))
+    shifts = F.array(F.struct(F.lit("0").alias("at"), F.lit(0.0).alias("by")), F.struct(F.lit("1").alias("at"), F.col("k").alias("by")))
+    rows = sides.join(ends, "uri").withColumn("x", F.explode(shifts)).select("uri", "rank", "start", "end", "t0", "m", F.concat("f", "x.at").alias("f"), F.col("x.by").alias("by"))
+    time = lambda j: F.col("t0") + j * step + F.col("by")
+    rows = rows.withColumns({"lo": F.ceil((F.col("start") - F.col("by") - F.col("t0")) / step).cast("long"), "hi": F.floor((F.col("end") - F.col("by") - F.col("t0")) / step).cast("long")})
+    # a quotient may be off by one: the bounds are set by the times themselves
+    lo = F.when(time(F.col("lo") - 1) >= F.col("start"), F.col("lo") - 1).when(time(F.col("lo")) < F.col("start"), F.col("lo") + 1).otherwise(F.col("lo"))
+    hi = F.when(time(F.col("hi") + 1) <= F.col("end"), F.col("hi") + 1).when(time(F.col("hi")) > F.col("end"), F.col("hi") - 1).otherwise(F.col("hi"))
+    rows = rows.withColumns({"lo": F.greatest(lo, F.lit(0)), "hi": F.least(hi, F.col("m") - 1)})
+    before = F.max("hi").over(W.partitionBy("uri", "f").orderBy("rank").rowsBetween(W.unboundedPreceding, -1))
+    own = rows.withColumn("lo", F.greatest("lo", F.coalesce(before, F.lit(-1)) + 1)).where("lo <= hi")
+    both = F.array(F.struct(F.col("lo").alias("j"), F.col("rank").cast("long").alias("v")), F.struct((F.col("hi") + 1).alias("j"), F.lit(-1).cast("long").alias("v")))
+    events = own.select("uri", "f", F.explode(both).alias("e")).select("uri", "e.j", "f", "e.v")
+    marks = ends.select("uri", F.explode(F.array(F.lit(0).cast("long"), F.col("m"))).alias("j"), F.lit("").alias("f"), F.lit(-1).cast("long").alias("v")).unionByName(events)
     names = ("r0", "r1", "h0", "h1")
     # where one run ends and the next begins, the rank beats the end
     cuts = marks.groupBy("uri", "j").agg(*[F.max(F.when(F.col("f") == n, F.col("v"))).alias(n) for n in names])
@@ -282,18 +279,22 @@ def confidence_interval(rates: DataFrame, alpha: float = 0.9) -> tuple[float, fl
     return (m, m - half, m + half)
 
 
-def wilcoxon(pairs: pd.DataFrame) -> float:
-    """Two-sided p-value (normal approximation) of paired differences in columns a and b."""
+def wilcoxon(pairs: DataFrame) -> float:
+    """Two-sided p-value (normal approximation) of paired differences in columns a and b.
+
+    Equal differences are counted first; their mean ranks come from running counts, so one row a
+    distinct difference is ordered, and five sums reach the driver.
+    """
     from math import erf, sqrt
 
-    d = (pairs["a"] - pairs["b"]).to_numpy()
-    d = d[d != 0]
-    if len(d) == 0:
+    d = F.col("a") - F.col("b")
+    sizes = pairs.where(d != 0).groupBy(F.abs(d).alias("size")).agg(F.count(F.lit(1)).alias("c"), F.count_if(d > 0).alias("up"))
+    before = F.coalesce(F.sum("c").over(W.orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = sizes.withColumn("rank", before + (F.col("c") + 1) / 2)
+    ties = F.sum(F.pow("c", F.lit(3)) - F.col("c"))
+    n, up, down, tied = ranked.agg(F.sum("c"), F.sum(F.col("rank") * F.col("up")), F.sum(F.col("rank") * (F.col("c") - F.col("up"))), ties).first()
+    if not n:
         return 1.0
-    rank = pd.Series(np.abs(d)).rank().to_numpy()
-    w = min(rank[d > 0].sum(), rank[d < 0].sum())
-    n = len(d)
-    _, ties = np.unique(np.abs(d), return_counts=True)
-    var = n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48
-    z = (w - n * (n + 1) / 4) / np.sqrt(var)
+    var = n * (n + 1) * (2 * n + 1) / 24 - tied / 48
+    z = (min(up, down) - n * (n + 1) / 4) / sqrt(var)
     return float(1 + erf(z / sqrt(2))) if z < 0 else 1.0

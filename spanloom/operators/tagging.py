@@ -14,15 +14,27 @@ from spanloom.operators import timeline as tl
 SEG = ("uri", "start", "end")
 
 
-def direct(source: DataFrame, target: DataFrame, prefix: str = "") -> DataFrame:
+def check(source: DataFrame, target: DataFrame, labelled: bool = True) -> None:
+    """What a tagger needs: an annotation as its source, a target with segments (and labels where
+    the tagger replaces them), and no uri of the target that the source does not have."""
+    for name, df, cols in (("source", source, (*SEG, "track", "label")), ("target", target, (*SEG, "track", "label") if labelled else SEG)):
+        missing = [c for c in cols if c not in df.columns]
+        if missing:
+            raise ValueError(f"the {name} has no {', '.join(missing)}")
+    alone = target.select("uri").distinct().join(source.select("uri").distinct(), "uri", "left_anti").limit(1).collect()
+    if alone:
+        raise ValueError(f"the source has no uri {alone[0]['uri']!r}")
+
+
+def direct(source: DataFrame, target: DataFrame, prefix: str = "", bins: float | None = None) -> DataFrame:
     """Every target segment receives every overlapping (track, label)."""
-    met = tl.overlap_join(tl.timeline(target), source).select("uri", F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col("b_track").alias("track"), F.col("b_label").alias("label"))
+    met = tl.overlap_join(tl.timeline(target), source, bins=bins).select("uri", F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col("b_track").alias("track"), F.col("b_label").alias("label"))
     return an._free_names(met, prefix)
 
 
-def conservative(source: DataFrame, target: DataFrame) -> DataFrame:
+def conservative(source: DataFrame, target: DataFrame, bins: float | None = None) -> DataFrame:
     """Overwrite labels of single-track segments that meet exactly one distinct label."""
-    met = tl.overlap_join(tl.timeline(target), source)
+    met = tl.overlap_join(tl.timeline(target), source, bins=bins)
     one = met.groupBy("uri", F.col("a_start").alias("start"), F.col("a_end").alias("end")).agg(F.min("b_label").alias("_lo"), F.max("b_label").alias("_hi")).where("_lo = _hi").select(*SEG, F.col("_lo").alias("_new"))
     alone = target.groupBy(*SEG).agg(F.count_distinct("track").alias("_tracks"))
     rows = target.join(alone, list(SEG)).join(one, list(SEG), "left")
@@ -30,12 +42,12 @@ def conservative(source: DataFrame, target: DataFrame) -> DataFrame:
     return rows.withColumn("label", label).select(*target.columns)
 
 
-def _best_labels(source: DataFrame, target: DataFrame) -> DataFrame:
+def _best_labels(source: DataFrame, target: DataFrame, bins: float | None = None) -> DataFrame:
     """(segment, label, k): labels by clipped duration, at most as many as one source segment has tracks."""
     segs = tl.timeline(target)
     tracks = source.groupBy(*SEG).agg(F.count_distinct("track").alias("tracks"))
-    room = tl.overlap_join(segs, tracks).groupBy("uri", "a_start", "a_end").agg(F.max("b_tracks").alias("room"))
-    met = tl.overlap_join(segs, source)
+    room = tl.overlap_join(segs, tracks, bins=bins).groupBy("uri", "a_start", "a_end").agg(F.max("b_tracks").alias("room"))
+    met = tl.overlap_join(segs, source, bins=bins)
     both = Seg.of("a_").intersection(Seg.of("b_"))
     clipped = met.select("uri", "a_start", "a_end", F.col("b_label").alias("label"), both.start.alias("start"), both.end.alias("end"))
     long = tl.duration(clipped, ("uri", "a_start", "a_end", "label"))
@@ -44,15 +56,15 @@ def _best_labels(source: DataFrame, target: DataFrame) -> DataFrame:
     return best.select("uri", F.col("a_start").alias("start"), F.col("a_end").alias("end"), "label", "k")
 
 
-def argmax_timeline(source: DataFrame, target: DataFrame) -> DataFrame:
-    best = _best_labels(source, target)
+def argmax_timeline(source: DataFrame, target: DataFrame, bins: float | None = None) -> DataFrame:
+    best = _best_labels(source, target, bins)
     return best.select(*SEG, (F.col("k") - 1).cast("string").alias("track"), "label")
 
 
-def argmax_annotation(source: DataFrame, target: DataFrame) -> DataFrame:
+def argmax_annotation(source: DataFrame, target: DataFrame, bins: float | None = None) -> DataFrame:
     """The k-th track of each target segment gets the k-th best label; others keep theirs."""
     k = F.row_number().over(W.partitionBy(*SEG).orderBy("track"))
-    best = _best_labels(source, target).withColumnRenamed("label", "_new")
+    best = _best_labels(source, target, bins).withColumnRenamed("label", "_new")
     rows = target.withColumn("k", k).join(best, [*SEG, "k"], "left")
     return rows.withColumn("label", F.coalesce("_new", "label")).select(*target.columns)
 

@@ -73,46 +73,65 @@ def _renamed(df: DataFrame, prefix: str, keys: tuple[str, ...]) -> DataFrame:
 def overlap_join(
     a: DataFrame, b: DataFrame, keys: tuple[str, ...] = URI, how: str = "inner", extra: Column | None = None, bins: float | None = None
 ) -> DataFrame:
-    """Pairs of rows of equal keys whose segments intersect; columns come back as a_* and b_*.
+    """Pairs of rows of equal keys (null is a key) whose segments intersect, as a_* and b_*.
 
     With ``bins``, segments are cut at multiples of it, so that the rows of one large key meet
-    in many tasks; a pair is kept in the bin where its intersection starts.
+    in many tasks; a pair is kept in the bin where its intersection starts. The result is the same
+    with any ``bins``, for inner, semi and anti joins; outer joins are not cut. ``bin_width``
+    suggests a value.
     """
     x, y = _renamed(a, "a_", keys), _renamed(b, "b_", keys)
     meet = Seg.of("a_").intersects(Seg.of("b_"))
     if extra is not None:
         meet = meet & extra
-    on = list(keys)
+    same = F.lit(True)
+    for k in keys:
+        same = F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) & same
+    if bins is not None and how in ("left_semi", "left_anti"):
+        # whether a row meets anything is found for distinct rows, by the cut inner join
+        hits = overlap_join(a, b, keys, "inner", extra, bins).select(*keys, *[F.col(f"a_{c}").alias(c) for c in a.columns if c not in keys]).distinct()
+        equal = F.lit(True)
+        for c in a.columns:
+            equal = F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) & equal
+        return a.alias("x").join(hits.alias("y"), equal, how).select(*keys, *[c for c in a.columns if c not in keys])
     if bins is None or how != "inner":
-        cond = meet
-        for k in on:
-            cond = F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) & cond
-        joined = x.alias("x").join(y.alias("y"), cond, how)
+        joined = x.alias("x").join(y.alias("y"), same & meet, how)
         if how in ("left_semi", "left_anti"):
             return joined.select(*keys, *[F.col(f"a_{c}").alias(c) for c in a.columns if c not in keys])
         return joined.select(*[F.col(f"x.{k}").alias(k) for k in keys], *[c for c in joined.columns if c not in keys])
     cut = lambda df, p: df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(f"{p}start") / bins), F.floor(F.col(f"{p}end") / bins))))
-    joined = cut(x, "a_").join(cut(y, "b_"), [*on, "_bin"]).where(meet)
-    return joined.where(F.floor(F.greatest("a_start", "b_start") / bins) == F.col("_bin")).drop("_bin")
+    starts = F.floor(F.greatest("a_start", "b_start") / bins) == F.col("x._bin")
+    joined = cut(x.where(Seg.of("a_").filled()), "a_").alias("x").join(cut(y.where(Seg.of("b_").filled()), "b_").alias("y"), same & (F.col("x._bin") == F.col("y._bin")) & meet & starts)
+    return joined.select(*[F.col(f"x.{k}").alias(k) for k in keys], *[c for c in x.columns if c not in keys], *[c for c in y.columns if c not in keys])
+
+
+def bin_width(df: DataFrame, rows: int = 50_000, keys: tuple[str, ...] = URI) -> float | None:
+    """A width of time bins that leaves about ``rows`` rows of the largest key in one, None if no key
+    has more than that; never less than the mean duration, so that few rows are cut."""
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max("end") - F.min("start")).alias("span"), F.avg(F.col("end") - F.col("start")).alias("mean"))
+    big = per.agg(F.max(F.struct("n", "span", "mean"))).first()[0]
+    if big is None or big["n"] <= rows or not big["span"]:
+        return None
+    return max(big["span"] * rows / big["n"], big["mean"], EPS)
 
 
 def crop(df: DataFrame, focus: DataFrame, mode: str = "intersection", keys: tuple[str, ...] = URI, bins: float | None = None) -> DataFrame:
     """Loose keeps what intersects the focus, strict what lies inside one focus segment,
     intersection the distinct common parts."""
     if mode == "loose":
-        return overlap_join(df, focus, keys, "left_semi")
+        return overlap_join(df, focus, keys, "left_semi", bins=bins)
     if mode == "strict":
-        return overlap_join(df, focus, keys, "left_semi", Seg.of("b_").contains(Seg.of("a_")))
+        return overlap_join(df, focus, keys, "left_semi", Seg.of("b_").contains(Seg.of("a_")), bins)
     if mode != "intersection":
         raise NotImplementedError(mode)
     both = Seg.of("a_").intersection(Seg.of("b_"))
     return overlap_join(df, focus, keys, bins=bins).select(*keys, both.start.alias("start"), both.end.alias("end")).distinct()
 
 
-def crop_mapping(df: DataFrame, focus: DataFrame, keys: tuple[str, ...] = URI) -> DataFrame:
+def crop_mapping(df: DataFrame, focus: DataFrame, keys: tuple[str, ...] = URI, bins: float | None = None) -> DataFrame:
     """Common parts with the array of segments they come from."""
     both = Seg.of("a_").intersection(Seg.of("b_"))
-    rows = overlap_join(df, focus, keys).select(*keys, both.start.alias("start"), both.end.alias("end"), Seg.of("a_").struct().alias("o"))
+    rows = overlap_join(df, focus, keys, bins=bins).select(*keys, both.start.alias("start"), both.end.alias("end"), Seg.of("a_").struct().alias("o"))
     return rows.groupBy(*keys, "start", "end").agg(F.sort_array(F.collect_set("o")).alias("origin"))
 
 
@@ -188,6 +207,18 @@ def mapped(df: DataFrame, start: Column, end: Column, keys: tuple[str, ...] = UR
     return timeline(df.select(*keys, start.alias("start"), end.alias("end")), keys)
 
 
+def pairwise(df: DataFrame, keys: tuple[str, ...] = URI) -> DataFrame:
+    """Each segment with the next one of its key (next_start, next_end); the last has none."""
+    order = W.partitionBy(*keys).orderBy("start", "end")
+    out = timeline(df, keys).withColumns({"next_start": F.lead("start").over(order), "next_end": F.lead("end").over(order)})
+    return out.where("next_start IS NOT NULL")
+
+
+def scan(df: DataFrame, keys: tuple[str, ...] = URI) -> DataFrame:
+    """The set in (start, end) order, for reading one row after the other."""
+    return timeline(df, keys).orderBy(*keys, "start", "end")
+
+
 def empty(df: DataFrame) -> DataFrame:
     return df.limit(0)
 

@@ -94,7 +94,7 @@ put(
     """g AS (SELECT uri, 'track|speaker|' || s || '|' || e || '|' || track AS t, label FROM ref),
     k AS (SELECT uri, t, CASE WHEN label = 'error' THEN t ELSE 'identity|' || label END AS c, label FROM g),
     x AS (SELECT k.uri, k.c AS a, 'identity|' || s.label AS b, score FROM sco s JOIN k ON k.uri = s.uri AND k.t = 'track|speaker|' || s.s || '|' || s.e || '|' || s.track WHERE k.c <> 'identity|' || s.label)
-    SELECT uri, least(a, b) AS src, greatest(a, b) AS dst, avg(score) AS probability FROM x GROUP BY 1, 2, 3""",
+    SELECT uri, least(a, b) AS src, greatest(a, b) AS dst, round(avg(score) + 1e-9, 6) AS probability FROM x GROUP BY 1, 2, 3""",
 )
 FOCUS = f"SELECT a.uri, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e, a.label FROM {{}} a JOIN uem b ON a.uri = b.uri AND {OVL}"
 

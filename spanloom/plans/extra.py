@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.segment import Seg, SlidingWindow
 from spanloom.operators import annotation as an
+from spanloom.operators import clustering as cl
 from spanloom.operators import feature as fe
+from spanloom.operators import graph as gr
 from spanloom.operators import mapping as mp
 from spanloom.operators import matrix as mx
 from spanloom.operators import scores as sc
@@ -377,7 +379,7 @@ def _(spark, d):
 # --- H, J ----------------------------------------------------------------------------------------
 
 
-@query("h_segments", 'SELECT vec_id AS frame, vec_id::DOUBLE AS "start", vec_id + 1.5 AS "end" FROM embeddings')
+@query("h_segments", 'SELECT vec_id AS frame, vec_id::DOUBLE AS "start", vec_id + 1.5::DOUBLE AS "end" FROM embeddings')
 def _(spark, d):
     return fe.segments(v.frames(spark, d), SlidingWindow(1.5, 1.0)).select("frame", "start", "end")
 
@@ -409,7 +411,7 @@ def _(spark, d):
     return _round_trip(R(spark, d), "ann").select("uri", "start", "end", "track", "label", "modality")
 
 
-@query("l_seg_round_trip", """SELECT uri, label, CASE WHEN f = 0 THEN 0.0 ELSE (f - 0.5) * 0.01 + 0.015 END AS "start", (f - 0.5) * 0.01 + 0.015 + n * 0.01 AS "end" FROM
+@query("l_seg_round_trip", """SELECT uri, label, CASE WHEN f = 0 THEN 0.0 ELSE (f - 0.5) * 0.01 + 0.015 END::DOUBLE AS "start", ((f - 0.5) * 0.01 + 0.015 + n * 0.01)::DOUBLE AS "end" FROM
   (SELECT uri, label, f, g - f AS n FROM (SELECT uri, label, greatest(0, round_even((s - 0.015) / 0.01, 0))::BIGINT AS f, round_even((e - 0.015) / 0.01, 0)::BIGINT AS g FROM turns WHERE e > s))""")
 def _(spark, d):
     return _round_trip(T(spark, d).where(Seg.of().filled()), "seg").select("uri", "label", "start", "end")
@@ -475,3 +477,37 @@ def _(spark, d):
 def _(spark, d):
     text = F.when(F.col("label") == "error", F.lit("nobody")).otherwise(F.concat(F.lit("so <pers="), "label", F.lit("> said")))
     return R(spark, d).select("uri", F.explode(tx.pronounced(text)).alias("name")).distinct()
+
+
+# --- O, P: constraints and edges -----------------------------------------------------------------
+
+
+@query("c_pairwise", f'SELECT * FROM (SELECT uri, {se()}, lead(s) OVER w AS next_start, lead(e) OVER w AS next_end FROM (SELECT DISTINCT uri, s, e FROM ref) WINDOW w AS (PARTITION BY uri ORDER BY s, e)) WHERE next_start IS NOT NULL')
+def _(spark, d):
+    return tl.pairwise(R(spark, d))
+
+
+@query("o_apart", f"SELECT uri, row, col FROM {s_co('ref', 'ref')} WHERE row <> col AND value > 3600")
+def _(spark, d):
+    return cl.apart(R(spark, d), 3600.0)
+
+
+@query("o_not_contiguous", """n AS (SELECT DISTINCT uri, label FROM ref) SELECT a.uri, a.label AS row, b.label AS col FROM n a JOIN n b ON a.uri = b.uri AND a.label <> b.label
+  WHERE NOT EXISTS (SELECT 1 FROM ref x JOIN ref y ON x.uri = y.uri WHERE x.uri = a.uri AND x.label = a.label AND y.label = b.label AND greatest(x.s, y.s) - least(x.e, y.e) <= 600)""")
+def _(spark, d):
+    return cl.not_contiguous(R(spark, d), 600.0)
+
+
+GRID = "SELECT DISTINCT uri, label, track, unnest(range(floor(s / 1800)::BIGINT, ceil(e / 1800)::BIGINT)) AS t FROM"
+
+
+@query("p_lag_edges", f"""x AS ({GRID} ref), y AS ({GRID} hyp), m AS (SELECT l.lag, avg((x.label = y.label)::INT) AS p FROM (SELECT DISTINCT uri, label, t FROM x) x, range(-4, 5) AS l(lag), (SELECT DISTINCT uri, label, t FROM y) y WHERE x.uri = y.uri AND x.t + l.lag = y.t GROUP BY 1)
+  SELECT x.uri, x.track AS a_track, y.track AS b_track, max(p) AS probability FROM x, m, y WHERE m.lag >= 0 AND x.uri = y.uri AND x.t + m.lag = y.t GROUP BY 1, 2, 3""")
+def _(spark, d):
+    r, h = R(spark, d), H(spark, d)
+    return gr.lag_edges(r, h, gr.lag_fit(r, h, 7200.0, 1800.0), 7200.0, 1800.0, future=True)
+
+
+@query("g_louvain_mapper")
+def _(spark, d):
+    return mp.louvain_mapper(R(spark, d), H(spark, d))

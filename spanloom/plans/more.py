@@ -111,7 +111,7 @@ def _(spark, d):
 @query("n_posterior")
 def _(spark, d):
     rows = v.calib(spark, d)
-    return ca.apply(rows, ca.fit(rows, 20))
+    return ca.apply(rows, ca.fit(rows, 20)).withColumns({c: F.round(c, 9) for c in ("llr", "posterior")})
 
 
 @query("n_linear_llr")
@@ -210,7 +210,8 @@ def _(spark, d):
 @query("p_contract")
 def _(spark, d):
     r = R(spark, d)
-    return gr.contract(gr.merge(gr.from_scores(v.scores(spark, d)), gr.from_annotation(r.where(F.col("label") != "error"))))
+    out = gr.contract(gr.merge(gr.from_scores(v.scores(spark, d)), gr.from_annotation(r.where(F.col("label") != "error"))))
+    return out.withColumn("probability", F.round(F.col("probability") + 1e-9, 6))  # means of thousandths: ties are frequent
 
 
 @query("p_prune_identities", "SELECT uri, track, 'identity|' || label AS identity, score FROM (SELECT *, row_number() OVER (PARTITION BY uri, track ORDER BY score DESC, label) AS n FROM sco) WHERE n <= 2")

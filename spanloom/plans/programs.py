@@ -19,6 +19,10 @@ from spanloom.operators import timeline as tl
 METRICS = {"detection": me.detection, "identification": me.identification, "diarization": me.diarization, "purity": me.purity, "coverage": me.coverage, "homogeneity": me.homogeneity, "completeness": me.completeness}
 
 
+#: Metrics that join pieces with rows, and so can cut long uris by time.
+BINNED = ("detection", "identification")
+
+
 def without_overlap(reference: DataFrame, focus: DataFrame | None = None) -> DataFrame:
     """Evaluation map without the pieces where several reference tracks run."""
     tagged = tg.direct(reference, tl.cells(reference))
@@ -31,11 +35,11 @@ def evaluate(reference: DataFrame, hypotheses: dict[str, DataFrame], metrics: li
     """(hypothesis, uri, metric, rate), with uri '/all' for the rates of summed components."""
     area = without_overlap(reference, uem) if skip_overlap else uem
     ref = reference if area is None else an.crop(reference, area)
-    out = None
+    out, width = None, tl.bin_width(ref)
     for name, hyp in hypotheses.items():
         own = hyp if area is None else an.crop(hyp, area)
         for m in metrics:
-            rows = METRICS[m](ref, own).select(F.lit(name).alias("hypothesis"), "uri", F.lit(m).alias("metric"), "rate")
+            rows = METRICS[m](ref, own, **({"bins": width} if m in BINNED else {})).select(F.lit(name).alias("hypothesis"), "uri", F.lit(m).alias("metric"), "rate")
             out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -59,7 +63,7 @@ def significance(evaluation: DataFrame, metric: str, a: str, b: str) -> float:
     """Wilcoxon p-value of two hypotheses' rates over uris."""
     rows = evaluation.where((F.col("metric") == metric) & (F.col("uri") != "/all"))
     wide = rows.groupBy("uri").pivot("hypothesis", [a, b]).agg(F.first("rate")).toDF("uri", "a", "b").dropna()
-    return me.wilcoxon(wide.toPandas())
+    return me.wilcoxon(wide)
 
 
 def write_csv(evaluation: DataFrame, path: str, metrics: list[str]) -> None:
@@ -130,6 +134,35 @@ def calibrate(samples: DataFrame, scores: DataFrame, kind: str = "isotonic") ->
     return model, ca.apply(scores, model)
 
 
+def train_similarity(similarity: DataFrame, reference: DataFrame, hypothesis: DataFrame, kind: str = "isotonic", bins: int = 50) -> ScoreRatio:
+    """Calibration of similarities of clusters: pairs that one reference label links against pairs
+    whose main labels differ; pairs that say neither take no part."""
+    links = ca.cluster_links(reference, hypothesis).where("value <> 0")
+    rows = similarity.where("row <> col AND value IS NOT NULL").select("uri", F.least("row", "col").alias("row"), F.greatest("row", "col").alias("col"), F.col("value").alias("score"))
+    samples = rows.join(links, ["uri", "row", "col"]).select("score", (F.col("value") == 1).cast("int").alias("target"))
+    return ca.fit(samples, bins, kind)
+
+
+def train_track_similarity(similarity: DataFrame, labels: DataFrame, kind: str = "isotonic", bins: int = 50) -> ScoreRatio:
+    """Calibration of similarities of tracks: equal labels against different ones."""
+    return ca.fit(ca.pair_samples(similarity, labels), bins, kind)
+
+
+def diarize(similarity: DataFrame, annotation: DataFrame, model: ScoreRatio | None = None) -> DataFrame:
+    """Relabel by the best partition of (calibrated) similarities: weights are posteriors less a half."""
+    rows = similarity.where("row < col AND value IS NOT NULL")
+    if model is not None:
+        rows = ca.apply(rows.withColumnRenamed("value", "score"), model).select("uri", "row", "col", (F.col("posterior") - 0.5).alias("value"))
+    found = cl.correlation(rows)
+    return an.translate(annotation, found.select("uri", F.col("item").alias("left"), F.col("cluster").alias("right")), per_uri=True)
+
+
+def parse_threshold(text: str) -> float | str:
+    """A number, ``-oo``, ``+oo`` or ``P`` for posteriors."""
+    known = {"-oo": float("-inf"), "+oo": float("inf"), "oo": float("inf"), "P": "posterior"}
+    return known[text] if text in known else float(text)
+
+
 def mine(tracks: DataFrame, scores: DataFrame | None = None, names: DataFrame | None = None, similarity: DataFrame | None = None, nbest: int | None = None, alpha: float = 0.5) -> DataFrame:
     """Identities of tracks from all evidence: certain names, scores, similarities, exclusions."""
     parts = []

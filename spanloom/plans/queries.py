@@ -381,9 +381,14 @@ def _(spark, d):
     return mp.argmax_mapper(R(spark, d), H(spark, d))
 
 
-@query("g_conservative_mapper", f"SELECT uri, row AS \"left\", min(col) AS \"right\" FROM {s_co('ref', 'hyp')} WHERE value > 0 GROUP BY 1, 2 HAVING count(*) = 1")
+S_FEW = "(SELECT * FROM {} WHERE i % 9 = 0)"
+
+
+@query("g_conservative_mapper", f"SELECT uri, row AS \"left\", min(col) AS \"right\" FROM {s_co(S_FEW.format('ref'), S_FEW.format('hyp'))} WHERE value > 0 GROUP BY 1, 2 HAVING count(*) = 1")
 def _(spark, d):
-    return mp.conservative_mapper(R(spark, d), H(spark, d))
+    # a ninth of the events: with all of them every label meets several others
+    few = lambda df: df.where(F.col("track").cast("long") % 9 == 0)
+    return mp.conservative_mapper(few(R(spark, d)), few(H(spark, d)))
 
 
 @query("g_hungarian_mapper")
@@ -540,7 +545,8 @@ def _(spark, d):
 @query("k_cluster_agreement")
 def _(spark, d):
     rows = R(spark, d).select("uri", "track", F.col("label").alias("expected")).join(H(spark, d).select("uri", "track", F.col("label").alias("found")), ["uri", "track"])
-    return mp.cluster_agreement(rows)
+    out = mp.cluster_agreement(rows)
+    return out.select("uri", *[F.round(c, 8).alias(c) for c in out.columns if c != "uri"])
 
 
 # --- S: error analysis ---------------------------------------------------------------------------

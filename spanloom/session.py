@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 import zipfile
 
@@ -12,6 +13,18 @@ from pyspark.sql import SparkSession
 _shipped: set[tuple[str, str]] = set()
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Set the checkpoint folder, if none is: ``spark.checkpoint.dir``, which executors share, or a
+    temporary one where driver and executors are one process."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    shared = context.getConf().get("spark.checkpoint.dir", None)
+    if shared is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(shared or tempfile.mkdtemp())
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once an application, so that their Python finds it."""
     root = os.path.dirname(os.path.abspath(__file__))

@@ -179,6 +179,16 @@ def read_srt(spark: SparkSession, path: str, uri: str) -> DataFrame:
     return rows.select(F.lit(uri).alias("uri"), time(1).alias("start"), time(2).alias("end"))
 
 
+def read_track_list(spark: SparkSession, path: str) -> DataFrame:
+    """(uri, track) of list files: a line that is not a number names a uri (with an extension of three
+    letters), the numbers below it are its tracks. A file is read as one row."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    rows = text.select("file", "n", F.trim("line").alias("line")).where("line <> ''")
+    name = F.when(~F.col("line").rlike("^[0-9]+$"), F.expr("left(line, length(line) - 4)"))
+    owner = F.last(name, ignorenulls=True).over(W.partitionBy("file").orderBy("n"))
+    return rows.withColumn("uri", owner).where(F.col("line").rlike("^[0-9]+$")).select("uri", F.col("line").alias("track"))
+
+
 def template(path: str, **values: str) -> str:
     """Replace [URI]-like placeholders of a path."""
     for k, v in values.items():

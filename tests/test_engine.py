@@ -163,7 +163,7 @@ def test_every_probe_is_made(spark):
         return {u: sorted(x) for u, x in out.items()}
 
     cross = lambda a, b: (-1 if b is None else b) - (-1 if a is None else a)
-    same = {"k_pk_step1": lambda a, b, c, d: (a == b) == (c == d), "k_windowdiff_step1": lambda a, b, c, d: cross(a, b) == cross(c, d)}
+    same = {"k_pk": lambda a, b, c, d: (a == b) == (c == d), "k_windowdiff": lambda a, b, c, d: cross(a, b) == cross(c, d)}
     ref, hyp = turns(plans.T(spark, SF)), turns(plans.TH(spark, SF))
     for name, f in same.items():
         got = {r.uri: r.rate for r in plans.queries()[name](spark, SF).collect()}
