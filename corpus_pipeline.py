@@ -22,7 +22,7 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose predicted severity grade is above 0."""
+    """Drop documents whose predicted probability of a severity grade above 0 reaches one half."""
     ship(spark)
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.clean_rows(docs.select(*COLUMNS), model)
