@@ -166,3 +166,5 @@ put(
     items AS (SELECT uri, row AS item FROM k UNION SELECT uri, col FROM k)
     SELECT i.uri, i.item, min(i.item) OVER (PARTITION BY i.uri, l.g) AS cluster FROM items i JOIN won USING (uri) JOIN lab l ON l.p = won.p AND l.label = i.item""",
 )
+RATES = s_rates("ref", "hyp", "shifted")
+put("flagship_error_rates", f"ev AS (SELECT * FROM {RATES}) SELECT uri, max(rate) FILTER (metric = 'detection') AS detection, max(rate) FILTER (metric = 'identification') AS identification FROM ev GROUP BY 1")
