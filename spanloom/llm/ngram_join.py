@@ -12,12 +12,13 @@ documents without ever spelling out the pairs of a class.
    where what follows could no longer hold enough shared shingles.
 4. *Rare tokens* (at most ``rare`` sets) in a prefix are indexed one by one: a bucket has a fixed
    bound.
-5. *Frequent tokens*: a set whose prefix reaches them, extended by all of its frequent tokens, is
-   indexed by combinations of them: its frequent tokens are dealt by hash to more groups than two
-   linked sets can differ in, so linked sets agree on all tokens of some group. Each group is one
-   key, a combination of k tokens with k about 1 / (2 - 2 * similarity); taking all k-subsets of
-   a prefix instead would grow with its k-th power. Of a set's keys only the rarest are kept, as
-   many as it may differ in, and one more.
+5. *Frequent tokens* fall into classes by their count: those of at most ``rare`` squared sets are
+   indexed by pairs, the others by triples. A set whose prefix reaches frequent tokens has it
+   extended until any tokens a partner may lack still leave it a whole combination. Combinations of
+   all tokens of a prefix would grow with its k-th power, so a hash deals each class to about as many
+   cells as linked sets can differ in tokens, and only tokens of one cell are combined: about two
+   pairs or five triples for each token that may differ. The number of cells follows from the binary
+   digits of the larger size; sets near a power of two are indexed for both numbers.
    Pairs that share a rare token have met by it already; all others share frequent tokens only,
    which bounds what they can share. A bucket's sets are compared with its member that has the
    fewest other tokens; where that leaves several classes in one bucket, the sets outside its
@@ -36,13 +37,13 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from spanloom.llm.common import Scratch, materialize
 
@@ -125,28 +126,74 @@ def _least_shared(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100.0)
 
 
-def _signatures(percent: int, rare: int):
-    """Rows (sid, n, own, toks with df) -> keys to index a set by: kind 1 rare tokens, 2 combinations."""
-    t = percent / 100.0
+#: Most tokens of one combination.
+WIDEST = 3
+
 
-    def cls(n: int) -> int:  # linked sizes fall into the same or the next class
-        return int(np.floor(np.log(n) / -np.log(t) + 1e-9))
+def _cells(bits: int, percent: int) -> tuple[int, int, int]:
+    """(least shared, cells of a token class, widest combination) for pairs whose larger set has
+    ``bits`` binary digits in its size: all cells together may hold one token less than a
+    combination each and still fewer tokens than a link shares."""
+    least = -(-percent * 2 ** (bits - 1) // 100)
+    widest = next(w for w in range(WIDEST, 0, -1) if w * (w - 1) // 2 < least)
+    room = (least - 1) // max(1, widest * (widest - 1) // 2)
+    return least, max(1, min(room, 3 * (100 - percent) * 2**bits // 400)), widest
 
-    def groups(c: int) -> int:  # more than two linked sets of classes c - 1 and c, or c and c, can differ in
-        largest = t ** -(c + 1)
-        return int(2.5 * largest * (1 - t) / (1 + t)) + 2
 
-    def differ(c: int) -> int:
-        return int(2 * t ** -(c + 1) * (1 - t) / (1 + t) + 1e-9)
+def _combined(tok: np.ndarray, df: np.ndarray, spare: int, cells: int, widest: int, rare: int) -> np.ndarray:
+    """Combinations of a prefix of ``tok`` (in the common order), of which a partner may lack ``spare``.
+
+    A token's class, by its count, says how many tokens its combinations have; a hash deals the
+    class to cells, and a combination stays in its cell. The prefix is extended until its cells
+    hold ``spare`` + 1 tokens beyond one less than a combination each: whichever the partner lacks,
+    some cell keeps a whole combination. Of two sets, the prefix that ends first decides.
+    """
+    k = np.minimum(widest, 2 + np.searchsorted(rare ** np.arange(2, widest), df))
+    with np.errstate(over="ignore"):
+        cell = k * cells + (_mix(tok * M2) % np.uint64(cells)).astype(np.int64)
+        value = _mix(tok + M1)
+    by = np.argsort(cell, kind="stable")
+    starts = np.flatnonzero(np.diff(cell[by], prepend=-1))
+    before = np.empty(len(tok), np.int64)  # tokens of the same cell that precede it
+    before[by] = np.arange(len(tok)) - np.repeat(starts, np.diff(np.append(starts, len(tok))))
+    end = int(np.searchsorted(np.cumsum(before >= k - 1), spare + 1)) + 1
+    by = by[by < end]
+    k, before, value = k[by], before[by], value[by]
+    found = []
+    for w in range(1, widest + 1):
+        at = np.flatnonzero(k == w)
+        reach = int(before[at].max(initial=0))
+        for back in combinations(range(1, reach + 1), w - 1):
+            i = at[before[at] >= back[-1]] if back else at
+            total = value[i]
+            for d in back:
+                total = total + value[i - d]
+            found.append(total)
+    return np.concatenate(found)
+
+
+def _signatures(percent: int, rare: int):
+    """Rows (sid, n, shared) -> keys to index a set by: kind 1 rare tokens, above it combinations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], []]
+        held = 0
+
+        def emit(kind: int, keys: np.ndarray, sid: int, n: int, own: int) -> None:
+            nonlocal held
+            held += len(keys)
+            for c, v in zip(out, (np.full(len(keys), kind), keys, np.full(len(keys), sid), np.full(len(keys), n), np.full(len(keys), own)), strict=True):
+                c.append(v.astype(np.int64))
 
-            def emit(kind: int, keys: np.ndarray, pos: np.ndarray, sid: int, n: int, own: int) -> None:
-                for c, v in zip(out, (np.full(len(keys), kind), keys, pos, np.full(len(keys), sid), np.full(len(keys), n), np.full(len(keys), own)), strict=True):
-                    c.append(v.astype(np.int64))
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
+            held = 0
+            for c in out:
+                c.clear()
+            return pa.record_batch([pa.array(c) for c in flat], names=["kind", "key", "sid", "n", "own"])
 
+        for b in batches:
             for sid, n, shared in zip(b.column("sid").to_pylist(), b.column("n").to_pylist(), b.column("shared"), strict=True):
                 rows = shared.values.flatten()
                 df, tok = np.asarray(rows[0]), np.asarray(rows[1])
@@ -158,27 +205,19 @@ def _signatures(percent: int, rare: int):
                 df, tok = df[order], tok[order]
                 head = tok[: prefix - own]
                 few = int(np.searchsorted(df, rare, "right"))
-                single = head[:few]
-                emit(1, single, own + np.arange(len(single)), sid, n, own)
+                emit(1, head[:few], sid, n, own)
                 if len(head) > few:
                     # pairs that share a rare token meet by it, so here rare tokens count as unshared too
-                    frequent = tok[few:].view(np.uint64)
-                    with np.errstate(over="ignore"):
-                        spread = _mix(frequent * M2)
-                        for c in (cls(n), cls(n) + 1):  # as the larger class of a pair, and as the smaller
-                            g = groups(c)
-                            part = spread % np.uint64(g)
-                            sums, filled = np.zeros(g, np.uint64), np.zeros(g, bool)
-                            np.add.at(sums, part.astype(np.int64), _mix(frequent + M1))
-                            filled[part.astype(np.int64)] = True
-                            keys = _mix(_mix(sums + np.uint64(c) * M3) + np.arange(g, dtype=np.uint64) * M1)
-                            # more groups agree than are empty, so empty ones need no key, but in tiny sets
-                            most = g
-                            if g - differ(c) > g - filled.sum():
-                                keys, most = keys[filled], differ(c) + 1
-                            emit(2 + c, keys.view(np.int64), np.full(len(keys), most), sid, n, own + few)
-            flat = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-            yield pa.record_batch([pa.array(c) for c in flat], names=["kind", "key", "pos", "sid", "n", "own"])
+                    for bits in range(n.bit_length(), (100 * n // percent).bit_length() + 1):
+                        least, cells, widest = _cells(bits, percent)
+                        spare = len(tok) - few - max(least, -(-percent * n // 100))
+                        if spare >= 0:
+                            with np.errstate(over="ignore"):
+                                keys = _mix(_combined(tok[few:].view(np.uint64), df[few:], spare, cells, widest, rare) + np.uint64(bits) * M3)
+                            emit(1 + bits, keys.view(np.int64), sid, n, own)
+                if held > 500_000:
+                    yield flush()
+            yield flush()
 
     return run
 
@@ -318,18 +357,16 @@ def _join(docs: DataFrame, width: int, percent: int, rare: int, id_col: str, tex
     sizes = full.groupBy("sid").agg(F.max("n").alias("n"))
     sets = tables(sizes.join(shared, "sid"), "ngram-shared")
     shingled = sets.select("sid", "n", F.transform("shared", lambda x: x["tok"]).alias("toks"))
-    keys = tables(sets.mapInArrow(_signatures(percent, rare), "kind long, key long, pos long, sid long, n long, own long"), "ngram-keys")
+    keys = tables(sets.mapInArrow(_signatures(percent, rare), "kind long, key long, sid long, n long, own long"), "ngram-keys")
 
     # 4: rare tokens, every pair of a bucket of at most ``rare`` sets
     single = keys.where("kind = 1")
     a, b = single.alias("a"), single.alias("b")
     rare_pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.sid") < F.col("b.sid")) & _may_link("a", "b", percent))
     # 5: frequent combinations, every set of a bucket with its pivot
-    # linked sets differ in few groups, so they meet within the first keys of either, rarest first
     combos = keys.where("kind > 1")
-    seen = combos.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    nth = F.row_number().over(W.partitionBy("sid", "kind").orderBy("c", "key"))
-    combos = combos.join(seen, "key").withColumn("nth", nth).where("nth <= pos AND c > 1").select("key", "sid", "n", "own")
+    met = combos.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    combos = combos.join(met, "key").select("key", "sid", "n", "own")
     combos = tables(combos, "ngram-combos")
     pivots = combos.groupBy("key").agg(F.min(F.struct("own", "sid", "n")).alias("p"), F.max("sid").alias("h"), F.min("sid").alias("l")).where("l <> h")
     pivots = pivots.select("key", "p.sid", "p.n", "p.own")

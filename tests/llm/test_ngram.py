@@ -2,6 +2,8 @@
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +124,30 @@ def test_join_on_documents(spark, odd_docs, no_docs):
     assert sorted(map(tuple, ngram_join.classes(odd_docs, 3, 90).collect()), key=repr) == brute(odd, 3, 90)
     assert ngram_join.representatives(odd_docs).columns == odd_docs.columns
     assert ngram_join.classes(no_docs).count() == 0
+
+
+@pytest.mark.parametrize(("percent", "rare"), [(90, 16), (80, 4), (60, 2)])
+def test_linked_sets_share_a_combination(percent, rare):
+    """Whatever frequent tokens two sets lack of each other, a link leaves them a key in common."""
+    r = np.random.default_rng(percent)
+    df_of = r.integers(rare + 1, 3 * rare**2, 100_000)
+    for _ in range(1500):
+        n = int(2 ** r.uniform(0, 9))
+        both = r.choice(100_000, size=2 * n, replace=False)
+        # the largest numbers of tokens on either side that still link
+        lost, more = int(r.integers(0, n)), 0
+        while 100 * (n - lost) < percent * n:
+            lost -= 1
+        while 100 * (n - lost) >= percent * (n + more + 1) and more < n:
+            more += 1
+        a, b = both[:n], np.r_[both[lost:n], both[n : n + more]]
+        keys = []
+        for s in (a, b):
+            s = s[np.lexsort((s, df_of[s]))]
+            rows = pa.record_batch(
+                [pa.array([1]), pa.array([len(s)]), pa.array([[{"df": int(df_of[t]), "tok": int(t)} for t in s]])], names=["sid", "n", "shared"]
+            )
+            got = pa.Table.from_batches(ngram_join._signatures(percent, rare)(iter([rows])))
+            assert len(got) <= 40 * (len(s) + 1)
+            keys.append({*zip(got["kind"].to_pylist(), got["key"].to_pylist(), strict=True)})
+        assert keys[0] & keys[1], (n, lost, more)
