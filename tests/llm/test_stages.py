@@ -91,10 +91,3 @@ def test_stages_equal_plain_versions(spark, corpus):
     packed = stages["packing"](spark, mixed, SF).collect()
     used, _ = check_packing(mixed, packed, 1024)
     assert used <= plain_best_fit([r.length for r in packed], 1024)
-
-
-def test_run_equals_its_stages(spark):
-    docs = table(spark, SF, "documents")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = materialize(stage(spark, docs, SF), "t")
-    assert rows_of(corpus_pipeline.run(spark, SF)) == rows_of(docs)
