@@ -110,3 +110,21 @@ def gapless(df: DataFrame, group: list[str], bucket: Column, order: list[str], o
         .join(starts.alias("r"), cond)
         .select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._start") + F.col("l._rank") - 1).cast("long").alias(out))
     )
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str, store) -> DataFrame:
+    """Number the rows of each group from 1 in ``order``, the ranges of large groups apart.
+
+    Rows are dealt by ranges of (group, order) and stored; a row's number is its place in its range
+    plus the rows of its group in earlier ranges, so no task holds more of a group than one range.
+    ``store`` is ``materialize`` or a ``Scratch``.
+    """
+    dealt = store(df.repartitionByRange(*group, *order).withColumn("_p", F.spark_partition_id()), f"ranks-{out}")
+    before = W.partitionBy(*group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    counts = dealt.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*group, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")).alias("r")
+    placed = dealt.withColumn("_k", F.row_number().over(W.partitionBy(*group, "_p").orderBy(*order))).alias("l")
+    same = F.lit(True)
+    for c in [*group, "_p"]:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return placed.join(starts, same).select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._start") + F.col("l._k")).cast("long").alias(out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import audio, chat_collapse, cube_mix, hash_tree, ngram_join, packing, quality_rules, toxicity, url_graph, warc
+from spanloom.llm import audio, chat_collapse, conversation_trie, cube_mix, decontamination, hash_tree, ngram_join, packing, quality_rules, sequenced_changes, toxicity, url_graph, warc
 from spanloom.llm.common import table
 
 
@@ -160,6 +160,77 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op11_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequenced_changes.apply_all(table(spark, sf_dir, "client_changes"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, length(coalesce(text, '')) AS n, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), h AS (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(
+      list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1))), 4294967295::BIGINT), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM t)
+), f AS (
+  SELECT h.c, t.k AS d, n, x FROM h JOIN t ON t.c = h.base AND t.k <= h.h
+), r AS (
+  SELECT * FROM f UNION ALL
+  SELECT t.c, t.k - h.h + coalesce(m, 0), n, x FROM t JOIN h ON h.c = t.c AND t.k > h.h LEFT JOIN (SELECT c, max(d) AS m FROM f GROUP BY c) AS g ON g.c = t.c
+), p AS (
+  SELECT c, d, n, string_agg(x, '') OVER (PARTITION BY c ORDER BY d) AS p FROM r UNION ALL SELECT c, 0, 0, '' FROM h
+), e AS (
+  SELECT d, p, string_agg(c::VARCHAR, ',' ORDER BY c) AS e FROM (SELECT *, max(d) OVER (PARTITION BY c) AS l FROM p) WHERE d = l GROUP BY d, p
+), v AS (
+  SELECT d, p, min(c) AS c, count(*) AS m, (count(*) - 1) * min(n) AS s FROM p GROUP BY d, p
+), k AS (
+  SELECT v.*, coalesce(w.n, 0) AS kids FROM v LEFT JOIN (SELECT left(p, 32 * (d - 1)) AS p, count(*) AS n FROM v WHERE d > 0 GROUP BY 1) AS w ON w.p = v.p
+), u AS (
+  SELECT left(p, 32 * a) AS p, count(*) FILTER (kids = 0) AS leaves, sum(s) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM k) GROUP BY 1
+)
+SELECT k.c AS conv_id, k.d AS depth, q.c AS parent_conv_id, k.m AS n_convs, k.kids::BIGINT AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens,
+  sha256(coalesce(e.e, '')) AS ends_sha256
+FROM k JOIN u ON u.p = k.p LEFT JOIN e ON e.p = k.p LEFT JOIN k AS q ON k.d > 0 AND q.p = left(k.p, 32 * (k.d - 1))
+"""
+
+
+def op13_benchmark_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ -/:-`{-]+'), lambda x: x <> '') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, least(10, len(w)) AS l, w FROM (SELECT item_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ -/:-`{-]+'), lambda x: x <> '') AS w
+  FROM benchmark) WHERE len(w) > 0
+), k AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[i:i + l - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS i FROM b)
+), e AS (
+  SELECT r, l, i, array_to_string(w[i:i + l - 1], ' ') AS s
+  FROM (SELECT r, l, w, unnest(range(1, len(w) - l + 2)) AS i FROM d JOIN (SELECT DISTINCT l FROM k) ON len(w) >= l)
+), m AS (
+  SELECT r, e.l, i, item_id FROM e JOIN k USING (l, s)
+), h AS (
+  SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + l)) AS j FROM (SELECT DISTINCT r, l, i FROM m)) GROUP BY r
+), t AS (
+  SELECT r, count(*) AS n, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM m WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.x, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_url_link_graph": op1_url_link_graph,
@@ -173,8 +244,11 @@ def queries() -> dict:
         "op8_hash_tree": op8_hash_tree,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_chat_collapse": op10_chat_collapse,
+        "op11_sequenced_changes": op11_sequenced_changes,
+        "op12_conversation_trie": op12_conversation_trie,
+        "op13_benchmark_winnowing": op13_benchmark_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rule_ledger": OP3_SQL, "rule_ablation": ABLATION_SQL, "op5_warc_writer": OP5_SQL, "op7_ngram_jaccard": OP7_SQL, "op10_chat_collapse": OP10_SQL}
+    return {"op3_rule_ledger": OP3_SQL, "rule_ablation": ABLATION_SQL, "op5_warc_writer": OP5_SQL, "op7_ngram_jaccard": OP7_SQL, "op10_chat_collapse": OP10_SQL, "op12_conversation_trie": OP12_SQL, "op13_benchmark_winnowing": OP13_SQL}
