@@ -34,10 +34,14 @@ from spanloom.llm.common import Scratch, materialize, ranked
 
 BLOCK = 1024
 IDS = 256
-ROOT = F.unhex(F.lit(""))
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 
 
+def _root() -> Column:
+    """The digest of no turns."""
+    return F.unhex(F.lit(""))
+
+
 def _digest(*parts: Column) -> Column:
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
@@ -54,16 +58,16 @@ def chained(turns: DataFrame, key: list[str], longest: int, block: int = BLOCK)
     cut = turns.withColumn("_b", F.floor((F.col("d") - 1) / block).cast("long")).groupBy(*key, "_b")
     rows = cut.agg(F.sort_array(F.collect_list(F.struct("d", "len", "t"))).alias("_rows"))
     grow = lambda s, r: F.struct(_digest(s["last"], r["t"]).alias("last"))
-    step = lambda s, r: F.concat(s, F.array(grow(F.struct(F.coalesce(F.element_at(s, -1), ROOT).alias("last")), r)["last"]))
+    step = lambda s, r: F.concat(s, F.array(grow(F.struct(F.coalesce(F.try_element_at(s, F.lit(-1)), _root()).alias("last")), r)["last"]))
     local = rows.withColumn("_own", F.aggregate("_rows", F.array().cast("array<binary>"), step))
     if longest <= block:
-        local = local.withColumns({"_before": F.lit(None).cast("binary"), "_above": ROOT})
+        local = local.withColumns({"_before": F.lit(None).cast("binary"), "_above": _root()})
     else:
         ends = local.select(*key, (F.col("_b") + 1).alias("d"), F.lit(0).alias("len"), F.element_at("_own", -1).alias("t"))
         upper = chained(ends, key, -(-longest // block), block).select(*key, F.col("d").alias("_b"), F.col("digest").alias("_before"))
         local = local.join(upper, [*key, "_b"], "left")
         last = local.select(*key, (F.col("_b") + 1).alias("_b"), _whole(F.element_at("_own", -1)).alias("_above"))
-        local = local.join(last, [*key, "_b"], "left").withColumn("_above", F.coalesce("_above", ROOT))
+        local = local.join(last, [*key, "_b"], "left").withColumn("_above", F.coalesce("_above", _root()))
     own = F.transform("_own", lambda x: _whole(x))
     pairs = F.arrays_zip(F.col("_rows").alias("r"), own.alias("digest"), F.concat(F.array("_above"), own).alias("above"))
     flat = local.select(*key, F.explode(pairs).alias("p")).where("p.r IS NOT NULL")
@@ -137,13 +141,13 @@ def trie(turns: DataFrame, convs: DataFrame, store, block: int = BLOCK) -> DataF
     longest = convs.agg(F.max("n")).first()[0] or 0
     paths = store(chained(turns, ["conv_id"], longest, block), "paths")
     shape = [F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")]
-    root = convs.agg(*shape).where("n_convs > 0").select(F.lit(0).cast("long").alias("d"), ROOT.alias("digest"), F.lit(None).cast("binary").alias("above"), "conv_id", "n_convs", F.lit(0).alias("len"))
+    root = convs.agg(*shape).where("n_convs > 0").select(F.lit(0).cast("long").alias("d"), _root().alias("digest"), F.lit(None).cast("binary").alias("above"), "conv_id", "n_convs", F.lit(0).alias("len"))
     below = paths.groupBy("d", "digest").agg(F.min("above").alias("above"), *shape, F.min("len").alias("len"))
     nodes = store(below.unionByName(root), "nodes")
     parents = nodes.select((F.col("d") + 1).alias("d"), F.col("digest").alias("above"), F.col("conv_id").alias("parent_conv_id"))
     children = nodes.where("d > 0").groupBy((F.col("d") - 1).alias("d"), F.col("above").alias("digest")).agg(F.count(F.lit(1)).alias("n_children"))
     last = paths.join(convs, "conv_id").where("d = n").select("conv_id", "d", "digest")
-    last = last.unionByName(convs.where("n = 0").select("conv_id", F.lit(0).cast("long").alias("d"), ROOT.alias("digest")))
+    last = last.unionByName(convs.where("n = 0").select("conv_id", F.lit(0).cast("long").alias("d"), _root().alias("digest")))
     full = nodes.join(parents, ["d", "above"], "left").join(children, ["d", "digest"], "left").join(ends(last), ["d", "digest"], "left")
     full = store(
         full.select(
@@ -156,7 +160,7 @@ def trie(turns: DataFrame, convs: DataFrame, store, block: int = BLOCK) -> DataF
     sums = ["n_leaves", "saved_tokens"]
     totals = full.groupBy("conv_id").agg(*[F.sum(v).alias(v) for v in sums])
     owners = nodes.select("d", "digest", F.col("conv_id").alias("owner"))
-    tops = convs.select("conv_id", F.lit(0).cast("long").alias("d"), ROOT.alias("digest"))
+    tops = convs.select("conv_id", F.lit(0).cast("long").alias("d"), _root().alias("digest"))
     met = paths.select("conv_id", "d", "digest").unionByName(tops).join(owners, ["d", "digest"])
     leaves = met.where("conv_id <> owner").groupBy("conv_id", "owner").agg(F.max("d").alias("depth"))
     hung = leaves.join(totals, "conv_id").groupBy(F.col("owner").alias("conv_id"), "depth").agg(*[F.sum(v).alias(f"hung_{v}") for v in sums])
