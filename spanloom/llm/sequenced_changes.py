@@ -337,6 +337,7 @@ def start(spark: SparkSession, root: str, batch: int, patience: int, block: int
     conf = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of the many small stores reserves megabytes
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # timers belong to the next batch
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
