@@ -1,11 +1,13 @@
-"""Clustering of small similarity matrices (NumPy): agglomeration, exact partitions, Louvain."""
+"""Clustering of small similarity matrices (NumPy): agglomeration, partitions, Louvain."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from heapq import heappop, heappush
 
 import numpy as np
 
+from spanloom.functions import partition
 from spanloom.functions.stats import Gaussian
 
 #: How the similarity of a merged cluster to the others follows from those of its two parts.
@@ -85,16 +87,37 @@ def replay(n: int, history: list[tuple[list[int], float]], steps: int | None = N
     return label
 
 
-def bic_clustering(sets: list[np.ndarray], penalty: float = 3.5, diagonal: bool = False) -> np.ndarray:
-    """Merge the pair with the largest negative description gain until none is negative."""
+def bic_clustering(sets: list[np.ndarray], penalty: float = 3.5, diagonal: bool = False, work: list | None = None) -> np.ndarray:
+    """Merge the pair with the largest negative description gain until none is negative.
+
+    Pairs wait in a queue by gain. A merge makes a new model, which is compared with the others once;
+    pairs of models that are gone are dropped when they come up. So all merges together compare
+    fewer than twice the pairs there were. ``work`` gets each comparison.
+    """
     models = {i: Gaussian.fit(x, diagonal) for i, x in enumerate(sets)}
-    label = np.arange(len(sets))
-    while len(models) > 1:
-        gain, i, j = min((models[i].bic(models[j], penalty), i, j) for i in models for j in models if i < j)
-        if not gain < 0:
-            break
+    age, label, queue = dict.fromkeys(models, 0), np.arange(len(sets)), []
+
+    def compare(i: int, j: int) -> None:
+        gain = models[i].bic(models[j], penalty)
+        if work is not None:
+            work.append((i, j))
+        if gain < 0:
+            heappush(queue, (gain, i, j, age[i], age[j]))
+
+    for i in models:
+        for j in range(i):
+            compare(j, i)
+    while queue:
+        _, i, j, then_i, then_j = heappop(queue)
+        if age.get(i) != then_i or age.get(j) != then_j:
+            continue
         models[i] = models[i].merge(models.pop(j))
+        age[i] += 1
+        del age[j]
         label[label == j] = i
+        for k in models:
+            if k != i:
+                compare(min(i, k), max(i, k))
     return label
 
 
@@ -104,59 +127,9 @@ def correlation_value(weight: np.ndarray, label: np.ndarray) -> float:
     return float(weight[same].sum())
 
 
-def correlation_clustering(weight: np.ndarray, must: np.ndarray | None = None, cannot: np.ndarray | None = None, exact: int = 10) -> np.ndarray:
-    """Partition that maximises the pair weights inside clusters (transitivity holds by
-    construction). Exact by branch and bound up to ``exact`` items, else greedy joining and moves."""
-    n = len(weight)
-    w = np.array(weight, dtype=float)
-    if must is not None:
-        w = np.where(must, 1e6, w)
-    if cannot is not None:
-        w = np.where(cannot, -1e6, w)
-    if n <= exact:
-        best = [-np.inf, np.arange(n)]
-        ahead = np.array([np.maximum(w[i, :i], 0).sum() for i in range(n)])[::-1].cumsum()[::-1]
-
-        def place(i: int, label: list[int], value: float) -> None:
-            if i == n:
-                if value > best[0] + 1e-12:
-                    best[0], best[1] = value, np.array(label)
-                return
-            if value + ahead[i] <= best[0] + 1e-12:
-                return
-            for c in range(max(label, default=-1) + 2):
-                gain = sum(w[i, j] for j in range(i) if label[j] == c)
-                place(i + 1, [*label, c], value + gain)
-
-        place(0, [], 0.0)
-        return best[1]
-    label = replay(n, agglomerate_sum(w))
-    moved = True
-    while moved:
-        moved = False
-        for i in range(n):
-            gains = {c: float(w[i, (label == c) & (np.arange(n) != i)].sum()) for c in set(label.tolist())}
-            gains[n + i] = 0.0
-            to = max(gains, key=lambda c: (gains[c], -c))
-            if gains[to] > gains.get(int(label[i]), 0.0) + 1e-12:
-                label[i], moved = to, True
-    return label
-
-
-def agglomerate_sum(w: np.ndarray) -> list[tuple[list[int], float]]:
-    """Join the pair of clusters with the largest positive total weight."""
-    sums, members, history = np.array(w, dtype=float), {i: [i] for i in range(len(w))}, []
-    np.fill_diagonal(sums, -np.inf)
-    while len(members) > 1:
-        i, j = sorted(divmod(int(np.argmax(sums)), len(sums)))
-        if sums[i, j] <= 0:
-            break
-        members[i] = sorted(members[i] + members.pop(j))
-        history.append((members[i], float(sums[i, j])))
-        sums[i] += sums[j]
-        sums[:, i] = sums[i]
-        sums[i, i], sums[j], sums[:, j] = -np.inf, -np.inf, -np.inf
-    return history
+def correlation_clustering(weight: np.ndarray, must: np.ndarray | None = None, cannot: np.ndarray | None = None) -> np.ndarray:
+    """Partition that maximises the pair weights inside clusters; see ``partition.solve`` for its gap."""
+    return partition.solve(weight, must, cannot).label
 
 
 def modularity(adj: np.ndarray, label: np.ndarray) -> float:

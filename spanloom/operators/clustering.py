@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanloom.functions import clustering as cl
+from spanloom.functions import partition
 from spanloom.functions.segment import EPS
 from spanloom.operators import matrix as mx
 from spanloom.operators import timeline as tl
@@ -119,15 +120,78 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def correlation(weights: DataFrame, exact: int = 10) -> DataFrame:
-    """Best partition of each connected component of positive weights; negative pairs inside a
-    component keep items apart."""
-    comp = components(weights.where("value > 0"))
+def correlation(weights: DataFrame, nodes: int = 5_000, missing: float = 0.0, pull: DataFrame | None = None) -> DataFrame:
+    """(uri, item, cluster, gap, broken): best partition of each component of positive weights and must
+    links; negative pairs inside a component keep items apart. ``gap`` is how much more a
+    partition of the component could be worth at most (0: proven best), after ``nodes`` branches.
+
+    ``weights`` is (uri, row, col, value), with ``hard`` where there are constraints: 1 for pairs that
+    must share a cluster, -1 for pairs that must not. ``broken`` counts the pairs of the component that
+    must links hold together although they must not share a cluster; all others keep their constraints.
+    Pairs without a row weigh ``missing``; ``pull`` (uri, item, k) takes the product of both items' k from
+    the weight of every pair.
+    """
+    if "hard" not in weights.columns:
+        weights = weights.withColumn("hard", F.lit(0))
+    rows = weights.select("uri", "row", "col", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"), F.coalesce(F.col("hard").cast("int"), F.lit(0)).alias("hard"))
+    comp = components(rows.where("hard > 0 OR (value > 0 AND hard = 0)"))
     side = lambda name: comp.select("uri", F.col("item").alias(name), F.col("component").alias(name + "_c"))
-    rows = weights.join(side("row"), ["uri", "row"]).join(side("col"), ["uri", "col"]).where("row_c = col_c").withColumnRenamed("row_c", "component")
-    found = _grouped(rows, lambda w: cl.correlation_clustering(w, exact=exact), 0.0, ("uri", "component"))
-    items = weights.select("uri", F.explode(F.array("row", "col")).alias("item")).distinct()
-    return items.join(found, ["uri", "item"], "left").select("uri", "item", F.coalesce("cluster", "item").alias("cluster"))
+    own = rows.join(side("row"), ["uri", "row"]).join(side("col"), ["uri", "col"]).where("row_c = col_c").withColumnRenamed("row_c", "component")
+    own = own.withColumns({"row_k": F.lit(0.0), "col_k": F.lit(0.0)}) if pull is None else own
+    for name in ("row", "col") if pull is not None else ():
+        own = own.join(pull.select("uri", F.col("item").alias(name), F.col("k").cast("double").alias(name + "_k")), ["uri", name], "left")
+    own = own.fillna(0.0, ["row_k", "col_k"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        soft = pdf[pdf["hard"] == 0]
+        items = sorted(set(pdf["row"]) | set(pdf["col"]))
+        at = {x: i for i, x in enumerate(items)}
+        w, must, cannot = np.zeros((len(items), len(items))), *(np.zeros((len(items), len(items)), bool) for _ in range(2))
+        i, j = soft["row"].map(at).to_numpy(int), soft["col"].map(at).to_numpy(int)
+        w[:] = np.nan
+        w[i, j] = soft["value"].to_numpy()
+        w = np.where(np.isnan(w), w.T, w)
+        k = np.zeros(len(items))
+        for name in ("row", "col"):
+            k[pdf[name].map(at).to_numpy(int)] = pdf[name + "_k"].to_numpy()
+        w = np.where(np.isnan(w), missing, w) - np.outer(k, k)
+        for kind, mask in ((1, must), (-1, cannot)):
+            some = pdf[pdf["hard"] == kind]
+            mask[some["row"].map(at).to_numpy(int), some["col"].map(at).to_numpy(int)] = True
+        found = partition.solve(w, must, cannot, nodes=nodes)
+        return pd.DataFrame({"uri": pdf["uri"].iloc[0], "item": items, "cluster": [items[c] for c in found.label], "gap": found.gap, "broken": len(found.broken)})
+
+    found = own.select("uri", "component", "row", "col", "value", "hard", "row_k", "col_k").groupBy("uri", "component").applyInPandas(run, f"{FOUND}, gap double, broken long")
+    items = rows.select("uri", F.explode(F.array("row", "col")).alias("item")).distinct()
+    zero = F.lit(0)
+    return items.join(found, ["uri", "item"], "left").select("uri", "item", F.coalesce("cluster", "item").alias("cluster"), F.coalesce("gap", zero.cast("double")).alias("gap"), F.coalesce("broken", zero.cast("long")).alias("broken"))
+
+
+def worth(weights: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(uri, worth): sum of the weights (uri, row, col, value) inside clusters, 0 where none is."""
+    side = lambda c: clusters.select("uri", F.col("item").alias(c), F.col("cluster").alias(c + "_c"))
+    rows = weights.join(side("row"), ["uri", "row"]).join(side("col"), ["uri", "col"])
+    return rows.groupBy("uri").agg(F.sum(F.when(F.col("row_c") == F.col("col_c"), F.col("value")).otherwise(0.0)).alias("worth"))
+
+
+def centers(probability: DataFrame, alpha: float = 0.5, nodes: int = 2_000) -> DataFrame:
+    """(uri, item, center, gap) that minimises the number of centers plus the distances (1 - value) of
+    the other items to theirs, where no distance may pass ``alpha``. ``probability`` is (uri, row, col,
+    value), either order of a pair once. Each component of short enough distances is solved by itself;
+    ``gap`` is how much cheaper it could be at most (0: proven best)."""
+    rows = probability.select("uri", "row", "col", F.col("value").cast("double").alias("value"))
+    near = rows.where((1 - F.col("value") <= alpha) & (F.col("row") != F.col("col")))
+    comp = components(near)
+    own = near.join(comp.select("uri", F.col("item").alias("row"), "component"), ["uri", "row"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        items, p = _square(pdf, -np.inf)
+        found = partition.centers(1.0 - p, nodes=nodes)
+        return pd.DataFrame({"uri": pdf["uri"].iloc[0], "item": items, "center": [items[c] for c in found.center], "gap": found.gap})
+
+    found = own.select("uri", "component", "row", "col", "value").groupBy("uri", "component").applyInPandas(run, "uri string, item string, center string, gap double")
+    items = rows.select("uri", F.explode(F.array("row", "col")).alias("item")).distinct()
+    return items.join(found, ["uri", "item"], "left").select("uri", "item", F.coalesce("center", "item").alias("center"), F.coalesce("gap", F.lit(0.0)).alias("gap"))
 
 
 def louvain(edges: DataFrame, level: int = -1) -> DataFrame:

@@ -35,12 +35,33 @@ def violations(features: DataFrame) -> DataFrame:
     return sized.where(bad | (F.size("vec") != F.col("_most"))).drop("_most")
 
 
+def _spelled(features: DataFrame, focus: DataFrame, window: SlidingWindow) -> DataFrame:
+    """(uri, position, frame, last) for each frame number of the focus islands, in order."""
+    first, n = window.to_range(Seg.of())
+    size = features.groupBy("uri").agg(F.max("frame").alias("last"))
+    ranges = tl.islands(focus).select("uri", "start", first.alias("i0"), F.greatest(F.lit(0), n).alias("n"))
+    before = W.partitionBy("uri").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("p0", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0").join(size, "uri")
+    j = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
+    return ranges.select("uri", "p0", "i0", "last", j.alias("j")).select("uri", (F.col("p0") + F.col("j")).alias("position"), (F.col("i0") + F.col("j")).alias("frame"), "last")
+
+
 def crop(features: DataFrame, focus: DataFrame, window: SlidingWindow) -> DataFrame:
-    """Frames of the focus islands: a join of frames with frame ranges."""
+    """Frames of the focus islands. Their numbers are spelled out up to the uri's last frame, so frames
+    are looked up by (uri, frame) and one long uri is spread over all tasks."""
     first, n = window.to_range(Seg.of())
-    ranges = tl.islands(focus).select("uri", first.alias("i0"), n.alias("n"))
-    inside = (F.col("f.uri") == F.col("r.uri")) & (F.col("f.frame") >= F.col("r.i0")) & (F.col("f.frame") < F.col("r.i0") + F.col("r.n"))
-    return features.alias("f").join(ranges.alias("r"), inside).select("f.*").distinct()
+    size = features.groupBy("uri").agg(F.max("frame").alias("last"))
+    ranges = tl.islands(focus).select("uri", first.alias("i0"), n.alias("n")).join(size, "uri")
+    ranges = ranges.withColumn("i1", F.least(F.col("i0") + F.col("n") - 1, F.col("last"))).where("i1 >= i0")
+    numbers = ranges.select("uri", F.explode(F.sequence("i0", "i1")).alias("frame")).distinct()
+    return features.join(numbers, ["uri", "frame"], "left_semi").select(*features.columns).distinct()
+
+
+def gather(features: DataFrame, focus: DataFrame, window: SlidingWindow) -> DataFrame:
+    """(uri, position, and what features hold): the frames of the focus islands one after another;
+    numbers beyond the last frame repeat it."""
+    wanted = _spelled(features, focus, window).select("uri", "position", F.least("frame", "last").alias("frame"))
+    return wanted.join(features, ["uri", "frame"]).select("uri", "position", *[c for c in features.columns if c != "uri"])
 
 
 def on_timeline(features: DataFrame, timeline: DataFrame) -> DataFrame:

@@ -187,6 +187,74 @@ def lag_edges(a: DataFrame, b: DataFrame, model: DataFrame, neighbourhood: float
     return met.groupBy("uri", "a_track", "b_track").agg(F.max("probability").alias("probability"))
 
 
+def lag_average(a: DataFrame, b: DataFrame, model: DataFrame, neighbourhood: float, resolution: float, future: bool = False, bins: float | None = None) -> DataFrame:
+    """(uri, a_track, b_track, probability): for tracks within reach of each other, the mean probability
+    of the lags between their bins, each pair of bins once.
+
+    How often a lag occurs between two runs of bins is a trapezoid, the difference of four ramps, so a
+    mean needs four look-ups in running sums of the lag table (2 k + 1 rows) and no bin is spelled out.
+    A track is one run of bins; ``bins`` cuts large uris for the join of near tracks."""
+    k = int(neighbourhood / resolution)
+    low = 0 if future else -k
+    known = {int(r["lag"]): float(r["probability"]) for r in model.where(F.abs("lag") <= k).select("lag", "probability").collect() if r["probability"] is not None}
+
+    def ramps(values: dict[int, float]):
+        """Sum over lags L > c of (L - c) times the value, as a function of a whole-number column c."""
+        lags = range(low, k + 1)
+        sums = [float(sum((x - c) * values.get(x, 0.0) for x in lags if x > c)) for c in range(low - 1, k + 1)]
+        table, total = F.array(*map(F.lit, sums)), F.lit(float(sum(values.get(x, 0.0) for x in lags)))
+        inside = lambda c: F.element_at(table, F.greatest(F.lit(1), F.least(F.lit(len(sums)), c - (low - 1) + 1)).cast("int"))
+        return lambda c: inside(c) + F.greatest(F.lit(0), (low - 1) - c) * total
+
+    def run(df: DataFrame) -> DataFrame:
+        return df.select("uri", "track", F.floor(F.col("start") / resolution).cast("double").alias("start"), F.ceil(F.col("end") / resolution).cast("double").alias("end")).distinct()
+
+    wide = run(a).select("uri", "track", F.col("start").alias("from"), F.col("end").alias("to"), (F.col("start") + low - 1).alias("start"), (F.col("end") + k + 1).alias("end"))
+    met = tl.overlap_join(wide, run(b), bins=bins)
+    x0, x1, y0, y1 = (F.col(c).cast("long") for c in ("a_from", "a_to", "b_start", "b_end"))
+    trapezoid = lambda f: f(y0 - x1) - f(y0 - x0) - f(y1 - x1) + f(y1 - x0)
+    sums = met.groupBy("uri", "a_track", "b_track").agg(F.sum(trapezoid(ramps(known))).alias("p"), F.sum(trapezoid(ramps(dict.fromkeys(known, 1.0)))).alias("n"))
+    return sums.where("n > 0").select("uri", "a_track", "b_track", (F.col("p") / F.col("n")).alias("probability"))
+
+
+#: How the durations of two tracks weigh a pair.
+DURATION_WEIGHTS = {"gmean": lambda a, b: F.sqrt(a * b), "mean": lambda a, b: (a + b) / 2, "min": F.least, "max": F.greatest}
+
+
+def objective(edges: DataFrame, kind: str = "probability", alpha: float = 0.5, durations: DataFrame | None = None, weight: str = "gmean") -> tuple[DataFrame, dict]:
+    """Pair weights whose sum inside clusters an objective maximises (constants left out), and what
+    ``clustering.correlation`` needs beside them. Probabilities 0 and 1 stay constraints.
+
+    ``large`` and ``small``: as many or as few pairs as the constraints allow, among items that edges
+    connect; ``probability``: alpha p inside plus (1 - alpha)(1 - p) between clusters; ``log``: (1 - alpha)
+    log p inside plus alpha log(1 - p) between; ``weighted``: as ``probability``, times a mean of the
+    durations (uri, item, duration) of both items, of one if only one has any, else 1; ``modularity``."""
+    p = F.col("probability")
+    hard = F.lit(0) if kind == "modularity" else F.when(p == 1, 1).when(p == 0, -1).otherwise(0)
+    rows = edges.select("uri", F.col("src").alias("row"), F.col("dst").alias("col"), "probability", hard.alias("hard"))
+    value, more = alpha * p - (1 - alpha) * (1 - p), {}
+    if kind in ("large", "small"):
+        value = F.lit(1.0 if kind == "large" else -1.0)
+        more["missing"] = 1.0 if kind == "large" else -1.0
+    elif kind == "log":
+        value = (1 - alpha) * F.log(p) - alpha * F.log(1 - p)
+    elif kind == "weighted":
+        for c in ("row", "col"):
+            rows = rows.join(durations.select("uri", F.col("item").alias(c), F.col("duration").alias(c + "_d")), ["uri", c], "left")
+        x, y = F.coalesce("row_d", "col_d", F.lit(1.0)), F.coalesce("col_d", "row_d", F.lit(1.0))
+        value = value * DURATION_WEIGHTS[weight](x, y)
+    elif kind == "modularity":
+        ends = rows.select("uri", F.explode(F.array("row", "col")).alias("item"), "probability").groupBy("uri", "item").agg(F.sum("probability").alias("k"))
+        whole = rows.groupBy("uri").agg((2 * F.sum("probability")).alias("t"))
+        rows = rows.join(whole, "uri")
+        value = 2 * p / F.col("t")
+        more["pull"] = ends.join(whole, "uri").select("uri", "item", (F.col("k") * F.sqrt(F.lit(2.0)) / F.col("t")).alias("k"))
+    elif kind != "probability":
+        raise ValueError(f"no objective {kind}")
+    free = F.when(F.col("hard") == 0, value).otherwise(0.0)
+    return rows.select("uri", "row", "col", free.alias("value"), "hard"), more
+
+
 def intra_edges(similarity: DataFrame, tracks: DataFrame, model: ScoreRatio, modality: str = "speaker") -> DataFrame:
     """Calibrated edges between tracks that the annotation has; ``similarity`` holds track names."""
     known = tracks.select("uri", "track", track_id(modality).alias("id"))
@@ -212,14 +280,18 @@ def crop(edges: DataFrame, vertices: DataFrame, focus: DataFrame) -> DataFrame:
     return edges.select(*EDGE)
 
 
-def mine(edges: DataFrame, alpha: float = 0.5, exact: int = 10) -> DataFrame:
-    """(uri, item, cluster, identity): best partition of every component by weights p - alpha;
-    clusters with several identities stay anonymous."""
-    weights = edges.select("uri", F.col("src").alias("row"), F.col("dst").alias("col"), F.when(F.col("probability") == 0, -1e6).when(F.col("probability") == 1, 1e6).otherwise(F.col("probability") - alpha).alias("value"))
-    found = cl.correlation(weights, exact)
+def mine(edges: DataFrame, alpha: float = 0.5, nodes: int = 5_000) -> DataFrame:
+    """(uri, item, cluster, identity, gap, broken): best partition of every component by weights p -
+    alpha. Probabilities 1 and 0 are constraints: what they join or part stays so, and pairs that are
+    joined by some and parted by others are counted in ``broken``. Clusters with several identities
+    stay anonymous; ``gap`` is 0 where the partition is proven best."""
+    p = F.col("probability")
+    hard = F.when(p == 1, 1).when(p == 0, -1).otherwise(0)
+    weights = edges.select("uri", F.col("src").alias("row"), F.col("dst").alias("col"), F.when(hard == 0, p - alpha).otherwise(0.0).alias("value"), hard.alias("hard"))
+    found = cl.correlation(weights, nodes)
     who = found.where(F.col("item").startswith("identity|")).groupBy("uri", "cluster").agg(F.min("item").alias("lo"), F.max("item").alias("hi"))
     named = found.join(who, ["uri", "cluster"], "left")
-    return named.select("uri", "item", "cluster", F.when(F.col("lo") == F.col("hi"), F.substring_index("lo", "|", -1)).alias("identity"))
+    return named.select("uri", "item", "cluster", F.when(F.col("lo") == F.col("hi"), F.substring_index("lo", "|", -1)).alias("identity"), "gap", "broken")
 
 
 def mine_chunks(edges: DataFrame, vertices: DataFrame, size: int, overlap: int, alpha: float = 0.5) -> DataFrame:

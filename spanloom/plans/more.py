@@ -162,7 +162,7 @@ SQL["o_components"] = SQL["o_components"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 @query("o_correlation")
 def _(spark, d):
-    return cl.correlation(_links(spark, d).withColumn("value", F.col("value") - 20_000.0))
+    return cl.correlation(_links(spark, d).withColumn("value", F.col("value") - 20_000.0)).select("uri", "item", "cluster")
 
 
 @query("o_louvain")

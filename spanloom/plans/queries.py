@@ -582,13 +582,13 @@ Q["flagship_error_rates"] = error_rates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from spanloom.plans import checked, extra, more
+    from spanloom.plans import checked, extra, more, solved
 
-    return {**Q, **more.Q, **extra.Q, **checked.Q}
+    return {**Q, **more.Q, **extra.Q, **checked.Q, **solved.Q}
 
 
 def oracle_sql() -> dict[str, str]:
-    from spanloom.plans import checked, extra, more
+    from spanloom.plans import checked, extra, more, solved
 
-    return {**SQL, **more.SQL, **extra.SQL, **checked.SQL}
+    return {**SQL, **more.SQL, **extra.SQL, **checked.SQL, **solved.SQL}
 
