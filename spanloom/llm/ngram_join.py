@@ -25,7 +25,9 @@ documents without ever spelling out the pairs of a class.
    largest class are compared with the sets of other classes, if the bound allows a link. The
    bound says how large a partner a set can reach, so a bucket's sets are dealt to bands of size
    and reach, and only bands that can hold partners are joined: pages that share a template and
-   differ too much to link cost no pairs.
+   differ too much to link cost no pairs. Where they differ in frequent tokens, which that bound does
+   not see, sketches of parities tell how many tokens two sets differ in at least: the join compares
+   ``SKETCH`` words of such a pair, and only pairs that may still link are verified.
 6. *Verification* counts shared shingles exactly; classes are the components of the links.
 
 Edge cases: texts without words (null, empty, white space) have no set and link with nothing;
@@ -274,23 +276,53 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
 LEAD = 64
 
 
-def _open_buckets(tagged: DataFrame, percent: int, keep) -> DataFrame:
-    """The rows of buckets that hold several classes, with ``probe``, ``lead``, ``reach`` and bands.
+#: Bits of a sketch, in words of 64.
+SKETCH = 16
 
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sid, g0, g1, ...) of (sid, toks): each token flips one bit, so two sets differ in at least as
+    many tokens as their sketches in bits."""
+    for b in batches:
+        bits = np.zeros((b.num_rows, 64 * SKETCH), np.uint8)
+        for row, toks in zip(bits, b.column("toks"), strict=True):
+            with np.errstate(over="ignore"):
+                at = _mix(np.asarray(toks.values).view(np.uint64) + M2) % np.uint64(64 * SKETCH)
+            row[:] = np.bincount(at.astype(np.int64), minlength=64 * SKETCH) & 1
+        words = np.packbits(bits, axis=1).view(np.int64)
+        yield pa.record_batch([b.column("sid"), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH))], names=["sid", *(f"g{i}" for i in range(SKETCH))])
+
+
+def _near(a: str, b: str, percent: int) -> Column:
+    """The tokens that only one of both sets has, as far as sketches and lone tokens tell, allow a link."""
+    apart = F.col(f"{a}.own") + F.col(f"{b}.own")
+    for i in range(SKETCH):
+        apart = apart + F.bit_count(F.col(f"{a}.g{i}").bitwiseXOR(F.col(f"{b}.g{i}")))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
+def _open_buckets(tagged: DataFrame, sets: DataFrame, percent: int, keep) -> DataFrame:
+    """The rows of buckets that hold several classes, with ``probe``, ``lead``, ``reach``, bands and sketches.
+
+    Buckets of the same sets are one bucket: pages of one template share very many combinations.
     Members of a bucket's largest class need no comparison with each other, so only the others
     probe. ``lead`` holds the smallest ``LEAD`` open keys of the set; every pair has its first
     shared key in common, so taking it there only loses nothing. ``reach`` restates the bound of
     ``_may_link``: a and b may link only if reach(a) >= percent * n(b) and reach(b) >= percent * n(a).
     Sets that reach no size at all go; ``nb`` and ``rb`` are bands of half a percent.
     """
-    held = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = held.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    wide = lambda c: c.cast("decimal(38,0)")
+    mark = [F.sum(wide(F.xxhash64(F.lit(i), "sid"))).alias(f"m{i}") for i in range(2)]
+    held = tagged.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), *mark)
+    mixed = held.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("c").alias("rows"), F.sum("m0").alias("m0"), F.sum("m1").alias("m1"))
+    mixed = mixed.where("classes > 1").groupBy("rows", "m0", "m1").agg(F.min(F.struct("key", "top")).alias("k")).select("k.key", "k.top")
     rows = tagged.join(mixed.select("key", F.col("top.comp").alias("top")), "key").withColumn("probe", F.col("comp") != F.col("top")).drop("top")
     rows = rows.withColumn("reach", (100 + percent) * (F.col("n") - F.col("own")) - percent * F.col("n")).where(F.col("reach") >= percent)
     band = lambda c: F.floor(F.log(c) * 200).cast("int")
     rows = keep(rows.withColumns({"nb": band("n"), "rb": band("reach")}), "ngram-open")
     lead = rows.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAD).alias("lead"))
-    return keep(rows.join(lead, "sid"), "ngram-lead")
+    drawn = sets.join(lead.select("sid"), "sid", "left_semi").select("sid", "toks").mapInArrow(_sketches, "sid long, " + ", ".join(f"g{i} long" for i in range(SKETCH)))
+    return keep(rows.join(lead.join(drawn, "sid"), "sid"), "ngram-lead")
 
 
 def _meeting_bands(rows: DataFrame, percent: int) -> DataFrame:
@@ -312,7 +344,7 @@ def _cross(rows: DataFrame, percent: int) -> DataFrame:
     once = ~F.col("b.probe") | (F.col("a.sid") < F.col("b.sid"))
     met = F.array_min(F.array_intersect("a.lead", "b.lead"))
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.to_nb") == F.col("b.nb")) & (F.col("a.to_rb") == F.col("b.rb"))
-    return x.join(y, same & (F.col("a.comp") != F.col("b.comp")) & once & _may_link("a", "b", percent) & (met.isNull() | (met == F.col("a.key"))))
+    return x.join(y, same & (F.col("a.comp") != F.col("b.comp")) & once & _may_link("a", "b", percent) & _near("a", "b", percent) & (met.isNull() | (met == F.col("a.key"))))
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
@@ -378,7 +410,7 @@ def _join(docs: DataFrame, width: int, percent: int, rare: int, id_col: str, tex
 
     # buckets that still hold several classes: their sets of different classes are compared
     if not combos.isEmpty():
-        more = pick(_cross(_open_buckets(_labelled(combos, comps), percent, tables), percent)).distinct().join(tried, ["a", "b"], "left_anti")
+        more = pick(_cross(_open_buckets(_labelled(combos, comps), shingled, percent, tables), percent)).distinct().join(tried, ["a", "b"], "left_anti")
         links2 = tables(_verify(more, shingled, percent), "ngram-links2")
         if not links2.isEmpty():
             links = links.unionByName(links2)

@@ -151,3 +151,46 @@ def test_linked_sets_share_a_combination(percent, rare):
             assert len(got) <= 40 * (len(s) + 1)
             keys.append({*zip(got["kind"].to_pylist(), got["key"].to_pylist(), strict=True)})
         assert keys[0] & keys[1], (n, lost, more)
+
+
+def templated(pages, template=400, drawn=60, of=7, seed=9):
+    """Pages of one template whose other words are drawn from very few: what tells them apart is frequent."""
+    import random
+
+    r = random.Random(seed)
+    head = " ".join(f"t{i}" for i in range(template))
+    return [(i, f"{head} " + " ".join(r.choice("abcdefghij"[:of]) for _ in range(drawn))) for i in range(pages)]
+
+
+def test_templated_pages_verify_few_pairs(spark, monkeypatch):
+    """Verified pairs follow the pages and their combinations, not the square of the pages; copies with a few changes are still found."""
+    counts = {}
+    for n in (150, 600):
+        rows = templated(n)
+        for i in range(0, 40, 2):
+            words = rows[i][1].split()
+            words[420 + i % 20] = "zz"
+            rows.append((1000 + i, " ".join(words)))
+        tried = []
+        verify = ngram_join._verify
+        with monkeypatch.context() as m:
+            m.setattr(ngram_join, "_verify", lambda pairs, sets, percent: (tried.append(pairs.count()), verify(pairs, sets, percent))[1])
+            got = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=90).collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 3, 90)
+        counts[n] = sum(tried)
+    # a bucket of few sets is compared with one of them, so a page costs no more pairs than it has combinations
+    assert counts[600] < 45 * 620 and counts[150] < 45 * 170
+
+
+def test_sketches_bound_differences(spark):
+    """Sketches never differ in more bits than sets in tokens, whatever the sizes."""
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(-(2**62), 2**62, n) for n in (1, 40, 900, 4000)]
+    sets += [np.concatenate((s[: len(s) - len(s) // 9], rng.integers(-(2**62), 2**62, 5))) for s in sets]
+    batch = pa.record_batch([pa.array(range(len(sets)), pa.int64()), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], names=["sid", "toks"])
+    out = next(iter(ngram_join._sketches(iter([batch]))))
+    words = np.array([out.column(f"g{i}").to_numpy() for i in range(ngram_join.SKETCH)]).T
+    for i, j in combinations(range(len(sets)), 2):
+        bits = sum(int(x).bit_count() for x in (words[i] ^ words[j]).view(np.uint64))
+        assert bits <= len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
+    assert sum(int(x).bit_count() for x in words[1].view(np.uint64)) > 30
