@@ -3,7 +3,9 @@ beginnings of words.
 
 Grades 0 (clean), 1, 2, 3 (by rising density of words that mark toxic texts) are predicted by
 one weight vector and three ordered thresholds: P(grade > k) = sigmoid(w.x - theta_k). The
-result is the expected grade, the probability of any toxicity and the verdict.
+result is the expected grade, the probability of any toxicity and the verdict. Labels are binary, so
+only grade 0 against the rest is learnt from labels; the order of grades 1 to 3 restates densities
+that the features hold as well.
 
 Fitting uses a bounded sample: the ``fit_rows`` labelled documents that come first in hash order
 of their ids. Word statistics of the sample are counted in Spark; only the ``vocabulary`` words
@@ -11,7 +13,8 @@ with the largest G-test and the sample's counts of these reach the driver. Scori
 texts of all documents, in Arrow batches with one dictionary look-up a word.
 
 Edge cases: null and empty texts have no features and grade near 0; labels that are null or
-without a document do not take part; without any labelled toxic document nothing is toxic;
+without a document do not take part; of labels that repeat an id the largest counts, of documents that
+repeat one the text with the smallest hash; without any labelled toxic document nothing is toxic;
 repeated rows give repeated rows; an empty table gives an empty result; other columns are kept
 apart by selecting id and text first.
 """
@@ -123,11 +126,12 @@ def _hits(vocabulary: dict[bytes, int]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, vocabulary: int = 400) -> Model:
-    """Train on the first ``fit_rows`` labelled documents in hash order of their ids."""
-    chosen = labels.where("toxic is not null AND doc_id is not null").select("doc_id", F.col("toxic").cast("long").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(fit_rows)
+    """Train on the first ``fit_rows`` labelled documents in hash order of their ids, one row an id."""
+    chosen = labels.where("toxic is not null AND doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("long")).alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = docs.select("doc_id", "text")
-    sample = materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic-sample")  # bounded by fit_rows
+    own = texts.join(F.broadcast(chosen), "doc_id")  # bounded by fit_rows ids; documents that repeat one are reduced to one
+    sample = materialize(own.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic"), "toxic-sample")
     n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not pos:
         return Model({}, np.zeros(0), np.full(GRADES - 1, 40.0))

@@ -226,3 +226,22 @@ def test_pipeline(spark, odd_docs):
     for _, stage in corpus_pipeline.STAGES:
         empty = corpus_pipeline.materialize(stage(spark, empty, SF), "t")
     assert empty.count() == 0
+
+
+def test_toxicity_sample_is_bounded_by_ids(spark):
+    """Ids that very many documents repeat, labels that repeat or are null: one row an id is fitted."""
+    from spanloom.llm import toxicity
+
+    rows = [(i, "calm words about the sea and the sky " * 3 if i % 2 else "vile foul nasty words about the sea " * 3) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *[(1, f"vile foul nasty {i}") for i in range(3000)], (None, "vile")], "doc_id long, text string")
+    labels = spark.createDataFrame([*[(i, 1 - i % 2) for i in range(60)], *[(i, 1 - i % 2) for i in range(30)], (1, None), (None, 1), (999, 1)], "doc_id long, toxic int")
+    seen = []
+    keep = toxicity.materialize
+    toxicity.materialize = lambda df, name: seen.append(keep(df, name)) or seen[-1]
+    try:
+        model = toxicity.fit(docs, labels, fit_rows=50)
+    finally:
+        toxicity.materialize = keep
+    assert 45 <= seen[0].count() <= 50
+    out = {r.doc_id: r.toxic for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(out[i] == (i % 2 == 0) for i in range(60))
