@@ -214,3 +214,24 @@ def test_added_token_has_its_id(spark):
         assert (50256 in ids) == (mark in (t or ""))
         want.append((i, 0, 0, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
     assert sorted(map(tuple, packing.pieces(docs).collect())) == want
+
+
+def test_grouped_patterns_against_best_fit():
+    """Finer groups bring the patterns to plain best fit's number of sequences, to a thousandth at most."""
+    import random
+
+    count = lambda runs: sum(n for _, n in runs)
+    r = random.Random(1)
+    for draw in (lambda: r.randint(1, 256), lambda: min(256, 1 + int(r.lognormvariate(4, 0.9))), lambda: r.randint(60, 200), lambda: r.choice([90, 100, 130, 170])):
+        hist = defaultdict(int)
+        for _ in range(3000):
+            hist[draw()] += 1
+        runs = packing.pack(hist, 256)
+        held = defaultdict(int)
+        for lengths, n in runs:
+            assert sum(lengths) <= 256
+            for x in lengths:
+                held[x] += n
+        assert held == hist and count(runs) <= 1.001 * count(packing.scheme(hist, 256, 64, 1.0, True)) + 1
+    # groups of one length, split by cardinality, are one size again
+    assert packing._groups({90: 10, 100: 7}, 64) == [[(100, 1)] * 7, [(90, 1)] * 10]
