@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,40 +26,42 @@ def sessions(events: DataFrame, gap: str, delay: str, time_col: str = "ts") -> D
     return timed.groupBy("uri", F.session_window(time_col, gap)).agg(F.count(F.lit(1)).alias("n")).select("uri", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def _islands(delay: float):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """State: open islands [start, end, ...] and the latest start seen."""
-        open_, latest = (list(state.get[0]), state.get[1]) if state.exists else ([], -1e300)
-        spans = [(open_[i], open_[i + 1]) for i in range(0, len(open_), 2)]
-        for f in frames:
-            spans += list(zip(f["start"], f["end"], strict=True))
-            latest = max(latest, float(f["start"].max()))
-        merged: list[list[float]] = []
-        for s, e in sorted(spans):
-            if merged and s - merged[-1][1] <= EPS:
-                merged[-1][1] = max(merged[-1][1], e)
-            else:
-                merged.append([s, e])
-        done = [m for m in merged if m[1] < latest - delay - EPS]
-        left = [m for m in merged if not m[1] < latest - delay - EPS]
-        if left:
-            state.update(([x for m in left for x in m], latest))
-        elif state.exists:
-            state.remove()
-        if done:
-            yield pd.DataFrame({"uri": key[0], "label": key[1], "start": [m[0] for m in done], "end": [m[1] for m in done]})
-
-    return run
+def _islands(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State: open islands [start, end, ...]. Rows and timeouts alike give out what the watermark is past."""
+    mark = state.getCurrentWatermarkMs() / 1000.0
+    open_ = list(state.get[0]) if state.exists else []
+    spans = [(open_[i], open_[i + 1]) for i in range(0, len(open_), 2)]
+    for f in frames:
+        spans += [(s, e) for s, e in zip(f["start"], f["end"], strict=True) if mark <= 0 or s >= mark]
+    merged: list[list[float]] = []
+    for s, e in sorted(spans):
+        if merged and s - merged[-1][1] <= EPS:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    done = [m for m in merged if m[1] + EPS < mark]
+    left = [m for m in merged if not m[1] + EPS < mark]
+    if left:
+        state.update(([x for m in left for x in m],))
+        first = math.ceil((min(m[1] for m in left) + EPS) * 1000) + 1
+        state.setTimeoutTimestamp(max(first, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+    if done:
+        yield pd.DataFrame({"uri": key[0], "label": key[1], "start": [m[0] for m in done], "end": [m[1] for m in done]})
 
 
 def islands(segments: DataFrame, delay: float) -> DataFrame:
     """Exact islands of (uri, label, start, end) that arrive at most ``delay`` seconds out of order.
 
-    An island is given out once no segment in time can reach it; the state of a key is its open
-    islands.
+    Starts are event time. An island is given out once the watermark, the latest start of any key
+    less ``delay``, is past its end, by a timer where its key gets no more rows; then its state goes.
+    Rows that start before the watermark are late and left out.
     """
-    return segments.groupBy("uri", "label").applyInPandasWithState(
-        _islands(delay), "uri string, label string, start double, end double", "open array<double>, latest double", "append", GroupStateTimeout.NoTimeout
+    timed = segments.select("uri", "label", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    timed = timed.withColumn("at", F.timestamp_millis(F.floor(F.col("start") * 1000))).withWatermark("at", f"{int(delay * 1000)} milliseconds")
+    return timed.groupBy("uri", "label").applyInPandasWithState(
+        _islands, "uri string, label string, start double, end double", "open array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

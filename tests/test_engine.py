@@ -304,7 +304,8 @@ def test_streaming_islands_equal_batch(spark, tmp_path):
     from spanloom.streaming import incremental as inc
 
     ref = v.ann_ref(spark, SF).select("uri", "label", "start", "end").where("label IN ('click', 'view')")
-    last = ref.select("uri", "label").distinct().select("uri", "label", F.lit(1e9).alias("start"), F.lit(1e9 + 1).alias("end"))
+    # one later segment of another key lets timers end the islands of all keys
+    last = spark.createDataFrame([("clock", "tick", 1e9, 1e9 + 1)], "uri string, label string, start double, end double")
     rows = ref.unionByName(last).orderBy("start").toPandas()
     src = tmp_path / "in"
     os.makedirs(src)
@@ -313,8 +314,15 @@ def test_streaming_islands_equal_batch(spark, tmp_path):
         part.to_parquet(src / f"{i}.parquet")
         os.utime(src / f"{i}.parquet", (i + 1, i + 1))
     stream = spark.readStream.schema("uri string, label string, start double, end double").option("maxFilesPerTrigger", 1).parquet(str(src))
-    q = inc.islands(stream, 0.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
+    def go():
+        q = inc.islands(stream, 0.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    assert go() == 1  # the clock's own island
+    rows.iloc[:5].to_parquet(src / "late.parquet")  # late rows start no islands anew
+    os.utime(src / "late.parquet", (9, 9))
+    assert go() == 1
     got = spark.read.parquet(str(tmp_path / "out")).where("start < 1e9")
     want = tl.islands(ref, ("uri", "label"))
     assert sorted(map(tuple, got.select("uri", "label", "start", "end").collect())) == sorted(map(tuple, want.select("uri", "label", "start", "end").collect()))
