@@ -64,6 +64,12 @@ def test_tagger_check(spark):
     for source, target in ((tl.timeline(a), a), (a, tl.timeline(a)), (a, rows(spark, 1, ("b",)))):
         with pytest.raises(ValueError):
             tg.check(source, target)
+    for tagger in (tg.direct, tg.conservative, tg.argmax_timeline, tg.argmax_annotation, tg.by_mapping):
+        with pytest.raises(ValueError):
+            tagger(tl.timeline(a), a)
+    for tagger in (tg.conservative, tg.argmax_annotation, tg.by_mapping):
+        with pytest.raises(ValueError):
+            tagger(a, tl.timeline(a))
 
 
 def test_several_matches_are_an_error(spark):
