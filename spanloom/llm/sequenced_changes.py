@@ -17,8 +17,8 @@ Within a batch the order of new rows cannot change a result (numbers are unique
 happen between batches), so the second stage needs no sort; the first one compares (day, change_id).
 
 Every batch is a new start of the query on one checkpoint; its sink is exactly-once. A batch without
-rows is a file without rows, on which timers still fire. After the last batch one closing row
-for each slot makes all clients give up their gaps.
+rows is a file without rows, on which timers still fire. With the last batch comes one closing row
+for each slot; once its rows are done, all clients give up their gaps, as one more batch.
 
 Edge cases: equal rows count once, in all columns of the table; null clients are one client; null
 ``seq`` is a number of its own, the smallest; rows without ``valid_at`` or ``change_id`` vanish after
@@ -254,16 +254,18 @@ class Sequencer(StatefulProcessor):
                 if len(self.open) > 8:
                     self._shut(block)
             if len(out) >= 20_000:
-                yield self._frame(key, out)
+                yield self._frame(key, out, self.batch)
                 out = []
         for client in touched:
             if self.clients[client][0] // self.block in self.index.get(client, ()):
                 self._drain(client, -math.inf, out)
+        last: list = []
         if closing:
-            self._give_up(math.inf, out)
+            self._give_up(math.inf, last)
         self._store()
-        if out:
-            yield self._frame(key, out)
+        for rows_out, batch in ((out, self.batch), (last, self.batch + 1)):
+            if rows_out:
+                yield self._frame(key, rows_out, batch)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._load()
@@ -272,11 +274,11 @@ class Sequencer(StatefulProcessor):
             self._give_up(timerValues.getCurrentWatermarkInMs() // DAY_MS, out)
             self._store()
         if out:
-            yield self._frame(key, out)
+            yield self._frame(key, out, self.batch)
 
-    def _frame(self, key, out: list) -> pd.DataFrame:
+    def _frame(self, key, out: list, batch: int) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=["client", "n", "op", "change_id", "status", "missed", "city", "balance"])
-        frame = frame.assign(slot=int(key[0]), batch=self.batch, balance=frame["balance"].astype("float64"))
+        frame = frame.assign(slot=int(key[0]), batch=batch, balance=frame["balance"].astype("float64"))
         for c in ("op", "city", "status"):
             frame[c] = frame[c].astype(object)
         return frame[[c.split()[0] for c in OUT.split(", ")]]
@@ -324,8 +326,9 @@ def apply_changes(
         F.lit(0).cast("long").alias("day"), F.lit(0).cast("long").alias("change_id"), F.lit(CLOSING).alias("op"), F.lit(None).cast("string").alias("city"),
         F.lit(None).cast("double").alias("balance"), F.lit("2261-01-01").cast("timestamp").alias("at"),
     )
-    for b in range(1, batches + 2):
-        (closing if b > batches else cut.where(F.col("batch") == b).drop("batch")).write.mode("append").parquet(f"{root}/feed")
+    for b in range(1, batches + 1):
+        fed = cut.where(F.col("batch") == b).drop("batch")
+        (fed if b < batches else fed.unionByName(closing)).write.mode("append").parquet(f"{root}/feed")
         start(spark, root, b, patience, block)
     done = spark.read.schema(OUT).parquet(f"{root}/applied")
     return done.withColumn("client_id", F.when(F.col("slot") >= 0, F.col("client"))).drop("slot", "client")
@@ -338,6 +341,8 @@ def start(spark: SparkSession, root: str, batch: int, patience: int, block: int
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of the many small stores reserves megabytes
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+        "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",  # one file less for each store and start
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # timers belong to the next batch
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
