@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from spanloom.llm.common import Scratch, materialize, ranked, shared_dir
+from spanloom.llm.common import Scratch, delete, materialize, ranked, shared_dir
 
 DAY_MS = 86_400_000
 BLOCK = 4096  # numbers of a client that are held in one state entry
@@ -330,6 +330,8 @@ def apply_changes(
         fed = cut.where(F.col("batch") == b).drop("batch")
         (fed if b < batches else fed.unionByName(closing)).write.mode("append").parquet(f"{root}/feed")
         start(spark, root, b, patience, block)
+    for used in ("cut", "feed", "state"):
+        delete(spark, f"{root}/{used}")
     done = spark.read.schema(OUT).parquet(f"{root}/applied")
     return done.withColumn("client_id", F.when(F.col("slot") >= 0, F.col("client"))).drop("slot", "client")
 
