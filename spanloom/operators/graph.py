@@ -163,28 +163,70 @@ def cooccurrence_edges(a: DataFrame, b: DataFrame, model: DataFrame) -> DataFram
     return edge(rows.where("probability IS NOT NULL").select("uri", name("a", "a_").alias("src"), name("b", "b_").alias("dst"), "probability"))
 
 
+def _bin_runs(df: DataFrame, resolution: float, *cols: str) -> DataFrame:
+    """Bins from ``start`` up to, not including, ``end`` that each segment reaches into."""
+    first, stop = F.floor(F.col("start") / resolution).cast("double"), F.ceil(F.col("end") / resolution).cast("double")
+    return df.select("uri", *cols, first.alias("start"), stop.alias("end")).where("uri IS NOT NULL").distinct()
+
+
+def _widened(runs: DataFrame, low: int, high: int) -> DataFrame:
+    """Runs as (from, to), widened to what lies between ``low`` and ``high`` bins ahead."""
+    names = [c for c in runs.columns if c not in ("start", "end")]
+    return runs.select(*names, F.col("start").alias("from"), F.col("end").alias("to"), (F.col("start") + low - 1).alias("start"), (F.col("end") + high + 1).alias("end"))
+
+
+def _reach(low: int, high: int):
+    """Smallest and largest lag, within the limits, between a bin of one run and a bin of the other."""
+    x0, x1, y0, y1 = (F.col(c).cast("int") for c in ("a_from", "a_to", "b_start", "b_end"))
+    return F.greatest(F.lit(low), y0 - x1 + 1), F.least(F.lit(high), y1 - x0 - 1)
+
+
 def lag_fit(a: DataFrame, b: DataFrame, neighbourhood: float, resolution: float) -> DataFrame:
-    """(lag, probability): of the times both sides speak ``lag`` bins apart, how often by one label."""
-    grid = lambda df: df.select("uri", "label", F.explode(F.sequence(F.floor(F.col("start") / resolution), F.ceil(F.col("end") / resolution) - 1)).alias("t")).distinct()
+    """(lag, probability): of the times both sides speak ``lag`` bins apart, how often by one label.
+
+    A label's bins are kept as runs, and labels that run at once as counted pieces, so what is joined
+    follows the number of segments and not the bins they fill. Joins are merges: sizes that are
+    estimated from a table's file say little here and must not broadcast a side."""
     k = int(neighbourhood / resolution)
-    x, y = grid(a), grid(b)
-    # each bin of one side is sent to the bins within reach, so the join is on equal bins
-    near = x.select("uri", "label", F.explode(F.sequence(F.lit(-k), F.lit(k))).alias("lag"), "t").withColumn("t", F.col("t") + F.col("lag"))
-    pairs = near.groupBy("uri", "lag", "t").agg(F.collect_set("label").alias("la")).join(y.groupBy("uri", "t").agg(F.collect_set("label").alias("lb")), ["uri", "t"])
-    same = F.size(F.array_intersect("la", "lb"))
-    return pairs.groupBy("lag").agg((F.sum(same) / F.sum(F.size("la") * F.size("lb"))).alias("probability"))
+    runs = [tl.islands(_bin_runs(df.where("label IS NOT NULL"), resolution, "label"), ("uri", "label")) for df in (a, b)]
+
+    def pieces(df: DataFrame) -> DataFrame:
+        both = F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d")))
+        at = df.select("uri", F.explode(both).alias("e")).groupBy("uri", F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d")).where("d <> 0")
+        order = W.partitionBy("uri").orderBy("t")
+        swept = at.select("uri", F.col("t").alias("start"), F.lead("t").over(order).alias("end"), F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("n"))
+        return swept.where("n > 0")
 
+    def met(x: DataFrame, y: DataFrame, keys: tuple[str, ...], weight, name: str) -> DataFrame:
+        pairs = tl.overlap_join(_widened(x, -k, k), y.hint("merge"), keys, bins=16.0 * (2 * k + 1))
+        first, last = _reach(-k, k)
+        each = pairs.where(first <= last).withColumn("lag", F.explode(F.sequence(first, last)))
+        shared = F.least(F.col("a_to"), F.col("b_end") - F.col("lag")) - F.greatest(F.col("a_from"), F.col("b_start") - F.col("lag"))
+        return each.groupBy("lag").agg(F.sum(weight * shared.cast("long")).alias(name))
 
-def lag_edges(a: DataFrame, b: DataFrame, model: DataFrame, neighbourhood: float, resolution: float, future: bool = False) -> DataFrame:
+    same = met(*runs, ("uri", "label"), F.lit(1), "same")
+    every = met(*map(pieces, runs), ("uri",), F.col("a_n") * F.col("b_n"), "every")
+    return every.join(same, "lag", "left").select("lag", (F.coalesce("same", F.lit(0)) / F.col("every")).alias("probability"))
+
+
+def _known_lags(model: DataFrame, k: int) -> dict[int, float]:
+    """The lag table, at most 2 k + 1 rows; lags without a probability are left out."""
+    return {int(r["lag"]): float(r["probability"]) for r in model.where(F.abs("lag") <= k).select("lag", "probability").collect() if r["probability"] is not None}
+
+
+def lag_edges(a: DataFrame, b: DataFrame, model: DataFrame, neighbourhood: float, resolution: float, future: bool = False, bins: float | None = None) -> DataFrame:
     """(uri, a_track, b_track, probability): for tracks within reach of each other, the largest
-    probability of any lag between a bin of one and a bin of the other; ``future`` looks ahead only."""
-    grid = lambda df, name: df.select("uri", F.col("track").alias(name), F.explode(F.sequence(F.floor(F.col("start") / resolution), F.ceil(F.col("end") / resolution) - 1)).alias("t")).distinct()
+    probability of any lag between a bin of one and a bin of the other; ``future`` looks ahead only.
+
+    The lags between two runs of bins are a range, so no bin is spelled out. ``bins`` cuts large uris."""
     k = int(neighbourhood / resolution)
-    lags = model.where(F.abs("lag") <= k).select(F.col("lag").cast("int").alias("lag"), "probability").dropDuplicates(["lag"])  # at most 2 k + 1 rows
-    near = grid(a, "a_track").withColumn("lag", F.explode(F.sequence(F.lit(0 if future else -k), F.lit(k)))).join(F.broadcast(lags), "lag")
-    near = near.select("uri", "a_track", (F.col("t") + F.col("lag")).alias("t"), "probability")
-    met = near.groupBy("uri", "a_track", "t").agg(F.max("probability").alias("probability")).join(grid(b, "b_track"), ["uri", "t"])
-    return met.groupBy("uri", "a_track", "b_track").agg(F.max("probability").alias("probability"))
+    low = 0 if future else -k
+    known = _known_lags(model, k)
+    table = F.array(*[F.lit(known.get(x)).cast("double") for x in range(low, k + 1)])
+    pairs = tl.overlap_join(_widened(_bin_runs(a, resolution, "track"), low, k), _bin_runs(b, resolution, "track").hint("merge"), bins=bins)
+    first, last = _reach(low, k)
+    best = pairs.where(first <= last).select("uri", "a_track", "b_track", F.array_max(F.slice(table, first - low + 1, last - first + 1)).alias("probability"))
+    return best.where("probability IS NOT NULL").groupBy("uri", "a_track", "b_track").agg(F.max("probability").alias("probability"))
 
 
 def lag_average(a: DataFrame, b: DataFrame, model: DataFrame, neighbourhood: float, resolution: float, future: bool = False, bins: float | None = None) -> DataFrame:
@@ -196,7 +238,7 @@ def lag_average(a: DataFrame, b: DataFrame, model: DataFrame, neighbourhood: flo
     A track is one run of bins; ``bins`` cuts large uris for the join of near tracks."""
     k = int(neighbourhood / resolution)
     low = 0 if future else -k
-    known = {int(r["lag"]): float(r["probability"]) for r in model.where(F.abs("lag") <= k).select("lag", "probability").collect() if r["probability"] is not None}
+    known = _known_lags(model, k)
 
     def ramps(values: dict[int, float]):
         """Sum over lags L > c of (L - c) times the value, as a function of a whole-number column c."""
@@ -206,11 +248,7 @@ def lag_average(a: DataFrame, b: DataFrame, model: DataFrame, neighbourhood: flo
         inside = lambda c: F.element_at(table, F.greatest(F.lit(1), F.least(F.lit(len(sums)), c - (low - 1) + 1)).cast("int"))
         return lambda c: inside(c) + F.greatest(F.lit(0), (low - 1) - c) * total
 
-    def run(df: DataFrame) -> DataFrame:
-        return df.select("uri", "track", F.floor(F.col("start") / resolution).cast("double").alias("start"), F.ceil(F.col("end") / resolution).cast("double").alias("end")).distinct()
-
-    wide = run(a).select("uri", "track", F.col("start").alias("from"), F.col("end").alias("to"), (F.col("start") + low - 1).alias("start"), (F.col("end") + k + 1).alias("end"))
-    met = tl.overlap_join(wide, run(b), bins=bins)
+    met = tl.overlap_join(_widened(_bin_runs(a, resolution, "track"), low, k), _bin_runs(b, resolution, "track").hint("merge"), bins=bins)
     x0, x1, y0, y1 = (F.col(c).cast("long") for c in ("a_from", "a_to", "b_start", "b_end"))
     trapezoid = lambda f: f(y0 - x1) - f(y0 - x0) - f(y1 - x1) + f(y1 - x0)
     sums = met.groupBy("uri", "a_track", "b_track").agg(F.sum(trapezoid(ramps(known))).alias("p"), F.sum(trapezoid(ramps(dict.fromkeys(known, 1.0)))).alias("n"))

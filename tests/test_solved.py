@@ -280,3 +280,34 @@ def test_logistic_fit_recovers_its_curve(spark):
     model = ca.fit_generalized_logistic(ca.logistic_points(samples), (1.0, 1.0, 0.5, 1.0))
     out = ca.apply_generalized_logistic(spark.createDataFrame([(0.5,), (-9.0,), (9.0,)], "score double"), model).select(F.collect_list("posterior").alias("p")).first().p
     assert abs(out[0] - 0.5) < 0.1 and out[1] < 0.05 and out[2] > 0.95
+
+
+def test_lag_queries_join_runs_not_bins(spark):
+    """Long segments: as the bins spell out, with a plan that neither explodes bins nor broadcasts a side."""
+    import math
+
+    A, B = "uri string, start double, end double, track string, label string", 4
+    a = [("u", 0.0, 95.0, "1", "x"), ("u", 90.0, 130.0, "2", "x"), ("u", 40.0, 61.0, "3", "y"), ("w", 0.0, 10.0, "4", "y")]
+    b = [("u", 20.0, 75.0, "5", "x"), ("u", 150.0, 171.0, "6", "y"), ("u", 55.0, 60.0, "7", "y"), ("v", 0.0, 10.0, "8", "y")]
+    grid = lambda rows, j: {(r[0], r[j], t) for r in rows for t in range(math.floor(r[1] / 10), math.ceil(r[2] / 10))}
+    counts = {}
+    for u, x, t in grid(a, 4):
+        for w, y, s in grid(b, 4):
+            if u == w and abs(s - t) <= B:
+                n, m = counts.get(s - t, (0, 0))
+                counts[s - t] = (n + 1, m + (x == y))
+    want = {lag: m / n for lag, (n, m) in counts.items()}
+    da, db = spark.createDataFrame(a, A), spark.createDataFrame(b, A)
+    model = gr.lag_fit(da, db, 40.0, 10.0)
+    got = {r["lag"]: r["probability"] for r in model.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)
+    best = {}
+    for u, x, t in grid(a, 3):
+        for w, y, s in grid(b, 3):
+            if u == w and 0 <= s - t <= B:
+                best[(u, x, y)] = max(best.get((u, x, y), 0.0), want[s - t])
+    edges = gr.lag_edges(da, db, model, 40.0, 10.0, future=True)
+    assert {(r["uri"], r["a_track"], r["b_track"]): r["probability"] for r in edges.collect()} == {k: got[max((x for x in got if want[x] == p), key=lambda x: got[x])] for k, p in best.items()}
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString() for df in (model, edges, gr.lag_average(da, db, model, 40.0, 10.0))]
+    assert all("BroadcastExchange" not in p and "BroadcastHashJoin" not in p for p in plans[1:])
+    assert "collect_set" not in plans[0]
