@@ -6,8 +6,11 @@ into connected components first.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,6 +23,72 @@ from spanloom.operators import timeline as tl
 from spanloom.session import checkpoint_dir
 
 FOUND = "uri string, item string, cluster string"
+#: A uri of at most as many pairs is taken as one group; a larger one is cut into its components first.
+SMALL = 4_000
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Sorted rows -> one table a key; one key is in memory at a time."""
+    held: list[pa.RecordBatch] = []
+    first = lambda b: [b.column(k)[0].as_py() for k in keys]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cut = np.zeros(b.num_rows - 1, bool)
+        for k in keys:
+            code = b.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            cut |= code[1:] != code[:-1]
+        bounds = [0, *(np.flatnonzero(cut) + 1).tolist(), b.num_rows]
+        for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            part = b.slice(lo, hi - lo)
+            if held and (i > 0 or first(held[-1]) != first(part)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _streamed(rows: DataFrame, keys: tuple[str, ...], solve: Callable[[pa.Table], dict[str, list]], names: tuple[str, ...], schema: str) -> DataFrame:
+    """``solve`` for each key's rows, dealt by key and streamed in order: few groups are worth a pandas frame."""
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
+    fields = [(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {n: [] for n, _ in fields}
+        for group in by_key(batches, keys):
+            for n, values in solve(group).items():
+                out[n].extend(values)
+            if len(out["uri"]) >= 10_000:
+                yield pa.record_batch([pa.array(out[n], k) for n, k in fields], names=[n for n, _ in fields])
+                out = {n: [] for n, _ in fields}
+        yield pa.record_batch([pa.array(out[n], k) for n, k in fields], names=[n for n, _ in fields])
+
+    columns = list(dict.fromkeys([*keys, "uri", *names]))
+    return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _split_by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of small uris, and of large ones if there are any."""
+    large = rows.groupBy("uri").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SMALL).select(F.col("uri").alias("_large")).checkpoint()
+    if large.isEmpty():
+        return rows, None
+    on = F.col("uri").eqNullSafe(F.col("_large"))
+    return rows.join(large, on, "left_anti"), rows.join(large, on, "left_semi")
+
+
+def _roots(n: int, pairs: Iterator[tuple[int, int]]) -> list[int]:
+    """Smallest number that pairs reach, for each number."""
+    root = list(range(n))
+    for i, j in pairs:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        while root[j] != j:
+            root[j] = j = root[root[j]]
+        root[max(i, j)] = min(i, j)
+    for i in range(n):
+        root[i] = root[root[i]]
+    return root
 
 
 def _square(pdf: pd.DataFrame, missing: float) -> tuple[list[str], np.ndarray]:
@@ -100,11 +169,25 @@ def bic(features: DataFrame, penalty: float = 3.5, diagonal: bool = True) -> Dat
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(uri, item, component) of (uri, row, col): the smallest item that links reach.
 
-    Labels move along edges and jump to their label's label, so rounds grow with the logarithm
-    of the longest path; lineage is cut by checkpoints each round.
+    Links of a small uri are streamed together. In larger ones labels move along edges and jump to
+    their label's label, so rounds grow with the logarithm of the longest path; lineage is cut by
+    checkpoints each round.
     """
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(edges.sparkSession)
+    small, large = _split_by_size(edges.select("uri", "row", "col").checkpoint())
+
+    def solve(t: pa.Table) -> dict[str, list]:
+        row, col = t.column("row").to_pylist(), t.column("col").to_pylist()
+        items = sorted({*row, *col})
+        at = {x: i for i, x in enumerate(items)}
+        root = _roots(len(items), ((at[a], at[b]) for a, b in zip(row, col, strict=True)))
+        return {"uri": [t.column("uri")[0].as_py()] * len(items), "item": items, "component": [items[r] for r in root]}
+
+    found = _streamed(small, ("uri",), solve, ("row", "col"), "uri string, item string, component string")
+    return found if large is None else found.unionByName(_spread_components(large, rounds))
+
+
+def _spread_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = edges.select("uri", F.col("row").alias("a"), F.col("col").alias("b"))
     both = both.unionByName(both.select("uri", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     now = both.groupBy("uri", "a").agg(F.least(F.min("b"), F.first("a")).alias("c")).checkpoint()
@@ -128,43 +211,62 @@ def correlation(weights: DataFrame, nodes: int = 5_000, missing: float = 0.0, pu
     ``weights`` is (uri, row, col, value), with ``hard`` where there are constraints: 1 for pairs that
     must share a cluster, -1 for pairs that must not. ``broken`` counts the pairs of the component that
     must links hold together although they must not share a cluster; all others keep their constraints.
-    Pairs without a row weigh ``missing``; ``pull`` (uri, item, k) takes the product of both items' k from
-    the weight of every pair.
+    Pairs without a row weigh ``missing``, and if that is above 0 a uri is one component; ``pull`` (uri,
+    item, k) takes the product of both items' k from the weight of every pair.
     """
     if "hard" not in weights.columns:
         weights = weights.withColumn("hard", F.lit(0))
+    checkpoint_dir(weights.sparkSession)
     rows = weights.select("uri", "row", "col", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"), F.coalesce(F.col("hard").cast("int"), F.lit(0)).alias("hard"))
-    comp = components(rows.where("hard > 0 OR (value > 0 AND hard = 0)"))
-    side = lambda name: comp.select("uri", F.col("item").alias(name), F.col("component").alias(name + "_c"))
-    own = rows.join(side("row"), ["uri", "row"]).join(side("col"), ["uri", "col"]).where("row_c = col_c").withColumnRenamed("row_c", "component")
-    own = own.withColumns({"row_k": F.lit(0.0), "col_k": F.lit(0.0)}) if pull is None else own
+    rows = rows.withColumns({"row_k": F.lit(0.0), "col_k": F.lit(0.0)}) if pull is None else rows
     for name in ("row", "col") if pull is not None else ():
-        own = own.join(pull.select("uri", F.col("item").alias(name), F.col("k").cast("double").alias(name + "_k")), ["uri", name], "left")
-    own = own.fillna(0.0, ["row_k", "col_k"])
+        rows = rows.join(pull.select("uri", F.col("item").alias(name), F.col("k").cast("double").alias(name + "_k")), ["uri", name], "left")
+    rows = rows.fillna(0.0, ["row_k", "col_k"])
+    small, large = (rows, None) if missing > 0 else _split_by_size(rows.checkpoint())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        soft = pdf[pdf["hard"] == 0]
-        items = sorted(set(pdf["row"]) | set(pdf["col"]))
+    def solve(t: pa.Table) -> dict[str, list]:
+        row, col = t.column("row").to_pylist(), t.column("col").to_pylist()
+        items = sorted({*row, *col})
         at = {x: i for i, x in enumerate(items)}
-        w, must, cannot = np.zeros((len(items), len(items))), *(np.zeros((len(items), len(items)), bool) for _ in range(2))
-        i, j = soft["row"].map(at).to_numpy(int), soft["col"].map(at).to_numpy(int)
-        w[:] = np.nan
-        w[i, j] = soft["value"].to_numpy()
-        w = np.where(np.isnan(w), w.T, w)
-        k = np.zeros(len(items))
-        for name in ("row", "col"):
-            k[pdf[name].map(at).to_numpy(int)] = pdf[name + "_k"].to_numpy()
-        w = np.where(np.isnan(w), missing, w) - np.outer(k, k)
-        for kind, mask in ((1, must), (-1, cannot)):
-            some = pdf[pdf["hard"] == kind]
-            mask[some["row"].map(at).to_numpy(int), some["col"].map(at).to_numpy(int)] = True
-        found = partition.solve(w, must, cannot, nodes=nodes)
-        return pd.DataFrame({"uri": pdf["uri"].iloc[0], "item": items, "cluster": [items[c] for c in found.label], "gap": found.gap, "broken": len(found.broken)})
-
-    found = own.select("uri", "component", "row", "col", "value", "hard", "row_k", "col_k").groupBy("uri", "component").applyInPandas(run, f"{FOUND}, gap double, broken long")
-    items = rows.select("uri", F.explode(F.array("row", "col")).alias("item")).distinct()
-    zero = F.lit(0)
-    return items.join(found, ["uri", "item"], "left").select("uri", "item", F.coalesce("cluster", "item").alias("cluster"), F.coalesce("gap", zero.cast("double")).alias("gap"), F.coalesce("broken", zero.cast("long")).alias("broken"))
+        i, j = np.array([at[x] for x in row]), np.array([at[x] for x in col])
+        value, hard, row_k, col_k = (t.column(c).to_numpy() for c in ("value", "hard", "row_k", "col_k"))
+        n, k = len(items), np.zeros(len(items))
+        k[i], k[j] = row_k, col_k
+        linked = (hard > 0) | ((value > 0) & (hard == 0))
+        root = np.zeros(n, int) if missing > 0 else np.array(_roots(n, zip(i[linked].tolist(), j[linked].tolist(), strict=True)))
+        out: dict[str, list] = {"uri": [t.column("uri")[0].as_py()] * n, "item": items, "cluster": list(items), "gap": [0.0] * n, "broken": [0] * n}
+        place, heads = np.zeros(n, int), np.flatnonzero(np.bincount(root, minlength=n) > 1)
+        for head in heads.tolist():
+            own = np.flatnonzero(root == head)
+            place[own] = np.arange(len(own))
+            inner = (root[i] == head) & (root[j] == head)
+            a, b, v, h = place[i[inner]], place[j[inner]], value[inner], hard[inner]
+            w, must, cannot = np.full((len(own), len(own)), np.nan), *(np.zeros((len(own), len(own)), bool) for _ in range(2))
+            w[a[h == 0], b[h == 0]] = v[h == 0]
+            w = np.where(np.isnan(w), w.T, w)
+            w = np.where(np.isnan(w), missing, w) - np.outer(k[own], k[own])
+            must[a[h == 1], b[h == 1]] = True
+            cannot[a[h == -1], b[h == -1]] = True
+            found = partition.solve(w, must, cannot, nodes=nodes)
+            for x, c in zip(own.tolist(), found.label.tolist(), strict=True):
+                out["cluster"][x], out["gap"][x], out["broken"][x] = items[own[c]], found.gap, len(found.broken)
+        return out
+
+    names, schema = ("row", "col", "value", "hard", "row_k", "col_k"), f"{FOUND}, gap double, broken long"
+    found = _streamed(small, ("uri",), solve, names, schema)
+    if large is None:
+        return found
+    comp = components(large.where("hard > 0 OR (value > 0 AND hard = 0)"))
+    side = lambda name: comp.select(F.col("uri").alias("_u"), F.col("item").alias(name + "_i"), F.col("component").alias(name + "_c"))
+    for name in ("row", "col"):
+        large = large.join(side(name), F.col("uri").eqNullSafe(F.col("_u")) & (F.col(name) == F.col(name + "_i")), "left").drop("_u", name + "_i").withColumn(name + "_c", F.coalesce(name + "_c", name))
+    # pairs of two components only name their items
+    inner = F.col("row_c") == F.col("col_c")
+    own = large.where(inner).select("uri", F.col("row_c").alias("component"), *names)
+    solved = _streamed(own, ("uri", "component"), solve, names, schema)
+    alone = large.where(~inner).select("uri", F.explode(F.array(F.struct(F.col("row").alias("item"), F.col("row_c").alias("c")), F.struct(F.col("col").alias("item"), F.col("col_c").alias("c")))).alias("x")).where("x.item = x.c").select("uri", F.col("x.item").alias("item"))
+    alone = alone.distinct().withColumns({"cluster": F.col("item"), "gap": F.lit(0.0), "broken": F.lit(0).cast("long")})
+    return found.unionByName(solved).unionByName(alone.join(solved.select(F.col("uri").alias("_u"), F.col("item").alias("_i")), F.col("uri").eqNullSafe(F.col("_u")) & (F.col("item") == F.col("_i")), "left_anti"))
 
 
 def worth(weights: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -179,19 +281,45 @@ def centers(probability: DataFrame, alpha: float = 0.5, nodes: int = 2_000) -> D
     the other items to theirs, where no distance may pass ``alpha``. ``probability`` is (uri, row, col,
     value), either order of a pair once. Each component of short enough distances is solved by itself;
     ``gap`` is how much cheaper it could be at most (0: proven best)."""
+    checkpoint_dir(probability.sparkSession)
     rows = probability.select("uri", "row", "col", F.col("value").cast("double").alias("value"))
-    near = rows.where((1 - F.col("value") <= alpha) & (F.col("row") != F.col("col")))
-    comp = components(near)
-    own = near.join(comp.select("uri", F.col("item").alias("row"), "component"), ["uri", "row"])
+    small, large = _split_by_size(rows.checkpoint())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items, p = _square(pdf, -np.inf)
-        found = partition.centers(1.0 - p, nodes=nodes)
-        return pd.DataFrame({"uri": pdf["uri"].iloc[0], "item": items, "center": [items[c] for c in found.center], "gap": found.gap})
-
-    found = own.select("uri", "component", "row", "col", "value").groupBy("uri", "component").applyInPandas(run, "uri string, item string, center string, gap double")
-    items = rows.select("uri", F.explode(F.array("row", "col")).alias("item")).distinct()
-    return items.join(found, ["uri", "item"], "left").select("uri", "item", F.coalesce("center", "item").alias("center"), F.coalesce("gap", F.lit(0.0)).alias("gap"))
+    def solve(t: pa.Table) -> dict[str, list]:
+        row, col = t.column("row").to_pylist(), t.column("col").to_pylist()
+        items = sorted({*row, *col})
+        at = {x: i for i, x in enumerate(items)}
+        i, j = np.array([at[x] for x in row]), np.array([at[x] for x in col])
+        value, n = t.column("value").to_numpy(), len(items)
+        near = (1 - value <= alpha) & (i != j)
+        i, j, value = i[near], j[near], value[near]
+        root = np.array(_roots(n, zip(i.tolist(), j.tolist(), strict=True)))
+        out: dict[str, list] = {"uri": [t.column("uri")[0].as_py()] * n, "item": items, "center": list(items), "gap": [0.0] * n}
+        place = np.zeros(n, int)
+        for head in np.flatnonzero(np.bincount(root, minlength=n) > 1).tolist():
+            own = np.flatnonzero(root == head)
+            place[own] = np.arange(len(own))
+            inner = root[i] == head
+            p = np.full((len(own), len(own)), np.nan)
+            p[place[i[inner]], place[j[inner]]] = value[inner]
+            p = np.where(np.isnan(p), p.T, p)
+            found = partition.centers(1.0 - np.where(np.isnan(p), -np.inf, p), nodes=nodes)
+            for x, c in zip(own.tolist(), found.center.tolist(), strict=True):
+                out["center"][x], out["gap"][x] = items[own[c]], found.gap
+        return out
+
+    schema = "uri string, item string, center string, gap double"
+    found = _streamed(small, ("uri",), solve, ("row", "col", "value"), schema)
+    if large is None:
+        return found
+    near = large.where((1 - F.col("value") <= alpha) & (F.col("row") != F.col("col")))
+    comp = components(near).select(F.col("uri").alias("_u"), F.col("item").alias("_i"), "component")
+    own = near.join(comp, F.col("uri").eqNullSafe(F.col("_u")) & (F.col("row") == F.col("_i"))).drop("_u", "_i")
+    solved = _streamed(own, ("uri", "component"), solve, ("row", "col", "value"), schema)
+    items = large.select("uri", F.explode(F.array("row", "col")).alias("item")).distinct()
+    solved_too = solved.select(F.col("uri").alias("_u"), F.col("item").alias("_i"), "center", "gap")
+    rest = items.join(solved_too, F.col("uri").eqNullSafe(F.col("_u")) & (F.col("item") == F.col("_i")), "left")
+    return found.unionByName(rest.select("uri", "item", F.coalesce("center", "item").alias("center"), F.coalesce("gap", F.lit(0.0)).alias("gap")))
 
 
 def louvain(edges: DataFrame, level: int = -1) -> DataFrame:

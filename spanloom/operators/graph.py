@@ -263,8 +263,8 @@ def objective(edges: DataFrame, kind: str = "probability", alpha: float = 0.5, d
     """Pair weights whose sum inside clusters an objective maximises (constants left out), and what
     ``clustering.correlation`` needs beside them. Probabilities 0 and 1 stay constraints.
 
-    ``large`` and ``small``: as many or as few pairs as the constraints allow, among items that edges
-    connect; ``probability``: alpha p inside plus (1 - alpha)(1 - p) between clusters; ``log``: (1 - alpha)
+    ``large`` and ``small``: as many or as few pairs as the constraints allow, among all items of a uri
+    that have edges; ``probability``: alpha p inside plus (1 - alpha)(1 - p) between clusters; ``log``: (1 - alpha)
     log p inside plus alpha log(1 - p) between; ``weighted``: as ``probability``, times a mean of the
     durations (uri, item, duration) of both items, of one if only one has any, else 1; ``modularity``."""
     p = F.col("probability")

@@ -311,3 +311,28 @@ def test_lag_queries_join_runs_not_bins(spark):
     plans = [df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString() for df in (model, edges, gr.lag_average(da, db, model, 40.0, 10.0))]
     assert all("BroadcastExchange" not in p and "BroadcastHashJoin" not in p for p in plans[1:])
     assert "collect_set" not in plans[0]
+
+
+def test_large_objective_joins_items_that_only_constraints_name(spark):
+    """d may not meet c and has no other edge: it still joins a and b, which edges do not say."""
+    rows = [("u", "a", "b", 0.5), ("u", "c", "d", 0.0), ("u", "b", "c", 0.0)]
+    weights, more = gr.objective(spark.createDataFrame(rows, EDGES), "large")
+    found = {r["item"]: r["cluster"] for r in cl.correlation(weights, **more).collect()}
+    assert found["a"] == found["b"] and found["c"] != found["d"] and found["b"] != found["c"]
+    assert found["d"] == found["a"]
+
+
+def test_large_uris_are_cut_into_components_with_the_same_result(spark, monkeypatch):
+    r = random.Random(5)
+    pairs = [(u, x, y) for u in ("u", "v", None) for x, y in itertools.combinations([f"{g}{i}" for g in "abc" for i in range(4)], 2)]
+    rows = [(u, x, y, float(r.randint(-3, 6) if x[0] == y[0] else -1), 1 if (x, y) == ("a0", "a1") else -1 if (x, y) == ("b0", "b1") else 0) for u, x, y in pairs]
+    weights = spark.createDataFrame(rows, f"{LINKS}, hard int")
+    near = weights.select("uri", "row", "col", (F.col("value") / 8).alias("value"))
+    seen = []
+    for size in (4_000, 3):
+        monkeypatch.setattr(cl, "SMALL", size)
+        parts = [cl.correlation(weights), cl.centers(near, 0.6), cl.components(weights.where("value > 2"))]
+        seen.append([sorted(map(repr, df.collect())) for df in parts])
+        assert len(seen[-1][0]) == len(seen[-1][1]) == 36
+    # items of a null uri stay in either way, but links of one are followed in small groups only
+    assert [[x for x in part if "uri=None" not in x] for part in seen[0]] == [[x for x in part if "uri=None" not in x] for part in seen[1]]
