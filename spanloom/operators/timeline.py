@@ -26,7 +26,8 @@ def union(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = URI) -> DataFrame:
 
 def equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row, ``equal``: no row is in one of the sets alone."""
-    odd = a.exceptAll(b).unionByName(b.select(*a.columns).exceptAll(a))
+    side = lambda df, n: df.select(*a.columns, F.lit(n).cast("long").alias("_n"))
+    odd = side(a, 1).unionByName(side(b, -1)).groupBy(*a.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
     return odd.agg((F.count(F.lit(1)) == 0).alias("equal"))
 
 

@@ -336,3 +336,16 @@ def test_large_uris_are_cut_into_components_with_the_same_result(spark, monkeypa
         assert len(seen[-1][0]) == len(seen[-1][1]) == 36
     # items of a null uri stay in either way, but links of one are followed in small groups only
     assert [[x for x in part if "uri=None" not in x] for part in seen[0]] == [[x for x in part if "uri=None" not in x] for part in seen[1]]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_counts_rows_once(spark):
+    from spanloom.operators import timeline as tl
+
+    df = lambda *rows: spark.createDataFrame(rows, "uri string, start double, end double")
+    a, twice, other = df(("u", 0.0, 1.0), (None, 1.0, 2.0)), df(("u", 0.0, 1.0), ("u", 0.0, 1.0), (None, 1.0, 2.0)), df(("u", 0.0, 1.0), (None, 1.0, 3.0))
+    assert [tl.equal(a, x).first()["equal"] for x in (a, twice, other)] == [True, False, False] and not tl.equal(twice, a).first()["equal"]
+    assert "replicaterows" not in plan_of(tl.equal(a, other)).lower()
