@@ -131,10 +131,11 @@ def _shipping(spark: SparkSession, d: str) -> DataFrame:
     of a pair, against the mean of all pairs that meet (times the number of these pairs, so weights are whole)."""
     when = F.col("l_shipdate").cast("date")
     names = F.array(F.concat(F.lit("day"), F.dayofweek(when) - 1), F.concat(F.lit("quarter"), F.quarter(when)))
-    rows = v.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("uri"), "l_orderkey", F.explode(names).alias("item")).distinct()
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.uri") == F.col("b.uri")) & (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.item") < F.col("b.item")))
-    n = met.groupBy("a.uri", F.col("a.item").alias("row"), F.col("b.item").alias("col")).agg(F.count(F.lit(1)).alias("n"))
+    rows = v.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("uri"), "l_orderkey", F.explode(names).alias("item")).where("uri IS NOT NULL AND l_orderkey IS NOT NULL AND item IS NOT NULL")
+    # orders with the same items are counted before pairs are spelled out: as many rows as sets of items
+    sets = rows.groupBy("uri", "l_orderkey").agg(F.sort_array(F.collect_set("item")).alias("items")).groupBy("uri", "items").agg(F.count(F.lit(1)).alias("n"))
+    met = sets.withColumn("row", F.explode("items")).withColumn("col", F.explode("items")).where("row < col")
+    n = met.groupBy("uri", "row", "col").agg(F.sum("n").alias("n"))
     whole = n.groupBy("uri").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("pairs"))
     return n.join(whole, "uri").select("uri", "row", "col", (F.col("n") * F.col("pairs") - F.col("all")).cast("double").alias("value"))
 

@@ -349,3 +349,9 @@ def test_equal_counts_rows_once(spark):
     a, twice, other = df(("u", 0.0, 1.0), (None, 1.0, 2.0)), df(("u", 0.0, 1.0), ("u", 0.0, 1.0), (None, 1.0, 2.0)), df(("u", 0.0, 1.0), (None, 1.0, 3.0))
     assert [tl.equal(a, x).first()["equal"] for x in (a, twice, other)] == [True, False, False] and not tl.equal(twice, a).first()["equal"]
     assert "replicaterows" not in plan_of(tl.equal(a, other)).lower()
+
+
+def test_shipping_pairs_come_from_counted_sets(spark):
+    from spanloom.plans import solved
+
+    assert plan_of(solved._shipping(spark, "/root/testdata/sf0.001")).count("Join ") == 1  # with the totals of a flag; orders are not joined
