@@ -82,27 +82,31 @@ def subgraphs(edges: DataFrame, threshold: float = 0.0) -> DataFrame:
     return cl.components(edges.where(F.col("probability") > threshold).select("uri", F.col("src").alias("row"), F.col("dst").alias("col")))
 
 
-def _same(edges: DataFrame) -> DataFrame:
-    items = edges.select("uri", F.explode(F.array("src", "dst")).alias("item")).distinct()
-    sure = cl.components(edges.where("probability = 1").select("uri", F.col("src").alias("row"), F.col("dst").alias("col")))
-    return items.join(sure, ["uri", "item"], "left").select("uri", "item", F.coalesce("component", "item").alias("component"))
+def _lifted(edges: DataFrame, sure: DataFrame) -> DataFrame:
+    """Edges with the groups of their ends; an end without a certain edge is its own group."""
+    for end in ("src", "dst"):
+        side = sure.select("uri", F.col("item").alias(end), F.col("component").alias(end + "_c"))
+        edges = edges.join(side, ["uri", end], "left").withColumn(end + "_c", F.coalesce(end + "_c", end))
+    return edges
 
 
-def _lifted(edges: DataFrame, comp: DataFrame) -> DataFrame:
-    side = lambda n: comp.select("uri", F.col("item").alias(n), F.col("component").alias(n + "_c"))
-    return edges.join(side("src"), ["uri", "src"]).join(side("dst"), ["uri", "dst"])
+def _read_once(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges, written once, and (uri, item, component) of the certain ones."""
+    checkpoint_dir(edges.sparkSession)
+    edges = edges.select(*EDGE).checkpoint()
+    return edges, cl.components(edges.where("probability = 1").select("uri", F.col("src").alias("row"), F.col("dst").alias("col")))
 
 
 def contract(edges: DataFrame) -> DataFrame:
     """Graph of the groups that certain edges join; parallel edges are averaged."""
-    rows = _lifted(edges, _same(edges)).where("src_c <> dst_c")
+    rows = _lifted(*_read_once(edges)).where("src_c <> dst_c")
     return rows.groupBy("uri", F.least("src_c", "dst_c").alias("src"), F.greatest("src_c", "dst_c").alias("dst")).agg(F.avg("probability").alias("probability"))
 
 
 def propagate(edges: DataFrame) -> DataFrame:
     """Which groups of certain edges exclude each other: probability 0 between the groups and 1 to
     a group's head; closure stays on groups instead of spelling out their pairs."""
-    comp = _same(edges)
+    edges, comp = _read_once(edges)
     apart = _lifted(edges.where("probability = 0"), comp).select("uri", F.least("src_c", "dst_c").alias("src"), F.greatest("src_c", "dst_c").alias("dst"), F.lit(0.0).alias("probability")).distinct()
     inside = comp.where("item <> component").select("uri", F.least("item", "component").alias("src"), F.greatest("item", "component").alias("dst"), F.lit(1.0).alias("probability"))
     return apart.unionByName(inside)
@@ -110,15 +114,15 @@ def propagate(edges: DataFrame) -> DataFrame:
 
 def conflicts(edges: DataFrame) -> DataFrame:
     """Groups that certain edges join although an edge says 0."""
-    return _lifted(edges.where("probability = 0"), _same(edges)).where("src_c = dst_c")
+    edges, comp = _read_once(edges)
+    return _lifted(edges.where("probability = 0"), comp).where("src_c = dst_c")
 
 
 def prune_identities(edges: DataFrame, n: int) -> DataFrame:
-    """Keep the n likeliest identities of each track."""
-    to = edges.where(F.col("src").startswith("identity|") & F.col("dst").startswith("track|"))
-    k = F.row_number().over(W.partitionBy("uri", "dst").orderBy(F.desc("probability"), "src"))
-    drop = to.withColumn("_k", k).where(F.col("_k") > n).select("uri", "src", "dst")
-    return edges.join(drop, ["uri", "src", "dst"], "left_anti")
+    """Keep the n likeliest identities of each track, in one pass over the edges."""
+    to = F.coalesce(F.col("src").startswith("identity|") & F.col("dst").startswith("track|"), F.lit(False))
+    k = F.row_number().over(W.partitionBy("uri", "dst", "_to").orderBy(F.desc("probability"), "src"))
+    return edges.withColumn("_to", to).withColumn("_k", k).where(~F.col("_to") | (F.col("_k") <= n)).drop("_to", "_k")
 
 
 def log_costs(edges: DataFrame) -> DataFrame:

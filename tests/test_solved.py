@@ -355,3 +355,11 @@ def test_shipping_pairs_come_from_counted_sets(spark):
     from spanloom.plans import solved
 
     assert plan_of(solved._shipping(spark, "/root/testdata/sf0.001")).count("Join ") == 1  # with the totals of a flag; orders are not joined
+
+
+def test_pruning_takes_one_pass(spark):
+    rows = [("u", f"identity|{x}", f"track|{t}", p) for t in "12" for x, p in (("a", 0.2), ("b", 0.9), ("c", 0.9), ("d", 0.1))]
+    rows += [("u", "identity|a", "identity|b", 0.0), ("u", "track|1", "track|2", 0.5)]
+    pruned = gr.prune_identities(spark.createDataFrame(rows, EDGES), 2)
+    assert {tuple(r) for r in pruned.collect()} == {r for r in rows if r[3] in (0.9, 0.0, 0.5)}
+    assert "Join" not in plan_of(pruned)
