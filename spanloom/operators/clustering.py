@@ -49,7 +49,7 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-def _streamed(rows: DataFrame, keys: tuple[str, ...], solve: Callable[[pa.Table], dict[str, list]], names: tuple[str, ...], schema: str) -> DataFrame:
+def streamed(rows: DataFrame, keys: tuple[str, ...], solve: Callable[[pa.Table], dict[str, list]], names: tuple[str, ...], schema: str) -> DataFrame:
     """``solve`` for each key's rows, dealt by key and streamed in order: few groups are worth a pandas frame."""
     kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
     fields = [(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))]
@@ -183,7 +183,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         root = _roots(len(items), ((at[a], at[b]) for a, b in zip(row, col, strict=True)))
         return {"uri": [t.column("uri")[0].as_py()] * len(items), "item": items, "component": [items[r] for r in root]}
 
-    found = _streamed(small, ("uri",), solve, ("row", "col"), "uri string, item string, component string")
+    found = streamed(small, ("uri",), solve, ("row", "col"), "uri string, item string, component string")
     return found if large is None else found.unionByName(_spread_components(large, rounds))
 
 
@@ -253,7 +253,7 @@ def correlation(weights: DataFrame, nodes: int = 5_000, missing: float = 0.0, pu
         return out
 
     names, schema = ("row", "col", "value", "hard", "row_k", "col_k"), f"{FOUND}, gap double, broken long"
-    found = _streamed(small, ("uri",), solve, names, schema)
+    found = streamed(small, ("uri",), solve, names, schema)
     if large is None:
         return found
     comp = components(large.where("hard > 0 OR (value > 0 AND hard = 0)"))
@@ -263,7 +263,7 @@ def correlation(weights: DataFrame, nodes: int = 5_000, missing: float = 0.0, pu
     # pairs of two components only name their items
     inner = F.col("row_c") == F.col("col_c")
     own = large.where(inner).select("uri", F.col("row_c").alias("component"), *names)
-    solved = _streamed(own, ("uri", "component"), solve, names, schema)
+    solved = streamed(own, ("uri", "component"), solve, names, schema)
     alone = large.where(~inner).select("uri", F.explode(F.array(F.struct(F.col("row").alias("item"), F.col("row_c").alias("c")), F.struct(F.col("col").alias("item"), F.col("col_c").alias("c")))).alias("x")).where("x.item = x.c").select("uri", F.col("x.item").alias("item"))
     alone = alone.distinct().withColumns({"cluster": F.col("item"), "gap": F.lit(0.0), "broken": F.lit(0).cast("long")})
     return found.unionByName(solved).unionByName(alone.join(solved.select(F.col("uri").alias("_u"), F.col("item").alias("_i")), F.col("uri").eqNullSafe(F.col("_u")) & (F.col("item") == F.col("_i")), "left_anti"))
@@ -309,13 +309,13 @@ def centers(probability: DataFrame, alpha: float = 0.5, nodes: int = 2_000) -> D
         return out
 
     schema = "uri string, item string, center string, gap double"
-    found = _streamed(small, ("uri",), solve, ("row", "col", "value"), schema)
+    found = streamed(small, ("uri",), solve, ("row", "col", "value"), schema)
     if large is None:
         return found
     near = large.where((1 - F.col("value") <= alpha) & (F.col("row") != F.col("col")))
     comp = components(near).select(F.col("uri").alias("_u"), F.col("item").alias("_i"), "component")
     own = near.join(comp, F.col("uri").eqNullSafe(F.col("_u")) & (F.col("row") == F.col("_i"))).drop("_u", "_i")
-    solved = _streamed(own, ("uri", "component"), solve, ("row", "col", "value"), schema)
+    solved = streamed(own, ("uri", "component"), solve, ("row", "col", "value"), schema)
     items = large.select("uri", F.explode(F.array("row", "col")).alias("item")).distinct()
     solved_too = solved.select(F.col("uri").alias("_u"), F.col("item").alias("_i"), "center", "gap")
     rest = items.join(solved_too, F.col("uri").eqNullSafe(F.col("_u")) & (F.col("item") == F.col("_i")), "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from spanloom.functions.assignment import assign
 from spanloom.operators import annotation as an
 from spanloom.operators import matrix as mx
+from spanloom.operators.clustering import streamed
 
 PAIRS = "uri string, left string, right string"
 
@@ -40,19 +42,24 @@ def conservative_mapper(a: DataFrame, b: DataFrame) -> DataFrame:
     return one.select("uri", F.col("row").alias("left"), F.col("col").alias("right"))
 
 
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
-    rows, cols = sorted(pdf["row"].unique()), sorted(pdf["col"].unique())
-    w = pdf.pivot(index="row", columns="col", values="value").reindex(index=rows, columns=cols).fillna(0.0).to_numpy()
-    pairs = [(pdf["uri"].iloc[0], rows[i], cols[j]) for i, j in assign(w) if w[i, j] > 0]
-    return pd.DataFrame(pairs, columns=["uri", "left", "right"]).astype(object)
+def _solve(t: pa.Table) -> dict[str, list]:
+    row, col = t.column("row").to_pylist(), t.column("col").to_pylist()
+    rows, cols = sorted(set(row)), sorted(set(col))
+    w = np.zeros((len(rows), len(cols)))
+    at, to = ({x: n for n, x in enumerate(side)} for side in (rows, cols))
+    w[[at[x] for x in row], [to[x] for x in col]] = np.nan_to_num(t.column("value").to_numpy())
+    pairs = [(rows[i], cols[j]) for i, j in assign(w) if w[i, j] > 0]
+    return {"uri": [t.column("uri")[0].as_py()] * len(pairs), "left": [a for a, _ in pairs], "right": [b for _, b in pairs]}
 
 
 def assignment_of(weights: DataFrame, keys: tuple[str, ...] = ("uri",)) -> DataFrame:
     """Best one-to-one pairs of each uri's weight matrix; pairs without weight are dropped.
 
-    The groups are label matrices of one uri: labels by labels, not rows of the annotation.
+    The groups are label matrices of one uri: labels by labels, not rows of the annotation. They are
+    streamed in order of their key.
     """
-    return weights.select("uri", "row", "col", "value").groupBy(*keys).applyInPandas(_solve, PAIRS)
+    rows = weights.withColumn("value", F.col("value").cast("double"))
+    return streamed(rows, keys, _solve, ("row", "col", "value"), PAIRS)
 
 
 def hungarian_mapper(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -363,3 +363,18 @@ def test_pruning_takes_one_pass(spark):
     pruned = gr.prune_identities(spark.createDataFrame(rows, EDGES), 2)
     assert {tuple(r) for r in pruned.collect()} == {r for r in rows if r[3] in (0.9, 0.0, 0.5)}
     assert "Join" not in plan_of(pruned)
+
+
+def test_assignments_are_streamed_by_uri(spark):
+    from spanloom.operators import mapping as mp
+
+    rows = [(u, r, c, float((n * 7 + i * 3 + j * 5) % 11)) for n, u in enumerate([None, *map(str, range(40))]) for i, r in enumerate("ab") for j, c in enumerate("xy")]
+    found = mp.assignment_of(spark.createDataFrame(rows, LINKS))
+    assert "FlatMapGroupsInPandas" not in plan_of(found)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["uri"], set()).add((r["left"], r["right"]))
+    for u in {r[0] for r in rows}:
+        w = {(r[1], r[2]): r[3] for r in rows if r[0] == u}
+        worth = lambda pairs: sum(w[p] for p in pairs)  # noqa: E731, B023
+        assert worth(got[u]) == max(w["a", "x"] + w["b", "y"], w["a", "y"] + w["b", "x"])
