@@ -343,7 +343,9 @@ def start(spark: SparkSession, root: str, batch: int, patience: int, block: int
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each of the many small stores reserves megabytes
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",  # every state variable has a buffer of its own
         "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a start is one batch: its stores are of no use to the next start
         "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",  # one file less for each store and start
         "spark.sql.streaming.noDataMicroBatches.enabled": "false",  # timers belong to the next batch
         "spark.sql.session.timeZone": "UTC",

@@ -128,3 +128,16 @@ def test_first_arrivals_by_chunks(frames):
     assert sorted(out[~out.again].change_id) == [1, 9] and sorted(out[out.again].change_id) == [2, 3]
     out = pd.concat(stage.handleInputRows((0,), iter([pd.DataFrame(rows, columns=sequenced_changes.FIELDS)]), None))
     assert out.again.all() and len(out) == 4
+
+
+def test_stores_of_a_start_are_closed(spark):
+    """The stores of a start stay in memory only while it runs."""
+    jvm = spark._jvm
+    store = jvm.org.apache.spark.util.Utils.classForName("org.apache.spark.sql.execution.streaming.state.StateStore$", True, False)
+    field = next(f for f in store.getDeclaredFields() if f.getName().endswith("loadedProviders"))
+    field.setAccessible(True)
+    loaded = field.get(store.getField("MODULE$").get(None))
+    before = loaded.size()
+    rows = [(i, i % 5, i // 5, "I", datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i), "s", "t", "c", 1.0) for i in range(40)]
+    assert sequenced_changes.apply_all(spark.createDataFrame(rows, SCHEMA), batches=2).count() > 0
+    assert loaded.size() <= before
