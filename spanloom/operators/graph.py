@@ -331,8 +331,9 @@ def mine(edges: DataFrame, alpha: float = 0.5, nodes: int = 5_000) -> DataFrame:
     hard = F.when(p == 1, 1).when(p == 0, -1).otherwise(0)
     weights = edges.select("uri", F.col("src").alias("row"), F.col("dst").alias("col"), F.when(hard == 0, p - alpha).otherwise(0.0).alias("value"), hard.alias("hard"))
     found = cl.correlation(weights, nodes)
-    who = found.where(F.col("item").startswith("identity|")).groupBy("uri", "cluster").agg(F.min("item").alias("lo"), F.max("item").alias("hi"))
-    named = found.join(who, ["uri", "cluster"], "left")
+    # named by a window: a join of the partition with its own names would solve everything twice
+    own, name = W.partitionBy("uri", "cluster"), F.when(F.col("item").startswith("identity|"), F.col("item"))
+    named = found.withColumns({"lo": F.min(name).over(own), "hi": F.max(name).over(own)})
     return named.select("uri", "item", "cluster", F.when(F.col("lo") == F.col("hi"), F.substring_index("lo", "|", -1)).alias("identity"), "gap", "broken")
 
 

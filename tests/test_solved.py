@@ -378,3 +378,12 @@ def test_assignments_are_streamed_by_uri(spark):
         w = {(r[1], r[2]): r[3] for r in rows if r[0] == u}
         worth = lambda pairs: sum(w[p] for p in pairs)  # noqa: E731, B023
         assert worth(got[u]) == max(w["a", "x"] + w["b", "y"], w["a", "y"] + w["b", "x"])
+
+
+def test_mine_solves_each_uri_once(spark):
+    """Clusters get their names without a second run of the solver."""
+    edges = [("u", "identity|A", "track|1", 1.0), ("u", "track|1", "track|2", 0.9), ("u", "track|3", "track|4", 0.9), ("u", "identity|B", "track|5", 1.0), ("u", "track|5", "track|6", 0.8)]
+    found = gr.mine(spark.createDataFrame(edges, EDGES))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow ") == 1
+    names = {x.item: x.identity for x in found.collect()}
+    assert names == {"identity|A": "A", "track|1": "A", "track|2": "A", "track|3": None, "track|4": None, "identity|B": "B", "track|5": "B", "track|6": "B"}
