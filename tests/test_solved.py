@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from spanloom.functions.segment import SlidingWindow
 from spanloom.functions.stats import Gaussian
 from spanloom.operators import calibration as ca
 from spanloom.operators import clustering as cl
+from spanloom.operators import errors as er
 from spanloom.operators import feature as fe
 from spanloom.operators import graph as gr
 
@@ -387,3 +389,13 @@ def test_mine_solves_each_uri_once(spark):
     assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow ") == 1
     names = {x.item: x.identity for x in found.collect()}
     assert names == {"identity|A": "A", "track|1": "A", "track|2": "A", "track|3": None, "track|4": None, "identity|B": "B", "track|5": "B", "track|6": "B"}
+
+
+def test_regression_matches_equal_pieces_once(monkeypatch):
+    """Pieces with the same rows share one assignment."""
+    calls, real = [], er.assign
+    monkeypatch.setattr(er, "assign", lambda w: calls.append(1) or real(w))
+    rows = [("u", float(t), t + 1.0, kind, ref, hyp, side) for t in range(50) for side, kind, ref, hyp in (("new", "miss", "same-a", None), ("old", "correct", "same-a", "same-a"))]
+    names = ["uri", "start", "end", "kind", "ref", "hyp", "side"]
+    out = [r for b in er._compare(iter([pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=names)])) for r in b.to_pylist()]
+    assert len(calls) == 1 and [(r["start"], r["label"], r["ref"]) for r in out] == [(float(t), "regression", "same-a") for t in range(50)]
