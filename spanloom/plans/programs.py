@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from spanloom.functions.segment import Seg
 from spanloom.functions.stats import ScoreRatio
 from spanloom.operators import annotation as an
 from spanloom.operators import calibration as ca
@@ -24,9 +26,18 @@ BINNED = ("detection", "identification")
 
 
 def without_overlap(reference: DataFrame, focus: DataFrame | None = None) -> DataFrame:
-    """Evaluation map without the pieces where several reference tracks run."""
-    tagged = tg.direct(reference, tl.cells(reference))
-    busy = tagged.groupBy("uri", "start", "end").agg(F.count_distinct("track").alias("n")).where("n > 1")
+    """Evaluation map without the pieces where several reference tracks run.
+
+    Tracks are counted by a sweep over bounds, so nothing is joined with what runs in a piece. A track is
+    a row; of those without a name one a piece does not count.
+    """
+    unnamed = F.col("track").isNull().cast("int")
+    bounds = F.array(*[F.struct(F.col(c).alias("t"), (F.lit(d) * (1 - unnamed)).alias("n"), (F.lit(d) * unnamed).alias("z")) for c, d in (("start", 1), ("end", -1))])
+    at = reference.where(Seg.of().filled()).select("uri", F.explode(bounds).alias("e")).groupBy("uri", F.col("e.t").alias("t")).agg(F.sum("e.n").alias("n"), F.sum("e.z").alias("z"))
+    order = W.partitionBy("uri").orderBy("t")
+    now = lambda c: F.sum(c).over(order.rowsBetween(W.unboundedPreceding, 0)).alias(c)
+    swept = at.select("uri", F.col("t").alias("start"), F.lead("t").over(order).alias("end"), now("n"), now("z"))
+    busy = swept.where((F.col("n") + F.greatest(F.lit(0), F.col("z") - 1) > 1) & Seg.of().filled()).select("uri", "start", "end")
     frame = focus if focus is not None else tl.extent(reference)
     return tl.gaps(busy, frame).unionByName(frame.select("uri", "start", "end").join(busy.select("uri").distinct(), "uri", "left_anti"))
 

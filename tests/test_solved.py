@@ -17,6 +17,7 @@ from spanloom.operators import clustering as cl
 from spanloom.operators import errors as er
 from spanloom.operators import feature as fe
 from spanloom.operators import graph as gr
+from spanloom.plans import programs as pr
 
 LINKS = "uri string, row string, col string, value double"
 EDGES = "uri string, src string, dst string, probability double"
@@ -399,3 +400,13 @@ def test_regression_matches_equal_pieces_once(monkeypatch):
     names = ["uri", "start", "end", "kind", "ref", "hyp", "side"]
     out = [r for b in er._compare(iter([pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=names)])) for r in b.to_pylist()]
     assert len(calls) == 1 and [(r["start"], r["label"], r["ref"]) for r in out] == [(float(t), "regression", "same-a") for t in range(50)]
+
+
+def test_overlap_removal_joins_no_pieces(spark):
+    """A sweep counts tracks: equal names are tracks of their own, one without a name counts for one."""
+    rows = [("u", 0.0, 4.0, "a", "x"), ("u", 3.0, 6.0, "a", "y"), ("u", 8.0, 9.0, "b", "x"), ("v", 0.0, 2.0, None, "x"), ("v", 1.0, 3.0, "c", "x"), ("v", 2.5, 5.0, None, "y"), ("v", 4.0, 6.0, None, "y"), ("v", 5.0, 5.5, None, "z"), ("w", 0.0, 1.0, "a", "x")]
+    ref = spark.createDataFrame(rows, "uri string, start double, end double, track string, label string")
+    out = pr.without_overlap(ref)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("collect_set") == 0
+    # v: of the rows without a name one does not count beside others
+    assert sorted({tuple(r) for r in out.collect()}) == [("u", 0.0, 3.0), ("u", 4.0, 9.0), ("v", 0.0, 6.0), ("w", 0.0, 1.0)]
