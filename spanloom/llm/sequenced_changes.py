@@ -20,6 +20,9 @@ Every batch is a new start of the query on one checkpoint; its sink is exactly-o
 rows is a file without rows, on which timers still fire. With the last batch comes one closing row
 for each slot; once its rows are done, all clients give up their gaps, as one more batch.
 
+The last row applied of each client waits in the state until a later one is applied, or the closing row
+comes: then it is known whether it is the client's current one, and no join over all rows has to find it.
+
 Edge cases: equal rows count once, in all columns of the table; null clients are one client; null
 ``seq`` is a number of its own, the smallest; rows without ``valid_at`` or ``change_id`` vanish after
 numbering; rows that tie in day and change_id are told apart by op, city and balance; an unknown op
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from spanloom.llm.common import Scratch, delete, materialize, ranked, shared_dir
+from spanloom.llm.common import Scratch, delete, ranked, shared_dir
 
 DAY_MS = 86_400_000
 BLOCK = 4096  # numbers of a client that are held in one state entry
@@ -49,11 +52,13 @@ CLOSING = "closing"
 
 FED = "slot2 long, slot1 long, client long, n long, day long, change_id long, op string, city string, balance double, at timestamp"
 NEW = f"{FED}, again boolean"
-OUT = "slot long, client long, n long, op string, change_id long, status string, batch int, missed long, city string, balance double"
+OUT = "slot long, client long, n long, op string, change_id long, status string, batch int, missed long, city string, balance double, current boolean"
 FIELDS = [c.split()[0] for c in FED.split(", ")]
 HELD = ["client", "n", "day", "change_id", "op", "city", "balance"]
 HELD_SCHEMA = pa.schema([*[(c, pa.int64()) for c in HELD[:4]], ("op", pa.string()), ("city", pa.string()), ("balance", pa.float64())])
-HEAD_SCHEMA = pa.schema([("client", pa.int64()), ("next", pa.int64()), ("city", pa.string()), ("balance", pa.float64())])
+LAST = [("op", pa.string()), ("change_id", pa.int64()), ("batch", pa.int64()), ("missed", pa.int64())]  # of the row applied last: its n is next - 1
+HEAD_SCHEMA = pa.schema([("client", pa.int64()), ("next", pa.int64()), ("city", pa.string()), ("balance", pa.float64()), *LAST])
+NEW_CLIENT = [1, *[None] * (len(HEAD_SCHEMA) - 2)]
 INDEX_SCHEMA = pa.schema([("client", pa.int64()), ("block", pa.int64()), ("day", pa.int64())])
 
 
@@ -140,14 +145,14 @@ class Sequencer(StatefulProcessor):
         self.head = handle.getValueState("head", "batch int, timer long, clients binary, index binary")
         self.held = handle.getMapState("held", "block long", "rows binary")
 
-    # -- state of the slot: clients {client: [next, city, balance]}, index {client: {block: earliest day}}
+    # -- state of the slot: clients {client: [next, city, balance, *LAST]}, index {client: {block: earliest day}}
 
     def _load(self) -> None:
         self.clients, self.index, self.open, self.dirty = {}, {}, {}, set()
         self.seen_batch, self.timer = 0, -1
         if self.head.exists():
             self.seen_batch, self.timer, clients, index = self.head.get()
-            self.clients = {c: [n, city, balance] for c, n, city, balance in zip(*_unpacked(bytes(clients)), strict=True)}
+            self.clients = {c: list(rest) for c, *rest in zip(*_unpacked(bytes(clients)), strict=True)}
             for client, block, day in zip(*_unpacked(bytes(index)), strict=True):
                 self.index.setdefault(client, {})[block] = day
 
@@ -158,7 +163,7 @@ class Sequencer(StatefulProcessor):
         if days and self.timer != (due := (min(days) + self.patience) * DAY_MS - 1):
             self.handle.registerTimer(due)  # fires once the watermark is past it: at min(days) + patience
             self.timer = due
-        heads = [list(self.clients), *([v[i] for v in self.clients.values()] for i in range(3))]
+        heads = [list(self.clients), *([v[i] for v in self.clients.values()] for i in range(len(NEW_CLIENT)))]
         flat = [(c, b, d) for c, blocks in self.index.items() for b, d in blocks.items()]
         self.head.update((self.batch, self.timer, _packed(heads, HEAD_SCHEMA), _packed([[x[i] for x in flat] for i in range(3)], INDEX_SCHEMA)))
 
@@ -183,7 +188,14 @@ class Sequencer(StatefulProcessor):
         elif self.held.containsKey((block,)):
             self.held.removeKey((block,))
 
-    def _drain(self, client: int, horizon: float, out: list) -> None:
+    def _release(self, client: int, current: bool, out: list) -> None:
+        """Give out the row of a client that was applied last, if there is one that waits."""
+        after, city, balance, op, change, batch, missed = state = self.clients[client]
+        if change is not None:
+            out.append((client, after - 1, op, change, "applied", batch, missed, city, balance, current and op != "D"))
+            state[4] = None
+
+    def _drain(self, client: int, horizon: float, batch: int, out: list) -> None:
         """Apply what is next; while the oldest row is due at ``horizon``, jump to the smallest number."""
         state, blocks = self.clients[client], self.index.get(client, {})
         order = sorted(blocks)
@@ -203,6 +215,7 @@ class Sequencer(StatefulProcessor):
                 if n != state[0] and oldest[j] + self.patience > horizon:
                     break
                 day, change, op, city, balance = rows.pop(n)
+                self._release(client, False, out)
                 missed, state[0] = n - state[0], n + 1
                 if op == "D":
                     state[1] = state[2] = None
@@ -211,7 +224,7 @@ class Sequencer(StatefulProcessor):
                 elif op == "U":
                     state[1] = state[1] if city is None else city
                     state[2] = state[2] if balance is None else balance
-                out.append((client, n, op, change, "applied", missed, state[1], state[2]))
+                state[3:] = op, change, batch, missed
                 done += 1
             if done:
                 self.dirty.add(block)
@@ -223,15 +236,15 @@ class Sequencer(StatefulProcessor):
                 self._shut(block)
         self.index.pop(client, None)
 
-    def _give_up(self, horizon: float, out: list) -> None:
+    def _give_up(self, horizon: float, batch: int, out: list) -> None:
         for client in [c for c, blocks in self.index.items() if min(blocks.values()) + self.patience <= horizon]:
-            self._drain(client, horizon, out)
+            self._drain(client, horizon, batch, out)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         self._load()
         out: list = []
         if self.seen_batch < self.batch:
-            self._give_up(timerValues.getCurrentWatermarkInMs() // DAY_MS, out)
+            self._give_up(timerValues.getCurrentWatermarkInMs() // DAY_MS, self.batch, out)
         touched, closing = set(), False
         for frame in rows:
             pending: dict[int, list] = {}
@@ -239,8 +252,8 @@ class Sequencer(StatefulProcessor):
                 client, n, op, again = row[0], row[1], row[4], row[7]
                 if op == CLOSING:
                     closing = True
-                elif again or n < self.clients.setdefault(client, [1, None, None])[0]:
-                    out.append((client, n, op, row[3], "rejected", 0, None, None))
+                elif again or n < self.clients.setdefault(client, [*NEW_CLIENT])[0]:
+                    out.append((client, n, op, row[3], "rejected", self.batch, 0, None, None, False))
                 else:
                     pending.setdefault(n // self.block, []).append(row)
             for block, new in pending.items():
@@ -254,34 +267,35 @@ class Sequencer(StatefulProcessor):
                 if len(self.open) > 8:
                     self._shut(block)
             if len(out) >= 20_000:
-                yield self._frame(key, out, self.batch)
+                yield self._frame(key, out)
                 out = []
         for client in touched:
             if self.clients[client][0] // self.block in self.index.get(client, ()):
-                self._drain(client, -math.inf, out)
-        last: list = []
+                self._drain(client, -math.inf, self.batch, out)
         if closing:
-            self._give_up(math.inf, last)
+            self._give_up(math.inf, self.batch + 1, out)
+            for client in self.clients:
+                self._release(client, True, out)
         self._store()
-        for rows_out, batch in ((out, self.batch), (last, self.batch + 1)):
-            if rows_out:
-                yield self._frame(key, rows_out, batch)
+        if out:
+            yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._load()
         out: list = []
         if self.seen_batch < self.batch:
-            self._give_up(timerValues.getCurrentWatermarkInMs() // DAY_MS, out)
+            self._give_up(timerValues.getCurrentWatermarkInMs() // DAY_MS, self.batch, out)
             self._store()
         if out:
-            yield self._frame(key, out, self.batch)
+            yield self._frame(key, out)
 
-    def _frame(self, key, out: list, batch: int) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["client", "n", "op", "change_id", "status", "missed", "city", "balance"])
-        frame = frame.assign(slot=int(key[0]), batch=batch, balance=frame["balance"].astype("float64"))
+    def _frame(self, key, out: list) -> pd.DataFrame:
+        names = [c.split()[0] for c in OUT.split(", ")]
+        frame = pd.DataFrame(out, columns=names[1:])
+        frame = frame.assign(slot=int(key[0]), balance=frame["balance"].astype("float64"))
         for c in ("op", "city", "status"):
             frame[c] = frame[c].astype(object)
-        return frame[[c.split()[0] for c in OUT.split(", ")]]
+        return frame[names]
 
     def close(self) -> None:
         pass
@@ -307,8 +321,9 @@ def apply_changes(
     rows: DataFrame, batches: int, day, batch, patience: int = 3, keys_per_slot: int = KEYS_PER_SLOT, clients_per_slot: int = CLIENTS_PER_SLOT, block: int = BLOCK
 ) -> DataFrame:
     """What becomes of each numbered change: change_id, client_id, n, op, status, batch, missed, city,
-    balance. ``rows`` holds change_id, client_id, n, op, city, balance; ``day`` and ``batch`` are
-    columns over it, ``batch`` from 1 to ``batches`` and never falling as ``day`` grows."""
+    balance, current (the last applied one of its client and no deletion). ``rows`` holds change_id,
+    client_id, n, op, city, balance; ``day`` and ``batch`` are columns over it, ``batch`` from 1 to
+    ``batches`` and never falling as ``day`` grows."""
     spark = rows.sparkSession
     root = f"{shared_dir(spark)}/spanloom/sequenced-{uuid.uuid4().hex}"
     one, two = _slots(rows, keys_per_slot, clients_per_slot)
@@ -362,15 +377,6 @@ def start(spark: SparkSession, root: str, batch: int, patience: int, block: int
     return query
 
 
-def final_rows(done: DataFrame) -> DataFrame:
-    """``done`` with current: whether a row is the last applied one of its client and no deletion.
-    The last numbers are a combined maximum and come back by (client, n), which no client makes hot."""
-    last = done.where("status = 'applied'").groupBy("client_id").agg(F.max("n").alias("n")).alias("r")
-    same = F.col("l.client_id").eqNullSafe(F.col("r.client_id")) & (F.col("l.n") == F.col("r.n")) & (F.col("l.status") == "applied")
-    current = F.col("r.n").isNotNull() & ~F.col("l.op").eqNullSafe("D")
-    return done.alias("l").join(last, same, "left").select("l.*", current.alias("current"))
-
-
 def apply_all(changes: DataFrame, batches: int = 12, first_day: int = 19_723, days: int = 160, **sizes) -> DataFrame:
     """The contract's query: lateness and loss drawn from change_id, ``batches`` cuts of ``days`` days.
     ``sizes`` go to ``apply_changes``."""
@@ -380,7 +386,7 @@ def apply_all(changes: DataFrame, batches: int = 12, first_day: int = 19_723, da
     day = F.unix_date(F.col("valid_at").cast("date")) + 9 * (h % 4)
     rows = scratch(rows.withColumn("day", day).drop("valid_at", "seq"), "numbered")
     batch = F.greatest(F.lit(1), F.least(F.lit(batches), 1 + F.floor((F.col("day") - first_day) * batches / days)))
-    done = materialize(final_rows(apply_changes(rows, batches, F.col("day"), batch)), "sequenced")
+    done = apply_changes(rows, batches, F.col("day"), batch, **sizes)
     scratch.drop()
     cents = F.floor(F.col("balance") * 100 + F.lit(0.5)).cast("long").alias("cents")
     return done.select("change_id", "client_id", "status", "batch", "missed", "city", cents, "current")

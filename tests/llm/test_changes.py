@@ -141,3 +141,14 @@ def test_stores_of_a_start_are_closed(spark):
     rows = [(i, i % 5, i // 5, "I", datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i), "s", "t", "c", 1.0) for i in range(40)]
     assert sequenced_changes.apply_all(spark.createDataFrame(rows, SCHEMA), batches=2).count() > 0
     assert loaded.size() <= before
+
+
+def test_current_comes_from_the_state(spark):
+    """The applier itself tells which row is its client's last applied one, also where that was applied
+    long before the last batch, only as the gap was given up at the end, or for a null client."""
+    rows = [(1, 1, 1, 1, "I", 1), (2, 1, 2, 1, "U", 1), (3, 2, 1, 1, "I", 1), (4, 2, 2, 9, "D", 3), (5, 3, 1, 1, "I", 1), (6, 3, 4, 9, None, 3), (7, None, 1, 5, "I", 2), (8, 1, 2, 9, "U", 3)]
+    df = spark.createDataFrame([(*r, "c", 1.0) for r in rows], "change_id long, client_id long, n long, day long, op string, batch int, city string, balance double")
+    done = sequenced_changes.apply_changes(df, 3, F.col("day"), F.col("batch"), clients_per_slot=1).collect()
+    found = {r.change_id: (r.client_id, r.n, r.status, r.batch, r.missed, r.current) for r in done}
+    assert len(done) == 8 and {k for k, v in found.items() if v[5]} == {2, 6, 7}
+    assert found[2] == (1, 2, "applied", 1, 0, True) and found[6] == (3, 4, "applied", 4, 2, True) and found[4][2:] == ("applied", 3, 0, False) and found[8][2] == "rejected"
