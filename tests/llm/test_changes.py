@@ -152,3 +152,22 @@ def test_current_comes_from_the_state(spark):
     found = {r.change_id: (r.client_id, r.n, r.status, r.batch, r.missed, r.current) for r in done}
     assert len(done) == 8 and {k for k, v in found.items() if v[5]} == {2, 6, 7}
     assert found[2] == (1, 2, "applied", 1, 0, True) and found[6] == (3, 4, "applied", 4, 2, True) and found[4][2:] == ("applied", 3, 0, False) and found[8][2] == "rejected"
+
+
+def test_a_start_shrinks_the_heap(spark, monkeypatch):
+    """A heap that has grown is small again once its executor begins a start, and every start does that."""
+    sizes, collect = [], sequenced_changes.shrink_heaps
+
+    def measured(session):
+        jvm = session._jvm
+        filled = [jvm.java.util.ArrayList(100_000_000) for _ in range(4)]
+        for rows in filled:
+            rows.trimToSize()
+        before = jvm.java.lang.Runtime.getRuntime().totalMemory()
+        collect(session)
+        sizes.append((before, jvm.java.lang.Runtime.getRuntime().totalMemory()))
+
+    monkeypatch.setattr(sequenced_changes, "shrink_heaps", measured)
+    rows = [(i, i % 5, i // 5, "I", datetime.datetime(2024, 1, 1) + datetime.timedelta(days=i), "s", "t", "c", 1.0) for i in range(40)]
+    assert sequenced_changes.apply_all(spark.createDataFrame(rows, SCHEMA), batches=2).count() > 0
+    assert len(sizes) == 2 and all(after < before - 500_000_000 for before, after in sizes)
